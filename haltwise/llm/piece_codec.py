@@ -19,6 +19,7 @@ from array import array
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,8 +227,6 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", b
 
     One narrow pass: no shuffle. The model file (under 1 MB) is read on the driver and sent with the tasks.
     """
-    import pandas as pd
-
     with open(model_path, "rb") as f:
         model = f.read()
 

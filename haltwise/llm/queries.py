@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
-
 from pyspark.sql import DataFrame, SparkSession
 
-from haltwise.llm import piece_codec
+from haltwise.llm import piece_codec, quality
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +21,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.op1_sentencepiece(_t(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op2_quality(_t(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality}
 ORACLE_SQL: dict[str, str] = {}
 
 
