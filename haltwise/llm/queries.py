@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haltwise.llm import piece_codec, quality
+from haltwise.llm import chat_format, near_duplicates, piece_codec, quality, sharding
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,20 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op2_quality(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality}
-ORACLE_SQL: dict[str, str] = {}
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.op3_near_duplicates(_t(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.op7_chat_format(_t(spark, sf_dir, "conversations"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op10_sharding(_t(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_near_duplicates, op7_chat_format, op10_sharding)}
+ORACLE_SQL: dict[str, str] = {"op7_chat_format": chat_format.ORACLE}
 
 
 def queries() -> dict:
