@@ -226,7 +226,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("comp", "rep").alias("component_id"))
     out = signed.select("doc_id", "n", "fp").join(named, ["fp", "n"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
+    """One document of each group, all columns kept; rows that repeat an id are one document, rows without an id stay."""
+    found = stash(near_duplicates(docs, id_col=id_col, **params), "groups")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return left
+    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
 
 
 def op3_near_duplicates(docs: DataFrame) -> DataFrame:

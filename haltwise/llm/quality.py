@@ -174,5 +174,11 @@ def assess(docs: DataFrame, keep: list[str] | None = None, **params) -> DataFram
     return joined.withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 
+def keep_good(docs: DataFrame, **params) -> DataFrame:
+    """The documents that pass, with their columns as they were."""
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "lang", "source")
+    return assess(packed, keep=["_doc"], **params).where("kept").select("_doc.*")
+
+
 def op2_quality(docs: DataFrame) -> DataFrame:
     return assess(docs.select("doc_id", "text", "lang", "source"), keep=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept")

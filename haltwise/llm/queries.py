@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haltwise.llm import chat_format, near_duplicates, piece_codec, quality, sharding
+from haltwise.llm import chat_format, decontamination, language_id, maxent_lm, near_duplicates, personal_data, piece_codec, quality, sharding, token_counts
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +29,52 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.op3_near_duplicates(_t(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.op4_decontamination(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op5_language_id(_t(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.op6_token_counts(_t(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.op7_chat_format(_t(spark, sf_dir, "conversations"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.op8_personal_data(_t(spark, sf_dir, "documents"))
+
+
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.op9_maxent_lm(_t(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op10_sharding(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_near_duplicates, op7_chat_format, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {"op7_chat_format": chat_format.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_quality,
+        op3_near_duplicates,
+        op4_decontamination,
+        op5_language_id,
+        op6_token_counts,
+        op7_chat_format,
+        op8_personal_data,
+        op9_maxent_lm,
+        op10_sharding,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.ORACLE, "op7_chat_format": chat_format.ORACLE}
 
 
 def queries() -> dict:
