@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from haltwise.plans import core_queries, network_queries, raw_queries, schedule_queries
+
+MODULES = (core_queries, network_queries, raw_queries, schedule_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return core_queries.halt_seconds_by_link(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for m in MODULES:
+        out |= m.ORACLES
+    return out
