@@ -85,7 +85,9 @@ class Tables:
 
 def duck(text: str) -> str:
     """A binding for DuckDB."""
-    return text.format(**{t: t for t in TABLES})
+    for t in TABLES:
+        text = text.replace("{" + t + "}", t)
+    return text
 
 
 def r(c: Column | str, digits: int = 4) -> Column:
