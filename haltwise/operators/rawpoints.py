@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from haltwise.functions import geometry as g
 from haltwise.functions.scalar import minimum_angle, seconds_between
 
-BY_TIME = Window.partitionBy("jrnid").orderBy("tst", "obs_id")
-BY_OBS = Window.partitionBy("jrnid").orderBy("obs_num")
+
+def by_time():
+    return Window.partitionBy("jrnid").orderBy("tst", "obs_id")
+
+
+def by_obs():
+    return Window.partitionBy("jrnid").orderBy("obs_num")
 REQUIRED = ("event_type", "dir", "oper", "veh", "tst", "lat", "lon", "oday", "start", "route")
 
 
@@ -22,20 +27,20 @@ def drop_invalid(raw: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFr
 
 
 def obs_numbers(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("obs_num", F.row_number().over(BY_TIME))
+    return raw.withColumn("obs_num", F.row_number().over(by_time()))
 
 
 def movement_values(points: DataFrame) -> DataFrame:
     """dodo, dx, spd, acc and hdg from the point before; the first point looks ahead instead."""
     first = F.col("obs_num") == 1
-    near = lambda c, f: f(c).over(BY_TIME)
+    near = lambda c, f: f(c).over(by_time())
     x0, y0 = F.when(first, F.col("x")).otherwise(near("x", F.lag)), F.when(first, F.col("y")).otherwise(near("y", F.lag))
     x1, y1 = F.when(first, near("x", F.lead)).otherwise(F.col("x")), F.when(first, near("y", F.lead)).otherwise(F.col("y"))
     seconds = F.when(first, seconds_between(F.col("tst"), near("tst", F.lead))).otherwise(seconds_between(near("tst", F.lag), F.col("tst")))
     moved = points.withColumn("_dt", seconds).withColumn("_a", g.point(x0, y0)).withColumn("_b", g.point(x1, y1))
     moved = moved.withColumn("dx", g.hypot(F.col("_a"), F.col("_b"))).withColumn("hdg", F.degrees(g.azimuth(F.col("_a"), F.col("_b")))).withColumn("spd", F.try_divide("dx", "_dt"))
-    acc = F.try_divide(F.col("spd") - F.coalesce(F.lag("spd").over(BY_TIME), F.lit(0.0)), F.col("_dt"))
-    dodo = F.coalesce(F.col("odo") - F.lag("odo").over(BY_TIME), F.lit(0)).cast("double")
+    acc = F.try_divide(F.col("spd") - F.coalesce(F.lag("spd").over(by_time()), F.lit(0.0)), F.col("_dt"))
+    dodo = F.coalesce(F.col("odo") - F.lag("odo").over(by_time()), F.lit(0)).cast("double")
     return moved.withColumn("acc", acc).withColumn("dodo", dodo).drop("_dt", "_a", "_b")
 
 
@@ -125,10 +130,10 @@ def split_invalid(df: DataFrame, column: str = "invalid_reasons") -> tuple[DataF
 
 def mark_redundant(points: DataFrame) -> DataFrame:
     """is_redundant: odometer and doors as both neighbours have them; n_rdnt_after: how many follow the point at a run's start."""
-    same = lambda c: F.lag(c).over(BY_OBS).eqNullSafe(F.col(c)) & F.lead(c).over(BY_OBS).eqNullSafe(F.col(c))
+    same = lambda c: F.lag(c).over(by_obs()).eqNullSafe(F.col(c)) & F.lead(c).over(by_obs()).eqNullSafe(F.col(c))
     marked = points.withColumn("is_redundant", same("odo") & same("drst"))
-    opens = (F.col("is_redundant") & ~F.lag("is_redundant").over(BY_OBS)).cast("int")
-    grouped = marked.withColumn("_new", F.coalesce(opens, F.lit(0))).withColumn("_grp", F.sum("_new").over(BY_OBS))
+    opens = (F.col("is_redundant") & ~F.lag("is_redundant").over(by_obs())).cast("int")
+    grouped = marked.withColumn("_new", F.coalesce(opens, F.lit(0))).withColumn("_grp", F.sum("_new").over(by_obs()))
     runs = grouped.where("is_redundant").groupBy("jrnid", "_grp").agg(F.count("*").alias("n_rdnt_after"), (F.min("obs_num") - 1).alias("obs_num")).drop("_grp")
     return grouped.drop("_new", "_grp").join(runs, ["jrnid", "obs_num"], "left").withColumn("n_rdnt_after", F.coalesce("n_rdnt_after", F.lit(0)))
 
@@ -202,8 +207,8 @@ def best_match_segments(points: DataFrame) -> DataFrame:
 
 def visit_groups(matched: DataFrame) -> DataFrame:
     """Runs of one segment in a journey with their first and last point, size, and priority among visits of that segment."""
-    changed = (~F.col("segno").eqNullSafe(F.lag("segno").over(BY_OBS))).cast("int")
-    grouped = matched.withColumn("_c", changed).withColumn("grp", F.sum("_c").over(BY_OBS))
+    changed = (~F.col("segno").eqNullSafe(F.lag("segno").over(by_obs()))).cast("int")
+    grouped = matched.withColumn("_c", changed).withColumn("grp", F.sum("_c").over(by_obs()))
     runs = grouped.groupBy("jrnid", "grp", "segno").agg(F.min("obs_num").alias("first_obs"), F.max("obs_num").alias("last_obs"), F.count("*").alias("n"))
     return runs.withColumn("prio", F.dense_rank().over(Window.partitionBy("jrnid", "segno").orderBy(F.col("n").desc())))
 
@@ -232,8 +237,8 @@ def discard_failed(matched: DataFrame) -> DataFrame:
 
 def linear_movement(points: DataFrame) -> DataFrame:
     """dx and seconds to the next point, and speed from the one before, along the route. points: jrnid, obs_num, tst, abs_loc."""
-    nxt = lambda c: F.lead(c).over(BY_OBS)
-    prev = lambda c: F.lag(c).over(BY_OBS)
+    nxt = lambda c: F.lead(c).over(by_obs())
+    prev = lambda c: F.lag(c).over(by_obs())
     return points.select(
         "jrnid",
         "obs_num",

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from haltwise.functions.scalar import halt_code, seconds_between, to_smallint
 
-BY_SEG = Window.partitionBy("jrnid").orderBy("segno")
+
+def by_seg():
+    return Window.partitionBy("jrnid").orderBy("segno")
 
 
 def segment_arrays(points: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def enter_exit(segments: DataFrame) -> DataFrame:
     segments: jrnid, segno, enter_x, first_ts, last_ts (seconds), first_x, last_x. An
     unseen segment refers to the group before the last seen one.
     """
-    seen = F.sum(F.when(F.col("first_ts").isNull(), 0).otherwise(1)).over(BY_SEG.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.sum(F.when(F.col("first_ts").isNull(), 0).otherwise(1)).over(by_seg().rowsBetween(Window.unboundedPreceding, 0))
     grouped = segments.withColumn("grp", seen)
     values = grouped.groupBy("jrnid", "grp").agg(*[F.min(c).alias(f"g_{c}") for c in ("first_ts", "last_ts", "first_x", "last_x")])
     w = Window.partitionBy("jrnid").orderBy("grp")
@@ -35,7 +37,7 @@ def enter_exit(segments: DataFrame) -> DataFrame:
     ref = grouped.join(near, ["jrnid", "grp"]).withColumn("x1", F.coalesce("first_x", "nx")).withColumn("t1", F.coalesce("first_ts", "nt"))
     enter = F.col("t0") + (F.col("enter_x") - F.col("x0")) * F.try_divide(F.col("t1") - F.col("t0"), F.col("x1") - F.col("x0"))
     done = ref.withColumn("e", enter)
-    return done.select("jrnid", "segno", F.coalesce("e", "first_ts").alias("enter_ts"), F.coalesce(F.lead("e").over(BY_SEG), F.col("last_ts")).alias("exit_ts")).withColumn("thru_s", F.col("exit_ts") - F.col("enter_ts"))
+    return done.select("jrnid", "segno", F.coalesce("e", "first_ts").alias("enter_ts"), F.coalesce(F.lead("e").over(by_seg()), F.col("last_ts")).alias("exit_ts")).withColumn("thru_s", F.col("exit_ts") - F.col("enter_ts"))
 
 
 def time_differences(arrays: DataFrame, entered: str = "enter_tst") -> DataFrame:

@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 from haltwise.functions.scalar import add_seconds, kmh, local_time, seconds_between
 
-BY_LINK = Window.partitionBy("jrnid").orderBy("link_seq")
-FORTH = BY_LINK.rowsBetween(Window.unboundedPreceding, 0)
-BACK = BY_LINK.rowsBetween(0, Window.unboundedFollowing)
+
+def by_link():
+    return Window.partitionBy("jrnid").orderBy("link_seq")
+
+
+def forth():
+    return by_link().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def back():
+    return by_link().rowsBetween(0, Window.unboundedFollowing)
 
 
 def edge_points(points: DataFrame) -> DataFrame:
@@ -28,25 +36,25 @@ def enter_timestamps(points: DataFrame, journey_links: DataFrame) -> DataFrame:
     it; equal places give no time. All windows share one shuffle by journey.
     """
     links = journey_links.join(edge_points(points), ["jrnid", "link_seq"], "left")
-    start = F.sum("length_m").over(FORTH) - F.col("length_m")
+    start = F.sum("length_m").over(forth()) - F.col("length_m")
     placed = links.withColumn("x", start)
     filled = placed.select(
         "jrnid",
         "link_seq",
         "x",
-        F.last("last_tst", True).over(FORTH).alias("_t0"),
-        F.last(F.col("x") + F.col("last_loc") * F.col("length_m"), True).over(FORTH).alias("_x0"),
-        F.first("first_tst", True).over(BACK).alias("t1"),
-        F.first(F.col("x") + F.col("first_loc") * F.col("length_m"), True).over(BACK).alias("x1"),
+        F.last("last_tst", True).over(forth()).alias("_t0"),
+        F.last(F.col("x") + F.col("last_loc") * F.col("length_m"), True).over(forth()).alias("_x0"),
+        F.first("first_tst", True).over(back()).alias("t1"),
+        F.first(F.col("x") + F.col("first_loc") * F.col("length_m"), True).over(back()).alias("x1"),
     )
-    lagged = filled.withColumn("t0", F.lag("_t0").over(BY_LINK)).withColumn("x0", F.lag("_x0").over(BY_LINK))
+    lagged = filled.withColumn("t0", F.lag("_t0").over(by_link())).withColumn("x0", F.lag("_x0").over(by_link()))
     seconds = (F.col("x") - F.col("x0")) * F.try_divide(seconds_between(F.col("t0"), F.col("t1")), F.col("x1") - F.col("x0"))
     return lagged.select("jrnid", "link_seq", "x0", "t0", "x1", "t1", "x", add_seconds(F.col("t0"), seconds).alias("t"))
 
 
 def links_on_journey(entered: DataFrame, journey_links: DataFrame) -> DataFrame:
     """Enter and exit time of each link that has both; exit is the next link's enter."""
-    both = entered.select("jrnid", "link_seq", F.col("t").alias("enter_tst"), F.lead("t").over(BY_LINK).alias("exit_tst"))
+    both = entered.select("jrnid", "link_seq", F.col("t").alias("enter_tst"), F.lead("t").over(by_link()).alias("exit_tst"))
     return both.where(F.col("enter_tst").isNotNull() & F.col("exit_tst").isNotNull()).join(journey_links.select("jrnid", "link_seq", "link_id", "link_reversed"), ["jrnid", "link_seq"])
 
 
