@@ -226,6 +226,6 @@ def identify(docs: DataFrame, fitted: Field, id_col: str = "doc_id", text_col: s
 
 
 def op5_language_id(docs: DataFrame) -> DataFrame:
-    held_out = crc_mod("doc_id", 4) == 2
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     fitted = learn(docs.where(~held_out))
     return identify(docs, fitted).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
