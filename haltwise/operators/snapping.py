@@ -23,8 +23,11 @@ def snap_to_links(stops: DataFrame, links: DataFrame, cell: float = 500.0) -> Da
     near = s.join(link_cells(links.select("link_id", "geom"), cell, cell), ["_cx", "_cy"])
     settled = _best(near).where(F.col("dist") <= cell)
     rest = stops.join(settled.select("stop_id"), "stop_id", "left_anti")
-    few = links.select("link_id", "geom").limit(MAX_LINKS + 1)
-    far = _best(rest.join(F.broadcast(few), F.lit(True)))
+    if rest.isEmpty():
+        return settled
+    if (n := links.count()) > MAX_LINKS:
+        raise ValueError(f"{n} links: stops far from all links can be compared with {MAX_LINKS} at most")
+    far = _best(rest.join(F.broadcast(links.select("link_id", "geom")), F.lit(True)))
     return settled.unionByName(far)
 
 
