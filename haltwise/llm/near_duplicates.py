@@ -17,8 +17,8 @@ come from union-find within partitions and alternating large-star and small-star
 steps across them.
 
 A pair at exactly the threshold shares no band with a probability of
-(1 - 0.8^8)^64 = 8e-6 and is turned away by the packed signatures with about
-1e-6; above the threshold both fall fast.
+(1 - 0.8^8)^64 = 8e-6 and is turned away by the packed signatures with less
+than 3e-5; above the threshold both fall fast.
 
 Defined results: null or empty text, or one without words, has an empty set and
 is linked with nothing; fewer words than the shingle's length are one shingle;
@@ -41,9 +41,10 @@ BANDS, ROWS = 64, 8
 M = BANDS * ROWS
 #: Shingles that are signed at a time.
 SIGN_AT_ONCE = 60_000
-#: Packed signature: two bits a position, in 16 longs. Differing positions at a similarity of 0.8: 0.15 of 512, +- 8.1; five deviations more are let pass.
-PACKED = M * 2 // 64
-MASK = 0x5555555555555555
+#: Packed signature: four bits a position, in 32 longs. Differing positions at a similarity of 0.8 are 0.1875 of 512, +- 8.8
+#: were they independent, and less so with correlated ranks; four deviations more are let pass.
+PACKED = M * 4 // 64
+MASK = 0x1111111111111111
 
 
 def _positions(key: np.ndarray, j: int) -> np.ndarray:
@@ -90,8 +91,8 @@ def _signatures(k: int):
             acc = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(some), BANDS)).copy()
             for r in range(ROWS):
                 acc = sh.mix(acc * np.uint64(0x9E3779B97F4A7C15) + sig.reshape(-1, BANDS, ROWS)[:, :, r])
-            two = (sh.mix(sig) & np.uint64(3)).reshape(len(some), PACKED, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
-            words = np.bitwise_or.reduce(two, axis=2)
+            four = (sh.mix(sig) & np.uint64(15)).reshape(len(some), PACKED, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+            words = np.bitwise_or.reduce(four, axis=2)
             for at, i in enumerate(some):
                 bands[i], packed[i] = acc[at].view(np.int64), words[at].view(np.int64)
         prints = [np.array([sh.mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(sh.mix(s + np.uint64(77))) if len(s) else 0], dtype=np.uint64).tobytes() for s in sets]
@@ -165,15 +166,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _close(threshold: float) -> Column:
     """Whether the packed signatures of l and r differ little enough."""
-    p = 0.75 * (1 - threshold)
-    most = int(M * p + 5 * (M * p * (1 - p)) ** 0.5)
+    p = 15 / 16 * (1 - threshold)
+    most = int(M * p + 4 * (M * p * (1 - p)) ** 0.5)
     differ = F.lit(0)
     for i in range(PACKED):
         x = F.col("l.packed")[i].bitwiseXOR(F.col("r.packed")[i])
-        differ += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(MASK)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        differ += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(MASK)))
     return differ <= most
 
 
+def _first_common() -> Column:
+    """Whether the bucket is that of the first band that l and r share, so that a pair comes up once."""
+    at = F.array_position(F.zip_with(F.col("l.bands"), F.col("r.bands"), lambda x, y: x == y), F.lit(True))
+    return F.get(F.col("l.bands"), at.cast("int") - 1) == F.col("l.bucket")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (see the module)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
@@ -206,7 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     comp = components(edges)
 
     # Then what is outside a bucket's largest component: a few leaders, then all.
-    packed = rep_rows.select(F.col("doc_id").alias("rep"), "packed")
+    packed = rep_rows.select(F.col("doc_id").alias("rep"), "packed", "bands")
     for slots in (8, None):
         now = live.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
@@ -217,8 +225,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         if minor.isEmpty():
             break
         if slots:
-            minor = minor.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("central", "rep", "n", "comp", "packed")).alias("x")).select("bucket", "x.*")
-        cond = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") != F.col("r.comp")) & fits & _close(percent / 100)
+            minor = minor.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("central", "rep", "n", "comp", "packed", "bands")).alias("x")).select("bucket", "x.*")
+        cond = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") != F.col("r.comp")) & fits & _close(percent / 100) & _first_common()
         pairs = open_.alias("r").join(minor.alias("l"), cond).select(*pair).distinct()
         edges = stash(edges.unionByName(confirmed(pairs)), "links")
         comp = components(edges)
