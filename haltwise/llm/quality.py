@@ -31,6 +31,8 @@ WINDOW = 5
 #: The least distance of a fence from the upper (or lower) quartile, by rate.
 SLACK = {"r_symbols": 0.05, "r_shout": 0.10, "r_dup_lines": 0.30, "r_repeat": 0.15, "r_length": 2.0}
 REACH = 3.0
+#: Groups whose fences are broadcast at most: about 20 MB.
+BROADCAST_GROUPS = 100_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -157,16 +159,16 @@ def thresholds(measured: DataFrame, min_rows: int = 200, k: int = 2048, reach: f
     return spread.select("t_lang", "t_source", *fences, low)
 
 
-def assess(docs: DataFrame, keep: list[str] | None = None, **params) -> DataFrame:
-    """docs (columns `keep`, or all) plus counts, rates, the group's fences and `kept`.
+def _known(measured: DataFrame, **params) -> DataFrame:
+    """The fences as a written table; marked for broadcast if its rows, which are counted, are few."""
+    t = stash(thresholds(measured, **params), "fences")
+    return F.broadcast(t) if t.count() <= BROADCAST_GROUPS else t
 
-    Measured rows are written once to the shared folder: the sketches and the
-    joined filter both read them, and texts go through the rules once.
-    """
-    m = measure(docs)
-    m = stash(m.select(*dict.fromkeys([*(keep if keep is not None else docs.columns), "lang", "source", *BASE, "base_failed", *SLACK])), "quality")
-    t = thresholds(m, **params)
-    joined = m.join(t, m["lang"].eqNullSafe(t["t_lang"]) & m["source"].eqNullSafe(t["t_source"]), "left").drop("t_lang", "t_source")
+
+def judge(measured: DataFrame, fences: DataFrame) -> DataFrame:
+    """measured plus the fences of each row's group and `kept`."""
+    same = measured["lang"].eqNullSafe(fences["t_lang"]) & measured["source"].eqNullSafe(fences["t_source"])
+    joined = measured.join(fences, same, "left").drop("t_lang", "t_source")
     beyond = F.lit(False)
     for r in SLACK:
         beyond |= F.coalesce(F.col(r) > F.col(f"hi_{r}"), F.lit(False))
@@ -174,11 +176,48 @@ def assess(docs: DataFrame, keep: list[str] | None = None, **params) -> DataFram
     return joined.withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 
+def assess(docs: DataFrame, keep: list[str], **params) -> DataFrame:
+    """Columns `keep` of docs plus counts, rates, the group's fences and `kept`.
+
+    Measured rows, without texts, are written once to the shared folder: the
+    sketches and the joined filter both read them, and texts are read once.
+    """
+    m = measure(docs)
+    m = stash(m.select(*dict.fromkeys([*keep, "lang", "source", *BASE, "base_failed", *SLACK])), "quality")
+    return judge(m, _known(m, **params))
+
+
 def keep_good(docs: DataFrame, **params) -> DataFrame:
-    """The documents that pass, with their columns as they were."""
+    """The documents that pass, with their columns as they were.
+
+    Texts are measured once for the sketches and once for the filter; so they
+    are neither written in between nor shuffled.
+    """
+    m = stash(measure(docs.select("text", "lang", "source")).select("lang", "source", "base_failed", *SLACK), "quality")
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "lang", "source")
-    return assess(packed, keep=["_doc"], **params).where("kept").select("_doc.*")
+    return judge(measure(packed), _known(m, **params)).where("kept").select("_doc.*")
 
 
 def op2_quality(docs: DataFrame) -> DataFrame:
     return assess(docs.select("doc_id", "text", "lang", "source"), keep=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept")
+
+
+#: The same rows in SQL, as long as groups have no more rows than a sketch holds exactly.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5))),
+rep AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM win WHERE c > 1) GROUP BY doc_id),
+lin AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x) AND length(x) > 1)) AS shout, greatest(coalesce(lin.n, 0), 1) AS n_lines, greatest(len(w), 1) AS m
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lin USING (doc_id)),
+r AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / m AS r1, shout / m AS r2, n_dup_lines / n_lines AS r3, n_repeat_words / m AS r4, word_chars / m AS r5 FROM b),
+v AS (SELECT doc_id, lang, source, unnest([1, 2, 3, 4, 5]) AS k, unnest([r1, r2, r3, r4, r5]) AS x FROM r WHERE NOT base_failed),
+g AS (SELECT lang, source, k, count(*) AS n, quantile_disc(x, 0.25) AS a, quantile_disc(x, 0.75) AS z FROM v GROUP BY ALL), l AS (SELECT lang, k, count(*) AS n, quantile_disc(x, 0.25) AS a, quantile_disc(x, 0.75) AS z FROM v GROUP BY ALL),
+w AS (SELECT k, quantile_disc(x, 0.25) AS a, quantile_disc(x, 0.75) AS z FROM v GROUP BY ALL),
+q AS (SELECT r.doc_id, unnest([1, 2, 3, 4, 5]) AS k, unnest([r1, r2, r3, r4, r5]) AS x, unnest([0.05, 0.1, 0.3, 0.15, 2.0]) AS slack, lang, source FROM r),
+f AS (SELECT q.doc_id, k, x, slack, CASE WHEN g.n >= 200 THEN g.a WHEN l.n >= 200 THEN l.a ELSE w.a END AS a, CASE WHEN g.n >= 200 THEN g.z WHEN l.n >= 200 THEN l.z ELSE w.z END AS z
+  FROM q JOIN w USING (k) LEFT JOIN g ON g.k = q.k AND g.lang IS NOT DISTINCT FROM q.lang AND g.source IS NOT DISTINCT FROM q.source LEFT JOIN l ON l.k = q.k AND l.lang IS NOT DISTINCT FROM q.lang),
+o AS (SELECT doc_id, bool_or(x > z + 3 * (z - a) + slack OR (k = 5 AND x < a - 3 * (z - a) - slack)) AS beyond FROM f GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept FROM r LEFT JOIN o USING (doc_id)
+"""

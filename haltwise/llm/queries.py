@@ -74,7 +74,7 @@ QUERIES = {
         op10_sharding,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.ORACLE, "op7_chat_format": chat_format.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op4_decontamination": decontamination.ORACLE, "op7_chat_format": chat_format.ORACLE}
 
 
 def queries() -> dict:
