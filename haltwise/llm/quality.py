@@ -179,8 +179,9 @@ def judge(measured: DataFrame, fences: DataFrame) -> DataFrame:
 def assess(docs: DataFrame, keep: list[str], **params) -> DataFrame:
     """Columns `keep` of docs plus counts, rates, the group's fences and `kept`.
 
-    Measured rows, without texts, are written once to the shared folder: the
-    sketches and the joined filter both read them, and texts are read once.
+    Measured rows, with the columns `keep` only, are written once to the shared
+    folder: the sketches and the joined filter both read them, and texts are
+    read once.
     """
     m = measure(docs)
     m = stash(m.select(*dict.fromkeys([*keep, "lang", "source", *BASE, "base_failed", *SLACK])), "quality")
@@ -190,12 +191,12 @@ def assess(docs: DataFrame, keep: list[str], **params) -> DataFrame:
 def keep_good(docs: DataFrame, **params) -> DataFrame:
     """The documents that pass, with their columns as they were.
 
-    Texts are measured once for the sketches and once for the filter; so they
-    are neither written in between nor shuffled.
+    Rows are written once with their rates, so the costly measuring is done once:
+    the sketches read the rates only, the filter reads all. Texts are not shuffled
+    as long as the fences are few enough to go with the tasks.
     """
-    m = stash(measure(docs.select("text", "lang", "source")).select("lang", "source", "base_failed", *SLACK), "quality")
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "lang", "source")
-    return judge(measure(packed), _known(m, **params)).where("kept").select("_doc.*")
+    return assess(packed, keep=["_doc"], **params).where("kept").select("_doc.*")
 
 
 def op2_quality(docs: DataFrame) -> DataFrame:
