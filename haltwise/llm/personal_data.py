@@ -1,22 +1,26 @@
 """Personal data: patterns for direct identifiers, and information-theoretic sanitisation of what reveals them.
 
 Direct identifiers (e-mail and IP addresses, card and phone numbers) are found
-by fixed patterns. Other words can reveal them too. A term near mentions of an
-identifier e discloses it by the pointwise mutual information
+by fixed patterns. Other words can reveal them too. A term in the documents of
+an identifier e discloses it by the pointwise mutual information
 
     PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e)))   of   IC(e) = log2(N / n(e))
 
 where n counts documents over the whole corpus; IC - PMI = log2(n(t) / n(t, e))
 is the information still missing to name the identifier from the term. Terms
 with at most `generalise_bits` missing are generalised to their shape, those
-with at most `remove_bits` are removed, provided the pair was seen in
-`min_contexts` different contexts (copies of a passage are one context).
-
-Plan: one pass finds identifiers and the words around them; pairs are summed
-with partial aggregation. Corpus counts n(t) are needed for candidate terms
-only: a bitmap of their hashes (128 KB whatever the corpus) goes with a second
-pass, which sums counts per batch before the shuffle; an exact join follows.
-Nothing else is broadcast and the texts are not shuffled.
+with at most `remove_bits` are removed, wherever they stand, with or without the
+identifier, provided the pair was seen in `min_contexts` different contexts (a
+context is the words around the identifier and around the term, so copies of a
+passage are one).
+
+Plan: one pass finds identifiers. Only entities of `min_contexts` documents can
+be in such a pair: a second pass gives their documents' terms, summed with
+partial aggregation. Corpus counts n(t) are needed for candidate terms only: a
+third pass sums them per batch before the shuffle. A fourth finds all places of
+told terms. A bitmap of hashes (128 KB whatever the corpus) goes with each of
+these passes and an exact join follows. Nothing else is broadcast and the texts
+are not shuffled.
 
 Defined results: null or empty text has no spans; offsets are code points, end
 exclusive; repeated rows get the same spans, repeated ids with other texts their
@@ -25,9 +29,10 @@ own; other columns are kept by `sanitise`.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,9 +56,13 @@ NO_DIGIT = re.compile("[^0-9]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?()[]{}\"'|#*$%&<>"
 AROUND = 5
-FIELDS = "key long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,context:long,term:string,start:int,stop:int>>"
-#: Bits of the map of candidate terms.
+FIELDS = "key long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>"
+PAIRS = "key long, entity string, term string, context long"
+PLACES = "key long, term string, start int, stop int"
+#: Bits of a map of entities or terms.
 MAP_BITS = 1 << 20
+#: Rows of a batch that a pass gives out.
+ROWS_AT_ONCE = 50_000
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -114,42 +123,57 @@ def _entity(kind: str, surface: str) -> str:
     return f"{kind}:{surface.lower()}" if kind in ("email", "ip") else f"{kind}:{NO_DIGIT.sub('', surface)}"
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, str, int, int]]:
-    """(entity, context hash, term, start, end) of the words around each identifier, identifiers themselves left out."""
-    out = []
-    covered = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        near = []
-        # Words before, looking back far enough in growing pieces, and words after.
-        lo = a
-        for _ in range(AROUND + 1):
-            while lo > 0 and text[lo - 1] in " \t\n\x0b\x0c\r":
-                lo -= 1
-            while lo > 0 and text[lo - 1] not in " \t\n\x0b\x0c\r":
-                lo -= 1
-        before = list(WORD.finditer(text, lo, a))[-AROUND:]
-        after = []
-        for m in WORD.finditer(text, b):
-            after.append(m)
-            if len(after) == AROUND:
-                break
-        for m in [*before, *after]:
-            s, e = m.span()
-            if (t := term_of(m.group())) and not any(x < e and s < y for x, y in covered):
-                raw = m.group()
-                s += len(raw) - len(raw.lstrip(EDGE))
-                near.append((t, s, s + len(raw.strip(EDGE))))
-        context = xxhash.xxh3_64_intdigest(" ".join(t for t, _, _ in near).encode()) >> 1
-        entity = _entity(kind, text[a:b])
-        out += [(entity, context, *x) for x in near]
+def _words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every word that is a term and touches no identifier, edges left out."""
+    covered: list[list[int]] = []
+    for x, y in sorted((a, b) for _, a, b in spans):
+        if covered and x <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], y)
+        else:
+            covered.append([x, y])
+    out, i = [], 0
+    for m in WORD.finditer(text):
+        s, e = m.span()
+        while i < len(covered) and covered[i][1] <= s:
+            i += 1
+        if (i < len(covered) and covered[i][0] < e) or not (t := term_of(m.group())):
+            continue
+        raw = m.group()
+        s += len(raw) - len(raw.lstrip(EDGE))
+        out.append((t, s, s + len(raw.strip(EDGE))))
     return out
 
 
+def _hash(terms: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(terms).encode())
+
+
+def cooccurrences(text: str, spans: list[tuple[str, int, int]], wanted: Callable[[str], bool]) -> Iterator[tuple[str, list[str], np.ndarray]]:
+    """(entity, the document's terms, context hashes) for each wanted entity; a context is the words around its first mention and around the term's."""
+    first: dict[str, int] = {}
+    for kind, a, b in spans:
+        e = _entity(kind, text[a:b])
+        if e not in first or a < first[e]:
+            first[e] = a
+    first = {e: a for e, a in first.items() if wanted(e)}
+    if not first:
+        return
+    words = _words(text, spans)
+    line, starts = [t for t, _, _ in words], [s for _, s, _ in words]
+    around: dict[str, int] = {}
+    for i, t in enumerate(line):
+        if t not in around:
+            around[t] = _hash(line[max(0, i - AROUND) : i + AROUND + 1])
+    terms, near = list(around), np.array(list(around.values()), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for e, a in first.items():
+        i = bisect.bisect_left(starts, a)
+        yield e, terms, ((near ^ np.uint64(_hash(line[max(0, i - AROUND) : i + AROUND]))) >> np.uint64(1)).astype(np.int64)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
     for b in batches:
         counts: list[list[int]] = [[], [], [], []]
-        base, near = [], []
+        base, entities = [], []
         for t in b.column(2):
             text = t.as_py() or ""
             spans = base_spans(text)
@@ -157,10 +181,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, k in enumerate(KINDS):
                 counts[i].append(by[k])
             base.append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
-            near.append([dict(zip(("entity", "context", "term", "start", "stop"), m)) for m in mentions(text, spans)] if spans else [])
+            entities.append(sorted({_entity(k, text[s:e]) for k, s, e in spans}))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(near, near_type)],
-            names=["key", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near"],
+            [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.string()))],
+            names=["key", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities"],
         )
 
 
@@ -168,6 +192,11 @@ def _place(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term.encode()) % MAP_BITS
 
 
+def _in_map(bits: np.ndarray, term: str) -> bool:
+    p = _place(term)
+    return bool(bits[p >> 3] >> (p & 7) & 1)
+
+
 class _Terms(dict):
     """Word -> its term if that may be a candidate, else None; forgets all when full."""
 
@@ -178,10 +207,8 @@ class _Terms(dict):
         if len(self) >= 400_000:
             self.clear()
         t = term_of(word)
-        if t is not None:
-            p = _place(t)
-            if not self.bits[p >> 3] >> (p & 7) & 1:
-                t = None
+        if t is not None and not _in_map(self.bits, t):
+            t = None
         self[word] = t
         return t
 
@@ -199,14 +226,73 @@ def _count_terms(bits: np.ndarray):
     return run
 
 
-def _candidate_map(pairs: DataFrame) -> np.ndarray | None:
-    """Bits set at the hashes of the candidate terms: at most 32 pieces of 4 KB reach the driver."""
+def _pairs(bits: np.ndarray):
+    """Every term of a document with every entity of it that may be frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, entities, terms, contexts = [], [], [], []
+
+            def rows() -> pa.RecordBatch:
+                cols = [pa.array(keys, pa.int64()), pa.array(entities, pa.string()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64())]
+                return pa.RecordBatch.from_arrays(cols, names=["key", "entity", "term", "context"])
+
+            for key, t in zip(b.column(0), b.column(1)):
+                text = t.as_py() or ""
+                spans = base_spans(text)
+                for entity, found, near in cooccurrences(text, spans, lambda e: _in_map(bits, e)) if spans else ():
+                    keys += [key.as_py()] * len(found)
+                    entities += [entity] * len(found)
+                    terms += found
+                    contexts += near.tolist()
+                    if len(keys) >= ROWS_AT_ONCE:
+                        yield rows()
+                        keys, entities, terms, contexts = [], [], [], []
+            yield rows()
+
+    return run
+
+
+def _occurrences(bits: np.ndarray):
+    """Every place, in any text, of the terms that may be told; words that touch identifiers left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms(bits)
+        for b in batches:
+            keys, found, starts, stops = [], [], [], []
+
+            def rows() -> pa.RecordBatch:
+                cols = [pa.array(keys, pa.int64()), pa.array(found, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+                return pa.RecordBatch.from_arrays(cols, names=["key", "term", "start", "stop"])
+
+            for key, t in zip(b.column(0), b.column(1)):
+                text = t.as_py() or ""
+                held = set(map(terms.__getitem__, WORD.findall(text)))
+                held.discard(None)
+                if not held:
+                    continue
+                for term, s, e in _words(text, base_spans(text)):
+                    if term in held:
+                        keys.append(key.as_py())
+                        found.append(term)
+                        starts.append(s)
+                        stops.append(e)
+                if len(keys) >= ROWS_AT_ONCE:
+                    yield rows()
+                    keys, found, starts, stops = [], [], [], []
+            yield rows()
+
+    return run
+
+
+def _map_of(df: DataFrame, col: str) -> np.ndarray | None:
+    """Bits set at the hashes of a column's values: at most 32 pieces of 4 KB reach the driver."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_place(t) for t in b.column(0).to_pylist()], pa.int64())], names=["p"])
 
-    rows = pairs.select("term").distinct().mapInArrow(places, "p long").groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("m")).collect()
+    rows = df.select(col).distinct().mapInArrow(places, "p long").groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("m")).collect()
     if not rows:
         return None
     out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
@@ -225,20 +311,30 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     """(scanned, terms): the base findings of each row, and (key, start, stop, action) of revealing terms."""
     src = _source(docs, id_col, text_col)
     scanned = stash(src.mapInArrow(_scan, FIELDS), "pii")
-    near = scanned.where(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("key", "x.*")
-    # A document counts once for a pair, by its first context.
-    per_doc = near.groupBy("key", "entity", "term").agg(F.min("context").alias("context"))
+    none = src.select("key", F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("remove").alias("action")).limit(0)
+    # No pair has more contexts than its entity has documents.
+    mentioned = scanned.select("key", F.explode("entities").alias("entity")).distinct()
+    frequent = stash(mentioned.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= min_contexts).select("entity"), "entities")
+    bits = _map_of(frequent, "entity")
+    if bits is None:
+        return scanned, none
+    together = src.select("key", "t").mapInArrow(_pairs(bits), PAIRS).join(frequent, "entity", "left_semi")
+    # A document counts once for a pair.
+    per_doc = together.groupBy("key", "entity", "term").agg(F.min("context").alias("context"))
     by_context = per_doc.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = stash(by_context.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_te")).where(F.col("contexts") >= min_contexts), "pairs")
-    bits = _candidate_map(pairs)
+    bits = _map_of(pairs, "term")
     if bits is None:
-        return scanned, near.select("key", "start", "stop", F.lit("remove").alias("action")).limit(0)
+        return scanned, none
     counts = src.select("t").mapInArrow(_count_terms(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     missing = F.log2(F.greatest(F.col("n_t"), F.col("n_te")) / F.col("n_te"))
     told = pairs.join(counts, "term").withColumn("missing", missing).where(F.col("missing") <= generalise_bits)
-    told = told.select("entity", "term", F.when(F.col("missing") <= remove_bits, "remove").otherwise("generalise").alias("action"))
-    terms = near.join(told, ["entity", "term"]).groupBy("key", "start", "stop").agg(F.max("action").alias("action"))
-    return scanned, terms
+    told = stash(told.groupBy("term").agg(F.max(F.when(F.col("missing") <= remove_bits, "remove").otherwise("generalise")).alias("action")), "told")
+    bits = _map_of(told, "term")
+    if bits is None:
+        return scanned, none
+    places = src.select("key", "t").mapInArrow(_occurrences(bits), PLACES)
+    return scanned, places.join(told, "term").groupBy("key", "start", "stop").agg(F.max("action").alias("action"))
 
 
 def _rewrite(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int, int, str]]) -> str:

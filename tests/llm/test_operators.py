@@ -344,6 +344,21 @@ def test_op8_removes_what_reveals_an_entity(spark):
     assert "zorblax" not in personal_data.sanitise(df).where("doc_id = 0").first().text
 
 
+def test_op8_takes_told_terms_out_of_whole_texts(spark):
+    """Terms far from the identifier are counted, and taken out wherever they stand, without the identifier too."""
+    gap = [" ".join(f"{c}{i}word" for i in range(12)) for c in "abcdefgh"]
+    told = [(i, f"Quimby {gap[i]} q@far.org {gap[i]} (Quimby) {gap[i]}") for i in range(4)]
+    rest = [(4, f"{gap[4]} quimby, {gap[4]}"), (5, f"nothing {gap[5]}"), (6, f"quimbyx {gap[6]}")]
+    df = spark.createDataFrame(told + rest, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in personal_data.sanitise(df).collect()}
+    for i in range(4):
+        assert clean[i] == f"[NAME] {gap[i]} [EMAIL] {gap[i]} ([NAME]) {gap[i]}"
+    assert clean[4] == f"{gap[4]} [TERM], {gap[4]}"
+    assert clean[5] == rest[1][1] and clean[6] == rest[2][1]
+    n = {r.doc_id: r.n_term for r in personal_data.op8_personal_data(df).collect()}
+    assert n == {0: 2, 1: 2, 2: 2, 3: 2, 4: 1, 5: 0, 6: 0}
+
+
 # 9
 
 
