@@ -198,15 +198,15 @@ def _in_map(bits: np.ndarray, term: str) -> bool:
 
 
 class _Terms(dict):
-    """Word -> its term if that may be a candidate, else None; forgets all when full."""
+    """Word (UTF-8; bytes.split splits as WORD does) -> its term if that may be in the map, else None; forgets all when full."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
-    def __missing__(self, word: str) -> str | None:
+    def __missing__(self, word: bytes) -> str | None:
         if len(self) >= 400_000:
             self.clear()
-        t = term_of(word)
+        t = term_of(word.decode())
         if t is not None and not _in_map(self.bits, t):
             t = None
         self[word] = t
@@ -219,7 +219,7 @@ def _count_terms(bits: np.ndarray):
         for b in batches:
             total: Counter = Counter()
             for t in b.column(0):
-                total.update(set(map(terms.__getitem__, (t.as_py() or "").split())))
+                total.update(set(map(terms.__getitem__, (t.as_py() or "").encode().split())))
             total.pop(None, None)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
@@ -267,7 +267,7 @@ def _occurrences(bits: np.ndarray):
 
             for key, t in zip(b.column(0), b.column(1)):
                 text = t.as_py() or ""
-                held = set(map(terms.__getitem__, WORD.findall(text)))
+                held = set(map(terms.__getitem__, text.encode().split()))
                 held.discard(None)
                 if not held:
                     continue
@@ -327,8 +327,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     if bits is None:
         return scanned, none
     counts = src.select("t").mapInArrow(_count_terms(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    missing = F.log2(F.greatest(F.col("n_t"), F.col("n_te")) / F.col("n_te"))
-    told = pairs.join(counts, "term").withColumn("missing", missing).where(F.col("missing") <= generalise_bits)
+    missing = F.log2(F.greatest(F.col("n_t"), F.col("n_te")) / F.col("n_te"))  # greatest skips null
+    told = pairs.join(counts, "term", "left").withColumn("missing", missing).where(F.col("missing") <= generalise_bits)
     told = stash(told.groupBy("term").agg(F.max(F.when(F.col("missing") <= remove_bits, "remove").otherwise("generalise")).alias("action")), "told")
     bits = _map_of(told, "term")
     if bits is None:

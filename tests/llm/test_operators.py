@@ -359,6 +359,22 @@ def test_op8_takes_told_terms_out_of_whole_texts(spark):
     assert n == {0: 2, 1: 2, 2: 2, 3: 2, 4: 1, 5: 0, 6: 0}
 
 
+def test_op8_counts_terms_with_other_spaces(spark):
+    """Only ASCII spaces part words, in the corpus counts too."""
+    seps = ["\xa0", "\u3000", "\u2009", "\x85", "\x1c", "\x1f"]
+    for rows in (
+        [(i, f"filler{i} M.\xa0Quimby q@far.org words{i} Quimby\xa0: more{i}") for i in range(4)],
+        [(i, " ".join([f"filler{i}", *(f"zor{s}blax{k}" for k, s in enumerate(seps)), "q@far.org", f"words{i}"])) for i in range(4)],
+    ):
+        # Their parts as words of their own are other terms.
+        rest = [(10 + i, f"m. quimby zor blax0 blax1 blax2 blax3 blax4 blax5 plain{i}") for i in range(30)]
+        df = spark.createDataFrame(rows + rest, "doc_id long, text string")
+        clean = {r.doc_id: r.text for r in personal_data.sanitise(df).collect()}
+        for i in range(4):
+            assert "quimby" not in clean[i].lower() and "blax" not in clean[i]
+        assert all(clean[i] == t for i, t in rest)
+
+
 # 9
 
 
