@@ -4,6 +4,7 @@ Words are labelled: each has features (itself as a lexicon entry, its prefixes
 and suffixes, its character 2- and 3-grams), hashed to weights for each
 language, and neighbouring labels have learned transition weights, so a word
 that could be of several languages follows its neighbours and a text may switch.
+A word of more than 40 characters is labelled piece by piece, so all of it counts.
 Forward-backward gives each word's label probabilities; a document's language is
 the one with the largest mean probability over its words with a letter, which is
 the score too.
@@ -36,17 +37,31 @@ DIM = 1 << 16
 LETTER = re.compile(r"[^\W\d_]")
 EDGE = ".,;:!?()[]{}\"'|#*$%&<>-_…«»„“”"
 REMEMBERED_WORDS = 300_000
+#: Characters of a chain item at most (scripts without spaces have whole texts as words).
+PIECE = 40
 #: Words for which forward-backward runs at a time.
 WORDS_AT_ONCE = 600_000
 
 
+def items(text: str) -> list[str]:
+    """The chain of a text: its words in lower case, those longer than PIECE as consecutive pieces."""
+    words = text.lower().split()
+    if not words or max(map(len, words)) <= PIECE:
+        return words
+    out = []
+    for word in words:
+        if len(word) > PIECE and len(w := word.strip(EDGE)) > PIECE:
+            out += [w[i : i + PIECE] for i in range(0, len(w), PIECE)]
+        else:
+            out.append(word)
+    return out
+
+
 def features(word: str) -> list[int]:
     """Hashed lexicon, affix and n-gram features of a word (lower case)."""
     w = word.strip(EDGE)
     if not w or not LETTER.search(w):
         return []
-    # A word longer than 40 characters is described by its two ends.
-    w = w if len(w) <= 40 else w[:20] + w[-20:]
     p = f"^{w}$"
     names = [f"w{w}", *(f"p{w[:k]}" for k in (1, 2, 3) if k < len(w)), *(f"s{w[-k:]}" for k in (1, 2, 3) if k < len(w))]
     names += [p[i : i + 2] for i in range(len(p) - 1)]
@@ -129,7 +144,7 @@ class Field:
         out = [("und", 0.0)] * len(texts)
         if not self.labels:
             return out
-        known = [(i, w) for i, t in enumerate(texts) if t and LETTER.search(t) and (w := t.lower().split())]
+        known = [(i, w) for i, t in enumerate(texts) if t and LETTER.search(t) and (w := items(t))]
         known.sort(key=lambda x: -len(x[1]))
         while known:
             held, n = 0, 0
@@ -158,7 +173,7 @@ def fit(texts: list[tuple[str, str]], rounds: int = 30, rate: float = 0.15, segm
         return Field([], np.zeros((DIM, 0), np.float32), np.zeros((0, 0), np.float32))
     chains = []
     for y, t in texts:
-        w = t.lower().split()
+        w = items(t)
         chains += [(labels.index(y), w[i : i + segment]) for i in range(0, len(w), segment)]
     chains.sort(key=lambda c: -len(c[1]))
     lengths = np.array([len(w) for _, w in chains], dtype=np.int64)

@@ -211,6 +211,17 @@ def test_op5_labels_switching_words():
     assert f.labels == ["de", "en"] and (p[:15, 1] > 0.5).all() and (p[-15:, 0] > 0.5).all()
 
 
+def test_op5_reads_all_of_a_long_word():
+    """Without spaces, too, a text is judged from all of its characters."""
+    rnd = random.Random(3)
+    joined = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    fitted = language_id.fit([("aa", joined("abcde", 400)) for _ in range(20)] + [("zz", joined("vwxyz", 400)) for _ in range(20)])
+    ends = joined("abcde", 40), joined("abcde", 40)
+    (label, score), (other, _) = fitted.predict([ends[0] + joined("vwxyz", 4000) + ends[1], ends[0] + ends[1]])
+    assert label == "zz" and 0.9 < score < 1 and other == "aa"
+    assert language_id.items("Short " + "x" * 95 + ".") == ["short", "x" * 40, "x" * 40, "x" * 15]
+
+
 def test_forward_backward_is_exact():
     rnd = np.random.default_rng(3)
     s, t = rnd.normal(size=(5, 3)), rnd.normal(size=(3, 3))
