@@ -2,35 +2,105 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a map of keys that goes with the tasks: 8 MB, whatever the corpus.
+MAP_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where all tasks run on this machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     made = sc._jsc.sc().getCheckpointDir()
     if made.isEmpty():
+        if not sc.master.startswith("local["):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-"))
         made = sc._jsc.sc().getCheckpointDir()
     return made.get().rstrip("/")
 
 
-def stash(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    for p in paths:
+        at = sc._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Tables:
+    """Tables in the shared folder that a computation needs on its way; they are gone when its block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _write(df, name)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        _delete(self.spark, [self.paths.pop(id(t))[0] for t in tables if id(t) in self.paths])
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        _delete(self.spark, [p for p, _ in self.paths.values()])
+        self.paths.clear()
+
+
+#: Tables that results read from: removed by `remove_stashed`, or at the end of the program.
+_stashed: list[tuple[SparkSession, str]] = []
+
+
+def stash(df: DataFrame, name: str = "step") -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
+    out, path = _write(df, name)
+    if not _stashed:
+        atexit.register(_at_end)
+    _stashed.append((df.sparkSession, path))
+    return out
+
+
+def _at_end() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        remove_stashed()
+
+
+def stash_mark() -> int:
+    """A point in time for `remove_stashed`."""
+    return len(_stashed)
+
+
+def remove_stashed(start: int = 0, stop: int | None = None) -> None:
+    """Removes the stashed tables made between two marks: results that read them must have been written."""
+    for k in range(start, len(_stashed) if stop is None else stop):
+        spark, path = _stashed[k]
+        if path:
+            _delete(spark, [path])
+            _stashed[k] = (spark, "")
 
 
 def text_bytes(col: str = "text"):
@@ -43,6 +113,36 @@ def crc_mod(col, n: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+def map_place(*cols: str) -> Column:
+    """Where a key falls in a map."""
+    return F.pmod(F.xxhash64(*cols), F.lit(MAP_BITS))
+
+
+def map_of(keys: DataFrame, *cols: str) -> np.ndarray:
+    """A map with the bits of all keys set: the driver gets 2,048 pieces of 4 KB at most. A key may seem present that is not, never the reverse."""
+    out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    p = map_place(*cols) + 1
+    for r in keys.groupBy(F.bitmap_bucket_number(p).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("m")).collect():
+        start = (r["b"] - 1) * 4096
+        out[start : start + 4096] |= np.frombuffer(bytes(r["m"]), dtype=np.uint8)
+    return out
+
+
+def in_map(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def may_hold(spark: SparkSession, bits: np.ndarray) -> Callable[[Column], Column]:
+    """A condition on places: whether the map has them."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def held(places: pd.Series) -> pd.Series:
+        return pd.Series(in_map(shared.value, places.to_numpy()))
+
+    return held
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **conf: str):
     """Session settings for a block of driver code, put back afterwards."""

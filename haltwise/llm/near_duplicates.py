@@ -6,23 +6,32 @@ the order of a permutation of its own; at its j-th step it offers a value in
 lowers the variance of the estimate, and once all positions are taken at step j
 no later step can win, so large sets stop early.
 
-Plan: equal sets are one class, represented by the smallest id. Signatures are
-cut into bands; classes that share a band are in one bucket. Links are found
-leader by leader, never as all pairs of a bucket: first the bucket's most
-central class against the others, then members outside the bucket's largest
-component against members of other components, until every pair of different
-components in a bucket has been compared or cannot reach the threshold (sizes;
-distance of packed signatures). Every link is confirmed on full sets. Components
-come from union-find within partitions and alternating large-star and small-star
-steps across them.
+Plan: rows with equal sets are one class. Signatures are cut into bands; classes
+that share a band are in one bucket, whose leader is its smallest class. Links
+are found leader by leader, never as all pairs of a bucket: first every class
+against the leader that it shares most buckets with, then, where their
+components still differ, against its other leaders, then members outside a
+bucket's largest component against members of other components, until every pair
+of different components in a bucket has been compared or cannot reach the
+threshold (sizes; distance of packed signatures). Every link is confirmed on
+full sets: a pair carries its member's set to its leader. Components come from
+union-find within partitions, hooking and pointer jumping across them.
+
+Sets are made again only for classes that share a bucket, picked by a map of
+hashes while the texts are read where they lie, so texts are never shuffled.
+Large keys (copies of one text, a bucket of thousands, a leader) are joined with
+tables that hold one row a key, which lets Spark split them over tasks; sums over
+them are combined before the shuffle. Tables made on the way are removed at the end.
 
 A pair at exactly the threshold shares no band with a probability of
-(1 - 0.8^8)^64 = 8e-6 and is turned away by the packed signatures with less
-than 3e-5; above the threshold both fall fast.
+(1 - 0.8^6)^42 = 3e-6 and is turned away by the packed signatures with less
+than 1e-5; above the threshold both fall fast. (`tests` measure both.)
 
 Defined results: null or empty text, or one without words, has an empty set and
 is linked with nothing; fewer words than the shingle's length are one shingle;
-repeated ids are joined by id. Other columns do not matter.
+rows without an id are linked with nothing and stay; rows that repeat an id are
+documents of their own, so the id can be in two groups if the texts differ.
+Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -35,20 +44,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haltwise.llm import shingles as sh
-from haltwise.llm.common import stash, text_bytes
-
-BANDS, ROWS = 64, 8
-M = BANDS * ROWS
-#: Shingles that are signed at a time.
-SIGN_AT_ONCE = 60_000
-#: Packed signature: four bits a position, in 32 longs. Differing positions at a similarity of 0.8 are 0.1875 of 512, +- 8.8
-#: were they independent, and less so with correlated ranks; four deviations more are let pass.
-PACKED = M * 4 // 64
-MASK = 0x1111111111111111
+from haltwise.llm.common import Tables, in_map, map_of, map_place, may_hold, settings, stash, text_bytes
+
+BANDS, ROWS = 42, 6
+#: Positions of a signature (a power of two); the bands take BANDS * ROWS of them, the packed form all.
+BITS = 8
+M = 1 << BITS
+#: Shingles that are signed at a time, and texts in a batch of the passes in Python.
+SIGN_AT_ONCE = 30_000
+TEXTS_AT_ONCE = "2000"
+#: Packed signature: two bits a position, in 8 longs. Differing positions at a similarity of 0.8 are 0.15 of 256, +- 5.7
+#: were they independent, and less so with correlated ranks; five deviations more are let pass.
+PACKED = M * 2 // 64
+MASK = 0x5555555555555555
+#: Edges that a union-find holds at a time.
+EDGES_AT_ONCE = 500_000
 
 
 def _positions(key: np.ndarray, j: int) -> np.ndarray:
-    """Where elements go at step j: a keyed bijection of 0..511, so that each visits every position once."""
+    """Where elements go at step j: a keyed bijection of 0..M-1, so that each visits every position once."""
     bits = np.uint64(M - 1)
     x = (np.uint64(j) ^ key) & bits
     x = (x * ((key >> np.uint64(9)) | np.uint64(1))) & bits
@@ -79,55 +93,72 @@ def sign(sets: list[np.ndarray]) -> np.ndarray:
     return sig.reshape(d, M)
 
 
+def bands_of(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each band of each signature."""
+    acc = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sig), BANDS)).copy()
+    for r in range(ROWS):
+        acc = sh.mix(acc * np.uint64(0x9E3779B97F4A7C15) + sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)[:, :, r])
+    return acc
+
+
+def packed_of(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each position, 32 positions a word."""
+    two = (sh.mix(sig) & np.uint64(3)).reshape(len(sig), PACKED, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
+    return np.bitwise_or.reduce(two, axis=2)
+
+
+SIGNED = "doc_id long, text_key long, n long, fp binary, bands array<long>, packed array<long>"
+
+
 def _signatures(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("packed", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("packed", pa.list_(pa.int64()))])
 
-    def flush(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(ids: list, keys: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         some = [i for i, s in enumerate(sets) if len(s)]
         bands: list = [None] * len(sets)
         packed: list = [None] * len(sets)
         if some:
             sig = sign([sets[i] for i in some])
-            acc = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(some), BANDS)).copy()
-            for r in range(ROWS):
-                acc = sh.mix(acc * np.uint64(0x9E3779B97F4A7C15) + sig.reshape(-1, BANDS, ROWS)[:, :, r])
-            four = (sh.mix(sig) & np.uint64(15)).reshape(len(some), PACKED, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-            words = np.bitwise_or.reduce(four, axis=2)
-            for at, i in enumerate(some):
-                bands[i], packed[i] = acc[at].view(np.int64), words[at].view(np.int64)
+            for i, b, p in zip(some, bands_of(sig).view(np.int64), packed_of(sig).view(np.int64)):
+                bands[i], packed[i] = b, p
         prints = [np.array([sh.mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(sh.mix(s + np.uint64(77))) if len(s) else 0], dtype=np.uint64).tobytes() for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((ids, [len(s) for s in sets], prints, bands, packed), schema)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((ids, keys, [len(s) for s in sets], prints, bands, packed), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, held = [], [], 0
+        ids, keys, sets, held = [], [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for i, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 s = sh.shingle_set(t.as_py(), k)
                 ids.append(i)
+                keys.append(key)
                 sets.append(s)
                 held += len(s) + 20
                 if held >= SIGN_AT_ONCE:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield flush(ids, keys, sets)
+                    ids, keys, sets, held = [], [], [], 0
         if ids:
-            yield flush(ids, sets)
+            yield flush(ids, keys, sets)
 
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, shared):
+    """(doc_id, text_key, set) of the rows whose place is in the map."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                sets = [sh.shingle_set(t.as_py(), k).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["rep", "set"])
+            at = np.flatnonzero(in_map(bits, b.column(3).to_numpy()))
+            for some in np.array_split(at, len(at) // 300 + 1) if len(at) else ():
+                part = b.take(pa.array(some))
+                sets = [sh.shingle_set(t.as_py(), k).view(np.int64) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, type=pa.list_(pa.int64()))], names=["doc_id", "text_key", "set"])
 
     return run
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over a partition's edges: (member, smallest member) for each member."""
+    """Union-find over a partition's edges, some at a time: (member, smallest member) for each member."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -136,116 +167,176 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = p
         return x
 
+    def forest() -> pa.RecordBatch:
+        pairs = [(x, r) for x in parent if (r := find(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], names=["u", "v"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             a, c = find(u), find(v)
             if a != c:
                 parent[max(a, c)] = min(a, c)
-    pairs = [(x, r) for x in parent if (r := find(x)) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], names=["u", "v"])
+        if len(parent) >= EDGES_AT_ONCE:
+            yield forest()
+    yield forest()
+
 
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
+    """(node, comp) for the nodes of edges (u, v) that are not the smallest of their component.
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for nodes of edges (u, v) that are not the smallest of their component."""
-    edges = stash(edges.select("u", "v").mapInArrow(_roots, "u long, v long"), "edges")
+    A round: union-find in each partition leaves a forest there, in which a node has few smaller neighbours
+    (one for each partition at most); it hooks to the smallest, links the others to that one, and jumps to that one's parent.
+    """
+    used: list[DataFrame] = []
     while True:
-        # Large star: each node hands its larger neighbours to its smallest neighbour.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: each node hands itself and its smaller neighbours to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        nxt = stash(small, "edges")
-        # Done when no smallest node is a member elsewhere and no member has two.
-        state = nxt.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d")).first()
-        if state["n"] == state["d"] and nxt.select("v").distinct().join(nxt.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            return nxt.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        edges = nxt
+        forest = tables.write(edges.select("u", "v").mapInArrow(_roots, "u long, v long"), "forest")
+        parents = tables.write(forest.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), "parents")
+        tables.drop(*used)
+        jumped = parents.join(parents.select(F.col("u").alias("m"), F.col("m").alias("up")), "m", "left")
+        if jumped.where("up IS NOT NULL OR m <> most").isEmpty():
+            tables.drop(forest)
+            return parents.select(F.col("u").alias("node"), F.col("m").alias("comp"))
+        rest = forest.join(parents, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, used = jumped.select("u", F.coalesce("up", "m").alias("v")).unionByName(rest), [forest, parents]
+
+
+def most_differing(threshold: float) -> int:
+    """Differing packed positions up to which a pair may be as similar as the threshold."""
+    p = 3 / 4 * (1 - threshold)
+    return int(M * p + 5 * (M * p * (1 - p)) ** 0.5)
 
 
 def _close(threshold: float) -> Column:
     """Whether the packed signatures of l and r differ little enough."""
-    p = 15 / 16 * (1 - threshold)
-    most = int(M * p + 4 * (M * p * (1 - p)) ** 0.5)
     differ = F.lit(0)
     for i in range(PACKED):
         x = F.col("l.packed")[i].bitwiseXOR(F.col("r.packed")[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        differ += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(MASK)))
-    return differ <= most
-
+        differ += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(MASK)))
+    return differ <= most_differing(threshold)
+
+
+def _classes(docs: DataFrame, tables: Tables, shingle: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, named): doc_id, text_key, n, fp of each row; node, comp, doc_id (the smallest), fp, n of each class."""
+    spark = docs.sparkSession
+    t = text_bytes(text_col)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("text_key"), t.alias("t"))
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=TEXTS_AT_ONCE):
+        signed = tables.write(src.mapInArrow(_signatures(shingle), SIGNED), "signed")
+    rows = signed.select("doc_id", "text_key", "n", "fp")
+    first = F.min(F.struct("doc_id", "text_key"))
+    grouped = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp", "n").agg(first.alias("x"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+    # Numbers are given in order of writing and read from the table ever after.
+    classes = tables.write(grouped.select(F.monotonically_increasing_id().alias("node"), "x.*", "n", "fp", "bands", "packed"), "classes")
+
+    entries = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("bucket", "leader")
+    shared = tables.write(shared, "leaders")
+    live = tables.write(entries.join(shared, "bucket"), "buckets")
+    tables.drop(shared)
+    pairs = tables.write(live.where("node <> leader").groupBy(F.col("node").alias("u"), F.col("leader").alias("v")).agg(F.count("*").alias("c")), "pairs")
+    few = classes.select("node", "n", "packed")
+
+    alive = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    alive = tables.write(classes.select("node", "doc_id", "text_key").join(alive, "node", "left_semi"), "alive")
+    wanted = spark.sparkContext.broadcast(map_of(alive, "doc_id", "text_key"))
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=TEXTS_AT_ONCE):
+        made = tables.write(src.select("doc_id", "text_key", "t", map_place("doc_id", "text_key").alias("p")).mapInArrow(_sets(shingle, wanted), "doc_id long, text_key long, set array<long>"), "sets")
+    wanted.unpersist()
+    # Rows repeated with id and text give the same set: one is enough.
+    sets = tables.write(made.join(alive, ["doc_id", "text_key"]).select("node", "set").dropDuplicates(["node"]), "sets")
+    tables.drop(made, alive)
 
-def _first_common() -> Column:
-    """Whether the bucket is that of the first band that l and r share, so that a pair comes up once."""
-    at = F.array_position(F.zip_with(F.col("l.bands"), F.col("r.bands"), lambda x, y: x == y), F.lit(True))
-    return F.get(F.col("l.bands"), at.cast("int") - 1) == F.col("l.bucket")
+    fits = (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent)
 
+    def near(of: DataFrame) -> DataFrame:
+        """The pairs (u, v) that sizes and packed signatures leave."""
+        left = of.join(few.select(F.col("node").alias("u"), F.struct("n", "packed").alias("l")), "u")
+        return left.join(few.select(F.col("node").alias("v"), F.struct("n", "packed").alias("r")), "v").where(fits & _close(percent / 100)).select("u", "v")
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (see the module)."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
-    signed = stash(src.mapInArrow(_signatures(shingle), "doc_id long, n long, fp binary, bands array<long>, packed array<long>"), "signed")
-    full = signed.where("n > 0")
-    classes = full.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    rep_rows = full.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    entries = rep_rows.select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("size")).where("a <> b").select("bucket", "size")
-    live = entries.join(shared, "bucket")
-    live = stash(live, "buckets")
-    central = live.groupBy("rep").agg(F.sum("size").alias("central"))
-    live = stash(live.drop("size").join(central, "rep"), "buckets")
-    sets = stash(src.join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "rep long, set array<long>"), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sets.select(F.col("rep").alias("v"), F.col("set").alias("sv")), "v")
-        two = one.join(sets.select(F.col("rep").alias("u"), F.col("set").alias("su")), "u")
+    def confirmed(of: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose full sets reach the threshold; u's set goes to v."""
+        one = of.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u")
+        two = one.join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
         both = F.size(F.array_intersect("su", "sv"))
         return two.where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
-    fits = (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent)
-    pair = (F.greatest("l.rep", "r.rep").alias("u"), F.least("l.rep", "r.rep").alias("v"))
+    def apart(of: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components."""
+        named = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
+        out = of.join(named, "u", "left").join(named.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v", "left")
+        return out.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+    def joined(new: DataFrame) -> DataFrame:
+        return components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(new), tables)
 
-    # First the most central class of each bucket against the others.
-    lead = live.groupBy("bucket").agg(F.max(F.struct("central", "rep", "n")).alias("x")).select("bucket", "x.rep", "x.n")
-    pairs = live.alias("r").join(lead.alias("l"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") != F.col("r.rep")) & fits).select(*pair).distinct()
-    edges = stash(confirmed(pairs), "links")
-    comp = components(edges)
+    best = pairs.groupBy("u").agg(F.max(F.struct("c", (-F.col("v")).alias("v"))).alias("x")).select("u", (-F.col("x.v")).alias("v"))
+    comp = components(confirmed(near(best)), tables)
+    comp = joined(confirmed(near(apart(pairs.select("u", "v")))))
 
-    # Then what is outside a bucket's largest component: a few leaders, then all.
-    packed = rep_rows.select(F.col("doc_id").alias("rep"), "packed", "bands")
+    # Then what is outside a bucket's largest component: a few of each bucket against all, then all.
     for slots in (8, None):
-        now = live.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        split = now.join(parts, "bucket")
-        open_ = stash(split.join(packed, "rep"), "open")
-        live = open_.select("bucket", "rep", "n", "central")
-        minor = open_.where("comp <> major")
-        if minor.isEmpty():
+        now = live.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+        parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("parts"))
+        parts = tables.write(parts.where("parts > 1").select("bucket", F.col("x.comp").alias("major")), "parts")
+        if parts.isEmpty():
             break
+        open_ = tables.write(now.join(parts, "bucket").join(few, "node"), "open")
+        minor = open_.where("comp <> major")
         if slots:
-            minor = minor.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("central", "rep", "n", "comp", "packed", "bands")).alias("x")).select("bucket", "x.*")
-        cond = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") != F.col("r.comp")) & fits & _close(percent / 100) & _first_common()
-        pairs = open_.alias("r").join(minor.alias("l"), cond).select(*pair).distinct()
-        edges = stash(edges.unionByName(confirmed(pairs)), "links")
-        comp = components(edges)
-
-    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("comp", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "fp").join(named, ["fp", "n"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """One document of each group, all columns kept; rows that repeat an id are one document, rows without an id stay."""
-    found = stash(near_duplicates(docs, id_col=id_col, **params), "groups")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return left
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+            slot = F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")
+            minor = minor.groupBy("bucket", slot).agg(F.min(F.struct("node", "n", "comp", "packed")).alias("x")).select("bucket", "x.*")
+        minor = tables.write(minor, "minor")
+        apart_now = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") != F.col("r.comp"))
+        met = open_.alias("r").join(minor.alias("l"), apart_now & fits & _close(percent / 100)).select(F.greatest("l.node", "r.node").alias("u"), F.least("l.node", "r.node").alias("v"))
+        new = tables.write(met.distinct().join(pairs, ["u", "v"], "left_anti"), "met")
+        comp = joined(confirmed(new))
+        pairs = tables.write(pairs.select("u", "v").unionByName(new), "pairs")
+        tables.drop(parts, open_, minor, new)
+
+    named = classes.select("node", "doc_id", "text_key", "fp", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return rows, tables.write(named, "named")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept (see the module)."""
+    with Tables(docs.sparkSession) as tables:
+        rows, named = _classes(docs, tables, shingle, percent, id_col, text_col)
+        least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        names = tables.write(named.select("fp", "n", "comp").join(tables.write(least, "least"), "comp").select("fp", "n", "component_id"), "names")
+        component = F.coalesce("component_id", "doc_id")
+        out = rows.join(names, ["fp", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        return stash(out, "groups")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group (the smallest id, then text key), all columns kept.
+
+    Rows equal in id and text are one document; rows without an id, and texts without words, stay.
+    Only rows that a map of the keys to drop may hold are joined with those keys; the others are passed through where they lie.
+    """
+    spark = docs.sparkSession
+    with Tables(spark) as tables:
+        rows, named = _classes(docs, tables, shingle, percent, id_col, text_col)
+        stays = tables.write(named.groupBy("comp").agg(F.min(F.struct("doc_id", "text_key")).alias("stays")), "stays")
+        names = tables.write(named.select("fp", "n", "comp").join(stays, "comp").select("fp", "n", "stays"), "names")
+        row = F.struct("doc_id", "text_key")
+        gone = rows.join(names, ["fp", "n"]).where(F.col("doc_id").isNotNull() & (row != F.col("stays"))).select("doc_id", "text_key", F.lit(True).alias("gone"))
+        # Kept documents that occur twice with id and text: all rows but one go.
+        twice = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key", F.lit(False).alias("gone"))
+        marked = stash(gone.distinct().unionByName(twice).groupBy("doc_id", "text_key").agg(F.max("gone").alias("gone")), "gone")
+    bits = map_of(marked, "doc_id", "text_key")
+    id_, text_key = F.col(id_col).cast("long"), F.xxhash64(text_bytes(text_col))
+    place = F.pmod(F.xxhash64(id_, text_key), F.lit(bits.size * 8))
+    held = F.coalesce(may_hold(spark, bits)(place), F.lit(False))
+    sure = docs.where(~held)
+    open_ = docs.where(held).withColumns({"_id": id_, "_key": text_key})
+    met = open_.join(marked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone"), ["_id", "_key"], "left")
+    out = sure.unionByName(met.where(F.col("gone").isNull()).select(*docs.columns))
+    again = met.where(~F.col("gone"))
+    if marked.where(~F.col("gone")).isEmpty():
+        return out
+    return out.unionByName(again.dropDuplicates(["_id", "_key"]).select(*docs.columns))
 
 
 def op3_near_duplicates(docs: DataFrame) -> DataFrame:
