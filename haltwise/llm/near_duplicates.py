@@ -125,19 +125,20 @@ def _signatures(k: int):
         return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((ids, keys, [len(s) for s in sets], prints, bands, packed), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, sets, held = [], [], [], 0
+        # Small sets take more steps than large ones, so sets are signed together with others of their size.
+        pools: dict[int, list] = {}
         for b in batches:
             for i, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 s = sh.shingle_set(t.as_py(), k)
-                ids.append(i)
-                keys.append(key)
-                sets.append(s)
-                held += len(s) + 20
-                if held >= SIGN_AT_ONCE:
-                    yield flush(ids, keys, sets)
-                    ids, keys, sets, held = [], [], [], 0
-        if ids:
-            yield flush(ids, keys, sets)
+                pool = pools.setdefault(len(s).bit_length() // 2, [0, [], [], []])
+                pool[0] += len(s) + 20
+                for to, x in zip(pool[1:], (i, key, s)):
+                    to.append(x)
+                if pool[0] >= SIGN_AT_ONCE:
+                    yield flush(*pool[1:])
+                    del pools[len(s).bit_length() // 2]
+        for pool in pools.values():
+            yield flush(*pool[1:])
 
     return run
 
