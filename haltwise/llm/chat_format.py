@@ -13,9 +13,15 @@ also a line end becomes `\\n`), so no text can open or close a turn, and the
 texts can be read back. Assistant texts, not their marks, are under the loss
 mask. Only DataFrame functions are used.
 
-Defined results: a null text or role is empty; a record whose fingerprint no
-mapping knows gives no turn and the layout null; a conversation without turns
-is not in the output; repeated rows are turns of their own, ties go by role and
+A record with fields that no mapping reads (an id, a name in a message) has a
+fingerprint of its own; it is read by the first mapping that knows what is left
+of the record once those fields are left out. A record too long for a variant
+(16 MB) is fingerprinted by its field names alone, and so are the mappings.
+
+Defined results: a null text or role is empty; a record that no mapping knows is
+one row without role and text whose layout is null, which formatting passes over
+(`rejected` counts them by conversation); a conversation without turns
+is not in the output; texts may be as long as a string can be; repeated rows are turns of their own, ties go by role and
 text; conversation ids may be null and then form one conversation.
 A conversation becomes one string, so its turns meet in one row.
 """
@@ -83,29 +89,53 @@ MAPPINGS = (
 
 
 def paths(record: Column) -> Column:
-    """The nested field paths of a JSON record: names sorted, objects and arrays kept, scalar types left out."""
+    """The nested field paths of a JSON record: names sorted, objects and arrays kept, scalar types left out. Null if it is no JSON or too long."""
     schema = F.schema_of_variant(F.try_parse_json(record))
-    bare = F.regexp_replace(F.regexp_replace(schema, r": (?!OBJECT|ARRAY)[A-Z_]+(\(\d+,\d+\))?", ""), r"<[A-Z_]+(\(\d+,\d+\))?>", "<>")
-    # A record too long for a variant still has its own field names.
-    flat = F.concat(F.lit("OBJECT<"), F.array_join(F.array_sort(F.json_object_keys(record)), ", "), F.lit(">"))
-    return F.coalesce(bare, flat)
+    return F.regexp_replace(F.regexp_replace(schema, r": (?!OBJECT|ARRAY)[A-Z_]+(\(\d+,\d+\))?", ""), r"<[A-Z_]+(\(\d+,\d+\))?>", "<>")
 
 
 def fingerprint(record: Column) -> Column:
-    return F.xxhash64(paths(record))
+    """A hash of the field paths; null where there are none."""
+    p = paths(record)
+    return F.when(p.isNotNull(), F.xxhash64(p))
+
+
+def names(path: str) -> str:
+    """A path without what is nested in it: `a, b` of `OBJECT<a: ARRAY<...>, b>`."""
+    out, depth = "", 0
+    for c in path.removeprefix("OBJECT"):
+        depth += (c == "<") - (c == ">")
+        if depth == 1 and c != "<" and not (c == ">"):
+            out += c
+    return ", ".join(part.split(":")[0].strip() for part in out.split(","))
+
+
+def _read(m: Mapping, record: str) -> Column:
+    return F.expr(f"element_at(transform(array(from_json({record}, '{m.schema}')), r -> {m.turns}), 1)")
 
 
 def canonical_turns(records: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """conv_id, seq (order in the table, place in the record), role, text and layout, one row per turn."""
+    """conv_id, seq (order in the table, place in the record), role, text and layout, one row per turn, and one for each record without a layout."""
     base = records.select(F.col(conv_col).alias("conv_id"), F.col(order_col).alias("_o"), F.col(record_col).alias("_j"), fingerprint(F.col(record_col)).alias("fp"))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    exact = pruned = long = F.lit(None).cast("string")
+    own_names = F.array_join(F.array_sort(F.json_object_keys("_j")), ", ")
+    for m in reversed(mappings):
+        known = [F.xxhash64(F.lit(p)) for p in m.paths]
+        exact = F.when(F.col("fp").isin(known), F.lit(m.name)).otherwise(exact)
+        pruned = F.when(fingerprint(F.to_json(F.from_json("_j", m.schema))).isin(known), F.lit(m.name)).otherwise(pruned)
+        long = F.when(own_names.isin([names(p) for p in m.paths]), F.lit(m.name)).otherwise(long)
+    found = base.withColumn("layout", F.when(F.col("fp").isNull(), long).otherwise(F.coalesce(exact, pruned)))
+    turns = F.lit(None).cast(TURNS)
     for m in mappings:
-        known = F.col("fp").isin([F.xxhash64(F.lit(p)) for p in m.paths])
-        read = F.expr(f"element_at(transform(array(from_json(_j, '{m.schema}')), r -> {m.turns}), 1)")
-        layout, turns = F.when(known, F.lit(m.name)).otherwise(layout), F.when(known, read).otherwise(turns)
-    return base.select("conv_id", "_o", layout.alias("layout"), F.posexplode(turns).alias("_p", "_t")).select(
-        "conv_id", F.struct("_o", "_p").alias("seq"), F.coalesce("_t.role", F.lit("")).alias("role"), F.coalesce("_t.text", F.lit("")).alias("text"), "layout"
-    )
+        turns = F.when(F.col("layout") == m.name, _read(m, "_j")).otherwise(turns)
+    each = found.select("conv_id", "_o", "layout", F.posexplode_outer(turns).alias("_p", "_t")).where("layout IS NULL OR _p IS NOT NULL")
+    said = lambda c: F.when(F.col("layout").isNotNull(), F.coalesce(f"_t.{c}", F.lit(""))).alias(c)
+    return each.select("conv_id", F.struct("_o", "_p").alias("seq"), said("role"), said("text"), "layout")
+
+
+def rejected(turns: DataFrame) -> DataFrame:
+    """conv_id and its number of records without a layout."""
+    return turns.where("layout IS NULL").groupBy("conv_id").agg(F.count("*").alias("n_records"))
 
 
 def escape(c: Column) -> Column:
@@ -118,7 +148,7 @@ def unescape(c: Column) -> Column:
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, and segments: (text, loss) in order, whose texts joined are `formatted` and whose loss flags are the mask."""
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "text"))).alias("_t"))
+    grouped = turns.where("layout IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "text"))).alias("_t"))
 
     def parts(t: Column) -> Column:
         loss = t["role"] == "assistant"

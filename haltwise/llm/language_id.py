@@ -7,7 +7,7 @@ that could be of several languages follows its neighbours and a text may switch.
 A word of more than 40 characters is labelled piece by piece, so all of it counts.
 Forward-backward gives each word's label probabilities; a document's language is
 the one with the largest mean probability over its words with a letter, which is
-the score too.
+the score too. Letters are characters of the letter categories.
 
 The field is fitted on a bounded sample: about `per_language` whole texts of
 each label (at most `sample_chars` characters each), chosen by a hash of the id.
@@ -21,7 +21,6 @@ repeated rows are labelled alike; other columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,15 +33,21 @@ from pyspark.sql import functions as F
 from haltwise.llm.common import crc_mod
 
 DIM = 1 << 16
-LETTER = re.compile(r"[^\W\d_]")
 EDGE = ".,;:!?()[]{}\"'|#*$%&<>-_…«»„“”"
 REMEMBERED_WORDS = 300_000
 #: Characters of a chain item at most (scripts without spaces have whole texts as words).
 PIECE = 40
+#: Labels at most: weights take 256 KB each.
+MAX_LABELS = 400
 #: Words for which forward-backward runs at a time.
 WORDS_AT_ONCE = 600_000
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category (numbers such as ½ or ② are not)."""
+    return text.isalpha() or any(map(str.isalpha, text))
+
+
 def items(text: str) -> list[str]:
     """The chain of a text: its words in lower case, those longer than PIECE as consecutive pieces."""
     words = text.lower().split()
@@ -60,7 +65,7 @@ def items(text: str) -> list[str]:
 def features(word: str) -> list[int]:
     """Hashed lexicon, affix and n-gram features of a word (lower case)."""
     w = word.strip(EDGE)
-    if not w or not LETTER.search(w):
+    if not has_letter(w):
         return []
     p = f"^{w}$"
     names = [f"w{w}", *(f"p{w[:k]}" for k in (1, 2, 3) if k < len(w)), *(f"s{w[-k:]}" for k in (1, 2, 3) if k < len(w))]
@@ -144,7 +149,7 @@ class Field:
         out = [("und", 0.0)] * len(texts)
         if not self.labels:
             return out
-        known = [(i, w) for i, t in enumerate(texts) if t and LETTER.search(t) and (w := items(t))]
+        known = [(i, w) for i, t in enumerate(texts) if t and has_letter(t) and (w := items(t))]
         known.sort(key=lambda x: -len(x[1]))
         while known:
             held, n = 0, 0
@@ -154,7 +159,7 @@ class Field:
             part, known = known[:n], known[n:]
             words = [w for _, ws in part for w in ws]
             p, _ = self.label_words([w for _, w in part])
-            spoken = np.fromiter((bool(LETTER.search(w)) for w in words), dtype=bool, count=len(words))
+            spoken = np.fromiter((has_letter(w) for w in words), dtype=bool, count=len(words))
             starts = np.concatenate([[0], np.cumsum([len(w) for _, w in part])[:-1]])
             total = np.add.reduceat(p * spoken[:, None], starts, axis=0, dtype=np.float64)
             number = np.maximum(1, np.add.reduceat(spoken.astype(np.int64), starts))
@@ -165,8 +170,8 @@ class Field:
         return out
 
 
-def fit(texts: list[tuple[str, str]], rounds: int = 30, rate: float = 0.15, segment: int = 50, ridge: float = 1e-4) -> Field:
-    """Fits by full-batch Adam on the log-likelihood of the labelled chains, cut into segments."""
+def fit(texts: list[tuple[str, str]], rounds: int = 30, rate: float = 0.15, segment: int = 50, ridge: float = 1e-4, mix_every: int = 4) -> Field:
+    """Fits by full-batch Adam on the log-likelihood of the labelled chains, cut into segments; some go on in another label."""
     labels = sorted({y for y, _ in texts})
     n = len(labels)
     if not n:
@@ -174,12 +179,18 @@ def fit(texts: list[tuple[str, str]], rounds: int = 30, rate: float = 0.15, segm
     chains = []
     for y, t in texts:
         w = items(t)
-        chains += [(labels.index(y), w[i : i + segment]) for i in range(0, len(w), segment)]
+        chains += [([labels.index(y)] * len(w[i : i + segment]), w[i : i + segment]) for i in range(0, len(w), segment)]
+    # Texts have one label each. So that transitions between labels are learned too, every mix_every-th chain goes on with
+    # the second half of another one, half the sample away, whatever its label.
+    far = len(chains) // 2
+    for i in range(0, far, mix_every):
+        (y, w), (z, x) = chains[i], chains[i + far]
+        chains[i] = (y[: len(w) // 2] + z[len(x) // 2 :], w[: len(w) // 2] + x[len(x) // 2 :])
     chains.sort(key=lambda c: -len(c[1]))
     lengths = np.array([len(w) for _, w in chains], dtype=np.int64)
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in chains for w in ws}))}
     at = np.fromiter((vocabulary[w] for _, ws in chains for w in ws), dtype=np.int64)
-    gold = np.repeat(np.array([y for y, _ in chains], dtype=np.int64), lengths)
+    gold = np.fromiter((y for ys, _ in chains for y in ys), dtype=np.int64)
     each = [features(w) for w in vocabulary]
     flat = np.fromiter((k for x in each for k in x), dtype=np.int64)
     owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
@@ -215,6 +226,8 @@ def learn(docs: DataFrame, per_language: int = 150, sample_chars: int = 8_000, i
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.length(F.col(text_col)).between(1, sample_chars))
     rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     counts = sorted((r["l"], r["count"]) for r in rows.groupBy("l").count().collect())  # one row for each label
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"{len(counts)} labels: the weights go to every task and are bounded by {MAX_LABELS} labels")
     texts: list[tuple[str, str]] = []
     if counts:
         share = F.lit(0.0)

@@ -331,13 +331,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     place = F.pmod(F.xxhash64(id_, text_key), F.lit(bits.size * 8))
     held = F.coalesce(may_hold(spark, bits)(place), F.lit(False))
     sure = docs.where(~held)
-    open_ = docs.where(held).withColumns({"_id": id_, "_key": text_key})
-    met = open_.join(marked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone"), ["_id", "_key"], "left")
-    out = sure.unionByName(met.where(F.col("gone").isNull()).select(*docs.columns))
-    again = met.where(~F.col("gone"))
+    open_ = docs.where(held).select(F.struct(*docs.columns).alias("row"), id_.alias("doc_id"), text_key.alias("text_key"))
+    met = open_.join(marked, ["doc_id", "text_key"], "left")
+    out = sure.unionByName(met.where(F.col("gone").isNull()).select("row.*"))
     if marked.where(~F.col("gone")).isEmpty():
         return out
-    return out.unionByName(again.dropDuplicates(["_id", "_key"]).select(*docs.columns))
+    return out.unionByName(met.where(~F.col("gone")).dropDuplicates(["doc_id", "text_key"]).select("row.*"))
 
 
 def op3_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ these passes and an exact join follows. Nothing else is broadcast and the texts
 are not shuffled.
 
 Defined results: null or empty text has no spans; offsets are code points, end
-exclusive; repeated rows get the same spans, repeated ids with other texts their
-own; other columns are kept by `sanitise`.
+exclusive; repeated rows count each and get the same spans, repeated ids with
+other texts their own; other columns are kept by `sanitise`.
 """
 
 from __future__ import annotations
@@ -319,9 +319,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     if bits is None:
         return scanned, none
     together = src.select("key", "t").mapInArrow(_pairs(bits), PAIRS).join(frequent, "entity", "left_semi")
-    # A document counts once for a pair.
-    per_doc = together.groupBy("key", "entity", "term").agg(F.min("context").alias("context"))
-    by_context = per_doc.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    # Each row gives a pair once, so n(t, e) and n(t) both count rows; contexts count however often a row is repeated once.
+    by_context = together.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = stash(by_context.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_te")).where(F.col("contexts") >= min_contexts), "pairs")
     bits = _map_of(pairs, "term")
     if bits is None:

@@ -31,6 +31,8 @@ LINE, BARE = "\x01", "\x02"
 #: Units of text (words with their space) whose ids a Python worker remembers.
 REMEMBERED_UNITS = 400_000
 REMEMBERED_PAIRS = 1_000_000
+#: A rank after all merges.
+LAST = 1 << 60
 OUT = T.StructType(
     [
         T.StructField("ids", T.BinaryType()),
@@ -90,16 +92,20 @@ class PrefixTable:
         self.id_by_rank = order
         self.length = [len(pieces[i]) for i in order]
         rank_of = {pieces[i]: r for r, i in enumerate(order)}
-        self.left, self.right = list(range(len(order))), list(range(len(order)))
         self.merged: dict[tuple[int, int], int] = {}
+        # By token: (token, rank at which it is merged away) from the whole token down to its last, or first, character.
+        self.right_edge: list[list[tuple[int, int]]] = [[(r, LAST)] for r in range(len(order))]
+        self.left_edge: list[list[tuple[int, int]]] = [[(r, LAST)] for r in range(len(order))]
         self.pairs: dict[int, bool] = {}
         reached = set(range(len(singles)))
         for r in range(len(singles), len(order)):
             p = pieces[order[r]]
             for k in range(1, len(p)):
                 a, b = rank_of.get(p[:k]), rank_of.get(p[k:])
-                if a is not None and b is not None and a < r and b < r and a in reached and b in reached and self._test(a, b):
-                    self.left[r], self.right[r], self.merged[a, b] = a, b, r
+                if a is not None and b is not None and a < r and b < r and a in reached and b in reached and self._stable(a, b):
+                    self.merged[a, b] = r
+                    self.left_edge[r] += [(a, r), *self.left_edge[a][1:]]
+                    self.right_edge[r] += [(b, r), *self.right_edge[b][1:]]
                     reached.add(r)
                     break
         self.pairs.clear()
@@ -112,30 +118,26 @@ class PrefixTable:
         self.units = _Units(self)
         self.runs: dict[int, list[int]] = {}
 
-    def _test(self, a: int, b: int) -> bool:
-        """Whether tokens a and b can stand side by side: undo their merges from the latest back and see that no merge across the boundary came first."""
-        merged, left, right = self.merged, self.left, self.right
-        limit = 1 << 60
-        while True:
-            if merged.get((a, b), limit) < limit:
-                return False
-            if a > b:
-                limit, a = a, right[a]
-                if a == limit:
-                    limit, b = b + 1, left[b]
-                    if b + 1 == limit:
-                        return True
-            else:
-                limit, b = b + 1, left[b]
-                if b + 1 == limit:
-                    limit, a = a, right[a]
-                    if a == limit:
-                        return True
+    def _stable(self, a: int, b: int) -> bool:
+        """Whether a and b can stand side by side in an encoding.
+
+        Merges happen in the order of their ranks. On its way to a, the text left of the boundary ends in the tokens of a's
+        right edge, each there until the next larger one is merged; likewise b's left edge. If some token of the one edge
+        merges with some token of the other before either is gone, a and b would not have come about. Of equal merges the
+        left one goes first, so at a tie the left token is gone and the right one is not.
+        """
+        merged = self.merged
+        for x, x_gone in self.right_edge[a]:
+            for y, y_gone in self.left_edge[b]:
+                rank = merged.get((x, y))
+                if rank is not None and rank < x_gone and rank <= y_gone:
+                    return False
+        return True
 
     def _learn(self, key: int) -> bool:
         if len(self.pairs) >= REMEMBERED_PAIRS:
             self.pairs.clear()
-        got = self.pairs[key] = self._test(key >> 20, key & 0xFFFFF)
+        got = self.pairs[key] = self._stable(key >> 20, key & 0xFFFFF)
         return got
 
     def encode_unit(self, unit: str) -> list[int]:
