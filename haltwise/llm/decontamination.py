@@ -127,6 +127,7 @@ def _searcher(block: list[tuple[int, bytes]], shingle: int, percent: int):
                         rows += [(d, index.ids[i], len(index.sets[i]), c) for i, c in index.search(s)]
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], names=["doc_id", "item_id", "n_item_shingles", "containment"])
+        sh.forget()
 
     return run
 
@@ -149,6 +150,7 @@ def _flag(block: list[tuple[int, bytes]], shingle: int, percent: int):
         index = Index(block, shingle, percent)
         for texts in batches:
             yield pd.Series([bool(index.ids) and len(s := sh.shingle_set(t, shingle)) > 0 and bool(index.search(s)) for t in texts], dtype=bool)
+        sh.forget()
 
     flag.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(flag, BooleanType())

@@ -139,6 +139,7 @@ def _signatures(k: int):
                     del pools[len(s).bit_length() // 2]
         for pool in pools.values():
             yield flush(*pool[1:])
+        sh.forget()
 
     return run
 
@@ -154,6 +155,7 @@ def _sets(k: int, shared):
                 part = b.take(pa.array(some))
                 sets = [sh.shingle_set(t.as_py(), k).view(np.int64) for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, type=pa.list_(pa.int64()))], names=["doc_id", "text_key", "set"])
+        sh.forget()
 
     return run
 

@@ -204,7 +204,7 @@ class _Terms(dict):
         self.bits = bits
 
     def __missing__(self, word: bytes) -> str | None:
-        if len(self) >= 400_000:
+        if len(self) >= 250_000:
             self.clear()
         t = term_of(word.decode())
         if t is not None and not _in_map(self.bits, t):

@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -28,9 +29,9 @@ from pyspark.sql import types as T
 SPACE = "▁"
 #: Marks keys of remembered units: a line end and what follows it; a unit without a space mark.
 LINE, BARE = "\x01", "\x02"
-#: Units of text (words with their space) whose ids a Python worker remembers.
-REMEMBERED_UNITS = 400_000
-REMEMBERED_PAIRS = 1_000_000
+#: Units of text (words with their space) whose ids a task remembers, and pairs of tokens that it has tested.
+REMEMBERED_UNITS = 300_000
+REMEMBERED_PAIRS = 400_000
 #: A rank after all merges.
 LAST = 1 << 60
 OUT = T.StructType(
@@ -193,6 +194,12 @@ class PrefixTable:
             self.runs[k] = [self.space_runs[s] if s > 1 else self.id_of[SPACE] for s in size if s]
         return self.runs[k]
 
+    def forget(self) -> None:
+        """At a task's end: a Python worker goes on to other tasks, of other operators too."""
+        self.units.clear()
+        self.pairs.clear()
+        self.runs.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, without begin and end, as little-endian uint32."""
         if not text:
@@ -232,13 +239,16 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", b
     with open(model_path, "rb") as f:
         model = f.read()
 
-    @F.pandas_udf(OUT)
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    def coded(batches):
         t = table_of(model)
         head, tail = (np.asarray([i], dtype="<u4").tobytes() if on else b"" for i, on in ((t.bos, bos), (t.eos, eos)))
-        ids = [head + t.encode(x or "") + tail for x in texts]
-        return pd.DataFrame({"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [t.decode(x) if decode else None for x in ids]})
+        for texts in batches:
+            ids = [head + t.encode(x or "") + tail for x in texts]
+            yield pd.DataFrame({"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [t.decode(x) if decode else None for x in ids]})
+        t.forget()
 
+    coded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    encode = F.pandas_udf(coded, OUT)
     kept = [c for c in docs.columns if c not in OUT.fieldNames()]
     return docs.select(*kept, encode(F.col(text_col)).alias("_e")).select(*kept, "_e.*")
 

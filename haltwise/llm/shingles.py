@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-REMEMBERED_WORDS = 400_000
+#: Word hashes that a task remembers.
+REMEMBERED_WORDS = 250_000
 _MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -22,6 +23,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """At a task's end: a Python worker goes on to other tasks, of other operators too."""
+    _words.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1

@@ -49,6 +49,17 @@ class Encoder:
         return char[starts], char[ends - 1] + 1
 
 
+_encoders: dict[tuple[bytes, str], Encoder] = {}
+
+
+def encoder_of(ranks: bytes, pattern: str) -> Encoder:
+    """The encoder of a vocabulary, made once in a Python worker."""
+    if (ranks, pattern) not in _encoders:
+        _encoders.clear()
+        _encoders[ranks, pattern] = Encoder(ranks, pattern)
+    return _encoders[ranks, pattern]
+
+
 def allocate(starts: np.ndarray, ends: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
     """The section of each token, -1 for none."""
     if not len(opens) or not len(starts):
@@ -87,7 +98,7 @@ def count_sections(docs: DataFrame, ranks_path: str, pattern: str, sections: str
         ranks = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks, pattern)
+        encoder = encoder_of(ranks, pattern)
         for b in batches:
             for at in range(0, b.num_rows, 1_000):
                 part = b.slice(at, 1_000)
