@@ -155,3 +155,21 @@ def snap_topology(links: DataFrame, tolerance: float = 0.01) -> DataFrame:
 def one_way(oneway: Column) -> Column:
     """Direction code of a line: B for both, FT along it."""
     return F.when(oneway == "yes", F.lit("FT")).otherwise(F.lit("B"))
+
+
+def sections_of_lines(lines: DataFrame, nodes: DataFrame, metres: float = 100.0) -> DataFrame:
+    """Drawn sections with via_nodes: the nodes nearest to the line's ends, null where none is within the distance."""
+    at = lambda end: lines.select("section_id", end["x"].alias("x"), end["y"].alias("y"))
+    first = nearest_nodes(at(g.start_point(F.col("geom"))), nodes, metres, "section_id").select("section_id", F.col("node_id").alias("_i"))
+    last = nearest_nodes(at(g.end_point(F.col("geom"))), nodes, metres, "section_id").select("section_id", F.col("node_id").alias("_j"))
+    return lines.join(first, "section_id", "left").join(last, "section_id", "left").withColumn("via_nodes", F.array("_i", "_j")).drop("_i", "_j", "geom")
+
+
+def upsert_sections(sections: DataFrame, drawn: DataFrame) -> DataFrame:
+    """sections with the drawn ones in place of those of the same id, or added."""
+    return sections.join(drawn.select("section_id"), "section_id", "left_anti").select(*sections.columns).unionByName(drawn.select(*sections.columns))
+
+
+def delete_sections(sections: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections, their links) without the sections gone."""
+    return tuple(x.join(gone.select("section_id").distinct(), "section_id", "left_anti") for x in (sections, links))

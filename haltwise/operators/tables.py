@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haltwise.functions.scalar import seconds_between
@@ -44,3 +44,44 @@ def append_rows(df: DataFrame, path: str) -> None:
 def overwrite_days(df: DataFrame, path: str, day: str, sort: list[str]) -> None:
     """Writes by day, replacing just the days that df has, rows in the order that later reads want."""
     df.sortWithinPartitions(*sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def xy_view(points: DataFrame, geom: str = "geom") -> DataFrame:
+    """Points with plain x and y in place of their geometry."""
+    return points.withColumn("x", F.col(geom)["x"]).withColumn("y", F.col(geom)["y"]).drop(geom)
+
+
+def union_lines(**by_mode: DataFrame) -> DataFrame:
+    """Lines of several modes as one table; the same line of one mode once."""
+    out = None
+    for mode, lines in sorted(by_mode.items()):
+        part = lines.withColumn("mode", F.lit(mode)).distinct()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def truncate_order(references: dict[str, list[str]]) -> list[str]:
+    """Tables in the order in which they can be emptied: those that refer to others before these. references: table, what it refers to."""
+    order: list[str] = []
+
+    def visit(name: str, path: tuple[str, ...]) -> None:
+        if name in path:
+            raise ValueError(f"tables refer to each other: {' -> '.join([*path, name])}")
+        if name not in order:
+            for other in references.get(name, []):
+                visit(other, (*path, name))
+            order.append(name)
+
+    for name in sorted(references):
+        visit(name, ())
+    return order[::-1]
+
+
+def truncate_tables(spark: SparkSession, folder: str, references: dict[str, list[str]]) -> list[str]:
+    """Empties the tables of a folder in that order, schemas kept; returns the order."""
+    order = truncate_order(references)
+    for name in order:
+        path = f"{folder}/{name}"
+        schema = spark.read.parquet(path).schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return order

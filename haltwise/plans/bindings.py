@@ -55,9 +55,9 @@ CALENDAR = """
 SELECT c_custkey AS service_id, CAST(min(o_orderdate) AS DATE) AS start_date, CAST(max(o_orderdate) AS DATE) AS end_date,
   c_custkey % 2 = 1 AS sunday, floor(c_custkey / 2) % 2 = 1 AS monday, floor(c_custkey / 4) % 2 = 1 AS tuesday, floor(c_custkey / 8) % 2 = 1 AS wednesday,
   floor(c_custkey / 16) % 2 = 1 AS thursday, floor(c_custkey / 32) % 2 = 1 AS friday, floor(c_custkey / 64) % 2 = 1 AS saturday
-FROM {customer} JOIN {orders} ON c_custkey = o_custkey WHERE c_custkey % 50 = 0 GROUP BY c_custkey"""
+FROM {customer} JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey"""
 EXCEPTIONS = """
-SELECT DISTINCT o_custkey AS service_id, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS exception_type FROM {orders} WHERE o_custkey % 50 = 0"""
+SELECT DISTINCT o_custkey AS service_id, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS exception_type FROM {orders}"""
 STOP_TIMES = """
 SELECT l_orderkey AS trip_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS stop_sequence,
   CAST(l_suppkey % 3 AS BIGINT) AS stop_id, CAST(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS departure_s,

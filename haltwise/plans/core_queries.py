@@ -70,7 +70,7 @@ def halt_extended_stop_match(t: Tables) -> DataFrame:
     return out.select("jrnid", epoch_us(F.col("tst")).alias("tst_us"), epoch_us(F.col("end_tst")).alias("end_us"), r("unknown_s").alias("unknown_s"), r("door_unknown_s").alias("door_unknown_s"), F.col("link_id").cast("long").alias("link_id"), "link_reversed", r("location_m").alias("location_m"), "stop_id")
 
 
-_SECTIONS = f"SELECT route_ver_id AS section_id, link_seq, link_id, link_reversed, length_m FROM ({ROUTE_LINKS}) s WHERE route_ver_id % 97 = 0"
+_SECTIONS = f"SELECT route_ver_id AS section_id, link_seq, link_id, link_reversed, length_m FROM ({ROUTE_LINKS}) s"
 
 
 @query(

@@ -54,9 +54,9 @@ def route_link_cumulative(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH q AS ({ROUTE_LINKS}), c AS (SELECT *, sum(length_m) OVER (PARTITION BY route_ver_id ORDER BY link_seq ROWS UNBOUNDED PRECEDING) - length_m AS start_m FROM q), s AS ({STOPS})
-SELECT route_ver_id AS section_id, link_seq, stop_id, round(start_m + location_on_link * length_m, 4) AS location_m FROM c JOIN s ON s.link_id = c.link_id AND s.link_reversed = c.link_reversed WHERE route_ver_id % 50 = 0""")
+SELECT route_ver_id AS section_id, link_seq, stop_id, round(start_m + location_on_link * length_m, 4) AS location_m FROM c JOIN s ON s.link_id = c.link_id AND s.link_reversed = c.link_reversed""")
 def section_stop_points(t: Tables) -> DataFrame:
-    rows = t.sql(ROUTE_LINKS).where("route_ver_id % 50 = 0").withColumnRenamed("route_ver_id", "section_id")
+    rows = t.sql(ROUTE_LINKS).withColumnRenamed("route_ver_id", "section_id")
     return network.section_stop_points(rows, t.sql(STOPS)).select("section_id", "link_seq", "stop_id", r("location_m").alias("location_m"))
 
 
@@ -244,7 +244,7 @@ def vld_stop_on_route_no_link_ref_on_stop(t: Tables) -> DataFrame:
     return validation.no_link_on_stop(t.sql(STOP_ON_ROUTE), t.sql(STOPS)).select("route_ver_id", "stop_seq", "stop_id", "tie")
 
 
-_ROUTE_NODES = f"SELECT q.*, CASE WHEN link_reversed THEN j_node ELSE i_node END AS i_node, CASE WHEN link_reversed THEN i_node ELSE j_node END AS j_node FROM ({ROUTE_LINKS}) q JOIN (SELECT link_id AS l, i_node, j_node FROM ({LINKS}) k) n ON n.l = q.link_id WHERE route_ver_id % 10 = 0"
+_ROUTE_NODES = f"SELECT q.*, CASE WHEN link_reversed THEN j_node ELSE i_node END AS i_node, CASE WHEN link_reversed THEN i_node ELSE j_node END AS j_node FROM ({ROUTE_LINKS}) q JOIN (SELECT link_id AS l, i_node, j_node FROM ({LINKS}) k) n ON n.l = q.link_id"
 
 
 @query(f"SELECT route_ver_id, link_seq, link_id FROM (SELECT *, lag(j_node) OVER (PARTITION BY route_ver_id ORDER BY link_seq) AS p FROM ({_ROUTE_NODES}) r) WHERE i_node <> p")

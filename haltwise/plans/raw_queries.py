@@ -57,7 +57,7 @@ def raw_dedup_by_tst(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_MOVED}, z AS (SELECT jrnid, obs_num, obs_id, x, y, epoch_us(tst) / 1e6 AS t, odo::DOUBLE AS odo, spd FROM m WHERE jrnid % 10 = 0),
+    f"""WITH RECURSIVE {_MOVED}, z AS (SELECT jrnid, obs_num, obs_id, x, y, epoch_us(tst) / 1e6 AS t, odo::DOUBLE AS odo, spd FROM m),
 f AS (SELECT jrnid, obs_num, obs_id, true AS kept, x, y, t, odo, spd FROM z WHERE obs_num = 1
 UNION ALL SELECT jrnid, obs_num, obs_id, ok, CASE WHEN ok THEN nx ELSE x END, CASE WHEN ok THEN ny ELSE y END, CASE WHEN ok THEN nt ELSE t END, CASE WHEN ok THEN no ELSE odo END, CASE WHEN ok THEN v ELSE spd END
  FROM (SELECT *, NOT (coalesce(v, 0) > 0.02 OR coalesce((v - coalesce(spd, 0)) / nullif(nt - t, 0), 0) < -5 OR coalesce((v - coalesce(spd, 0)) / nullif(nt - t, 0), 0) > 5) AS ok
@@ -66,7 +66,7 @@ SELECT obs_id, jrnid, round(spd, 6) AS spd FROM f WHERE kept"""
 )
 def raw_drop_invalid_movement(t: Tables) -> DataFrame:
     """Fast points against the last kept one, over the journeys of every tenth vehicle."""
-    return rawpoints.drop_invalid_movement(_moved(t).where("jrnid % 10 = 0"), max_spd=0.02).select("obs_id", "jrnid", r("spd", 6).alias("spd"))
+    return rawpoints.drop_invalid_movement(_moved(t), max_spd=0.02).select("obs_id", "jrnid", r("spd", 6).alias("spd"))
 
 
 _JRN = f"WITH {_MOVED}, j AS (SELECT jrnid, count(*) AS n_obs, sum(CASE WHEN drst THEN 1 WHEN NOT drst THEN 0 END) AS n_dropen, min(tst) AS a, max(tst) AS z, min(odo) AS mi, max(odo) AS mx, sum(CASE WHEN dodo < 0 THEN 1 ELSE 0 END) AS n_neg, sum(dx) AS dist, CASE WHEN jrnid % 9 = 0 THEN NULL ELSE 'tt' END AS ttid FROM m GROUP BY jrnid)"

@@ -24,7 +24,7 @@ def service_dates(t: Tables) -> DataFrame:
     return out.select("service_id", F.size("dates").cast("long").alias("n_days"), day(F.element_at("dates", 1)).alias("first_day"), day(F.element_at("dates", -1)).alias("last_day"), F.md5(F.array_join(F.transform("dates", day), ",")).alias("days_md5"))
 
 
-_TRIPS = "SELECT o_orderkey AS trip_id, o_custkey AS service_id, CAST(o_orderkey % 2 AS INT) AS direction_id, CAST(o_custkey % 5 AS STRING) AS route, CAST(o_orderkey % 1440 AS BIGINT) * 60 AS start_s FROM {orders} WHERE o_custkey % 10 = 0"
+_TRIPS = "SELECT o_orderkey AS trip_id, o_custkey AS service_id, CAST(o_orderkey % 2 AS INT) AS direction_id, CAST(o_custkey % 5 AS STRING) AS route, CAST(o_orderkey % 1440 AS BIGINT) * 60 AS start_s FROM {orders}"
 
 
 @query(f"WITH {_DAYS}, st AS ({STOP_TIMES}), t AS ({_TRIPS}), f AS (SELECT trip_id, arg_min(departure_s, stop_sequence) AS d FROM st GROUP BY 1), n AS (SELECT service_id, count(*) AS n FROM s GROUP BY 1) SELECT t.trip_id, d AS first_departure_s, coalesce(n, 0)::BIGINT AS n_days FROM t LEFT JOIN f ON f.trip_id = t.trip_id LEFT JOIN n ON n.service_id = t.service_id")
@@ -90,7 +90,7 @@ def trip_templates(t: Tables) -> DataFrame:
     return out.select("ptid", F.array_join("diffs", ",").alias("diffs"), "n_trips", F.array_join(F.array_sort(F.transform("starts", lambda s: s.cast("string"))), ",").alias("starts"))
 
 
-_SPANS = "SELECT o_orderkey AS ttid, o_orderkey AS ptid, CAST(s AS INT) AS seg_lo, CAST(s + 2 AS INT) AS seg_hi, CAST(s * 100 AS DOUBLE) AS i_s, CAST(s * 100 + 150 AS DOUBLE) AS j_s FROM {orders} CROSS JOIN (VALUES (1), (3), (5)) AS v(s) WHERE o_orderkey % 4 = 0"
+_SPANS = "SELECT o_orderkey AS ttid, o_orderkey AS ptid, CAST(s AS INT) AS seg_lo, CAST(s + 2 AS INT) AS seg_hi, CAST(s * 100 AS DOUBLE) AS i_s, CAST(s * 100 + 150 AS DOUBLE) AS j_s FROM {orders} CROSS JOIN (VALUES (1), (3), (5)) AS v(s)"
 _PSEG = f"SELECT route_ver_id AS ptid, link_seq AS segno, sum(length_m) OVER (PARTITION BY route_ver_id ORDER BY link_seq ROWS UNBOUNDED PRECEDING) - length_m AS dist_lo, sum(length_m) OVER (PARTITION BY route_ver_id ORDER BY link_seq ROWS UNBOUNDED PRECEDING) AS dist_hi FROM ({ROUTE_LINKS}) q"
 
 
@@ -142,11 +142,11 @@ def links_split_at_stops(t: Tables) -> DataFrame:
     return schedule.split_links(t.links(), t.sql(_CUTS)).select("link_id", F.col("part").cast("long").alias("part"), "lo", "hi")
 
 
-@query(f"WITH q AS ({ROUTE_LINKS}), l AS (SELECT link_id AS k, x0, y0, x1, y1 FROM ({LINKS}) z), s AS (SELECT route_ver_id, link_seq, CASE WHEN link_reversed THEN x1 ELSE x0 END AS ax, CASE WHEN link_reversed THEN y1 ELSE y0 END AS ay, CASE WHEN link_reversed THEN x0 ELSE x1 END AS bx, CASE WHEN link_reversed THEN y0 ELSE y1 END AS b_y FROM q JOIN l ON l.k = q.link_id WHERE route_ver_id % 20 = 0),\n"
+@query(f"WITH q AS ({ROUTE_LINKS}), l AS (SELECT link_id AS k, x0, y0, x1, y1 FROM ({LINKS}) z), s AS (SELECT route_ver_id, link_seq, CASE WHEN link_reversed THEN x1 ELSE x0 END AS ax, CASE WHEN link_reversed THEN y1 ELSE y0 END AS ay, CASE WHEN link_reversed THEN x0 ELSE x1 END AS bx, CASE WHEN link_reversed THEN y0 ELSE y1 END AS b_y FROM q JOIN l ON l.k = q.link_id),\n"
     "v AS (SELECT route_ver_id, link_seq * 2 AS o, ax AS x, ay AS y FROM s UNION ALL SELECT route_ver_id, link_seq * 2 + 1, bx, b_y FROM s), d AS (SELECT route_ver_id, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS m FROM v WINDOW w AS (PARTITION BY route_ver_id ORDER BY o)) SELECT route_ver_id, round(sum(m), 3) AS length_m FROM d GROUP BY route_ver_id")
 def route_lines(t: Tables) -> DataFrame:
     """Lines of routes from their links' geometries in order."""
-    rows = t.sql(ROUTE_LINKS).where("route_ver_id % 20 = 0").join(t.links().select("link_id", "geom"), "link_id")
+    rows = t.sql(ROUTE_LINKS).join(t.links().select("link_id", "geom"), "link_id")
     rows = rows.withColumn("geom", F.when(F.col("link_reversed"), g.reverse(F.col("geom"))).otherwise(F.col("geom")))
     return network.line_of_links(rows.select("route_ver_id", "link_seq", "geom"), "route_ver_id").select("route_ver_id", r("length_m", 3).alias("length_m"))
 
