@@ -165,6 +165,14 @@ def halt_clusters(points: DataFrame, min_points: int = 2) -> DataFrame:
     return collected.withColumn("centre", F.pandas_udf(centre, "x double, y double")("_p")).drop("_p")
 
 
+def move_halted(points: DataFrame, clusters: DataFrame) -> DataFrame:
+    """points with those of a cluster at its centre, halt_offset how far they were from it, and their old place."""
+    at = clusters.select("jrnid", "odo", F.col("centre.x").alias("_cx"), F.col("centre.y").alias("_cy"))
+    met = points.withColumns({"old_x": F.col("x"), "old_y": F.col("y")}).join(at, ["jrnid", "odo"], "left")
+    offset = F.hypot(F.col("old_x") - F.col("_cx"), F.col("old_y") - F.col("_cy"))
+    return met.withColumns({"x": F.coalesce("_cx", "x"), "y": F.coalesce("_cy", "y"), "halt_offset": offset}).drop("_cx", "_cy")
+
+
 def segment_candidates(points: DataFrame, segments: DataFrame, metres: float = 20.0) -> DataFrame:
     """Points with their candidate segments, nearest first: array of (dist, segno, hdg, loc).
 

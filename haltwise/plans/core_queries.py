@@ -127,14 +127,14 @@ _STATS = (
 )
 
 
-@query(_STATS + "SELECT link_id, link_reversed, count(*)::BIGINT AS n, count(CASE WHEN s <> 0 THEN 1 END)::BIGINT AS n_speed, round(avg(3.6 * length_m / nullif(s, 0)), 3) AS mean_speed_kmh, round(sum(length_m), 2) AS metres FROM st GROUP BY ALL")
+@query(_STATS + "SELECT link_id, link_reversed, count(*)::BIGINT AS n, count(CASE WHEN s <> 0 THEN 1 END)::BIGINT AS n_speed, round(avg(3.6 * length_m / nullif(s, 0)), 3) AS mean_speed_kmh, round(stddev_samp(3.6 * length_m / nullif(s, 0)), 3) AS sd_speed_kmh, round(sum(length_m), 2) AS metres FROM st GROUP BY ALL")
 def link_speed_stats(t: Tables) -> DataFrame:
     """Traversals and mean speed of each directed link."""
     stats = _traversals(t).join(t.sql(EDGE_LINKS).select("jrnid", "link_seq", "length_m"), ["jrnid", "link_seq"])
     speed = scalar.kmh(F.col("length_m"), scalar.seconds_between(F.col("enter_tst"), F.col("exit_tst")))
     rows = stats.select("link_id", "link_reversed", speed.alias("speed_kmh"), F.col("length_m").alias("link_length_m"))
     counts = rows.groupBy("link_id", "link_reversed").agg(F.count("speed_kmh").alias("n_speed"))
-    return traversal.link_speed_summary(rows).join(counts, ["link_id", "link_reversed"]).select("link_id", "link_reversed", "n", "n_speed", r("mean_speed_kmh", 3).alias("mean_speed_kmh"), r("metres", 2).alias("metres"))
+    return traversal.link_speed_summary(rows).join(counts, ["link_id", "link_reversed"]).select("link_id", "link_reversed", "n", "n_speed", r("mean_speed_kmh", 3).alias("mean_speed_kmh"), r("sd_speed_kmh", 3).alias("sd_speed_kmh"), r("metres", 2).alias("metres"))
 
 
 _SECTION_OF_LINKS = "SELECT CAST(s AS BIGINT) AS section_id, CAST(k AS INT) AS link_seq, CAST(1 + (s + k) % 40 AS BIGINT) AS link_id, (s + k) % 2 = 0 AS link_reversed FROM (VALUES (1), (5), (9), (30)) AS a(s) CROSS JOIN (VALUES (1), (2), (3)) AS b(k)"
@@ -161,16 +161,17 @@ h AS ({_COMPATIBLE} SELECT jrnid FROM halt),
 c AS (SELECT p.jrnid, p.tst, p.represents_time_s, pol.link_seq FROM p LEFT JOIN pol ON p.jrnid = pol.jrnid AND p.tst = pol.tst),
 v AS (SELECT jrnid, count(tst) AS n, count(link_seq) AS np, min(tst) AS a, max(tst) AS z, sum(represents_time_s) AS tr, sum(CASE WHEN link_seq IS NULL THEN 0 ELSE represents_time_s END) AS ol FROM c GROUP BY jrnid)
 SELECT j.jrnid, route, dir, strftime({_LOCAL}, '%Y-%m-%d') AS oday, strftime({_LOCAL}, '%H:%M:%S') AS start, n::BIGINT AS n_hfp_point, np::BIGINT AS n_point_on_link, epoch_us(a) AS first_us, epoch_us(z) AS last_us,
-  round((epoch_us(z) - epoch_us(a)) / 1e6, 4) AS total_duration_s, round(tr, 3) AS total_represents_s, round(ol, 3) AS on_link_represents_s, (SELECT count(*) FROM h WHERE h.jrnid = j.jrnid)::BIGINT AS n_halts
+  round((epoch_us(z) - epoch_us(a)) / 1e6, 4) AS total_duration_s, round(tr, 3) AS total_represents_s, round(ol, 3) AS on_link_represents_s, (SELECT count(*) FROM h WHERE h.jrnid = j.jrnid)::BIGINT AS n_halts,
+  (SELECT count(*) FROM ({EDGE_LINKS}) e WHERE e.jrnid = j.jrnid)::BIGINT AS n_link_on_route, (SELECT count(*) FROM ({EDGE_LINKS}) e WHERE e.jrnid = j.jrnid AND link_seq % 2 = e.jrnid % 2)::BIGINT AS n_link_on_journey
 FROM j JOIN v ON v.jrnid = j.jrnid"""
 )
 def journey_stats(t: Tables) -> DataFrame:
     pol = t.sql(ON_LINKS)
-    none = pol.select("jrnid").limit(0)
-    out = traversal.journey_stats(t.sql(JOURNEYS), traversal.points_combined(t.sql(POINTS), pol.where("obs_id % 5 <> 0")), none, none, _halts(t))
+    links = t.sql(EDGE_LINKS)
+    out = traversal.journey_stats(t.sql(JOURNEYS), traversal.points_combined(t.sql(POINTS), pol.where("obs_id % 5 <> 0")), links, links.where("link_seq % 2 = jrnid % 2"), _halts(t))
     return out.select(
         "jrnid", "route", "dir", "oday", "start", "n_hfp_point", "n_point_on_link", epoch_us(F.col("first_tst")).alias("first_us"), epoch_us(F.col("last_tst")).alias("last_us"),
-        r("total_duration_s").alias("total_duration_s"), r("total_represents_s", 3).alias("total_represents_s"), r("on_link_represents_s", 3).alias("on_link_represents_s"), F.coalesce("n_halt_on_journey", F.lit(0)).cast("long").alias("n_halts"),
+        r("total_duration_s").alias("total_duration_s"), r("total_represents_s", 3).alias("total_represents_s"), r("on_link_represents_s", 3).alias("on_link_represents_s"), *[F.coalesce(c, F.lit(0)).cast("long").alias(a) for c, a in (("n_halt_on_journey", "n_halts"), ("n_link_on_route", "n_link_on_route"), ("n_link_on_journey", "n_link_on_journey"))],
     )
 
 

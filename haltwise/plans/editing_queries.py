@@ -98,11 +98,11 @@ def linear_locations(t: Tables) -> DataFrame:
     f"""WITH s AS ({_SEG_ENTER}), g AS (SELECT *, sum(CASE WHEN first_ts IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY jrnid ORDER BY segno) AS grp FROM s), v AS (SELECT jrnid, grp, min(first_ts) AS a, min(last_ts) AS b, min(first_x) AS c, min(last_x) AS d FROM g GROUP BY ALL),
 n AS (SELECT jrnid, grp, lag(d) OVER w AS x0, lead(c) OVER w AS nx, lag(b) OVER w AS t0, lead(a) OVER w AS nt FROM v WINDOW w AS (PARTITION BY jrnid ORDER BY grp)),
 e AS (SELECT g.*, t0 + (enter_x - x0) * (coalesce(first_ts, nt) - t0) / nullif(coalesce(first_x, nx) - x0, 0) AS e FROM g JOIN n USING (jrnid, grp)), f AS (SELECT jrnid, segno, coalesce(e, first_ts) AS enter_ts, coalesce(lead(e) OVER (PARTITION BY jrnid ORDER BY segno), last_ts) AS exit_ts FROM e)
-SELECT jrnid, count(*)::BIGINT AS n_offered, count(CASE WHEN enter_ts IS NOT NULL AND exit_ts IS NOT NULL AND exit_ts - enter_ts >= 0 THEN 1 END)::BIGINT AS n_added FROM f GROUP BY jrnid"""
+SELECT jrnid, count(*)::BIGINT AS n_offered, count(CASE WHEN enter_ts IS NOT NULL AND exit_ts IS NOT NULL AND exit_ts - enter_ts >= 0 AND NOT EXISTS (SELECT 1 FROM f d WHERE d.segno % 3 = 0 AND d.jrnid = f.jrnid AND d.enter_ts = f.enter_ts) THEN 1 END)::BIGINT AS n_added FROM f GROUP BY jrnid"""
 )
 def segments_transferred(t: Tables) -> DataFrame:
     done = segments.enter_exit(t.sql(_SEG_ENTER))
-    return editing.transfer_segments(done, done.limit(0))[1].select("jrnid", "n_offered", F.col("n_added").cast("long").alias("n_added"))
+    return editing.transfer_segments(done, done.where("segno % 3 = 0"))[1].select("jrnid", "n_offered", F.col("n_added").cast("long").alias("n_added"))
 
 
 @query(f"SELECT route_ver_id AS section_id, link_seq, link_id FROM ({ROUTE_LINKS}) q WHERE route_ver_id % 2 = 0 OR (route_ver_id % 3 = 0 AND link_seq = 1)")

@@ -120,10 +120,22 @@ def redundant_points(t: Tables) -> DataFrame:
     return rawpoints.mark_redundant(_slow(t)).select("obs_id", "is_redundant", F.col("n_rdnt_after").cast("long").alias("n_rdnt_after"))
 
 
-@query(f"WITH a AS ({_ODO}) SELECT jrnid, odo2 AS odo, count(*)::BIGINT AS n_points, min(obs_num)::BIGINT AS first_obs FROM a GROUP BY jrnid, odo2 HAVING count(*) >= 3")
+@query(f"WITH a AS ({_ODO}) SELECT jrnid, odo2 AS odo, count(*)::BIGINT AS n_points, min(obs_num)::BIGINT AS first_obs, true AS is_better_than_mean FROM a GROUP BY jrnid, odo2 HAVING count(*) >= 3")
 def halt_clusters(t: Tables) -> DataFrame:
-    """Points at one odometer value; their geometric medians are tested apart."""
-    return rawpoints.halt_clusters(_slow(t), 3).select("jrnid", "odo", "n_points", F.col("first_obs").cast("long").alias("first_obs"))
+    """Points at one odometer value; the sum of their distances to the geometric median is no larger than to the mean."""
+    points = _slow(t)
+    clusters = rawpoints.halt_clusters(points, 3)
+    mean = points.groupBy("jrnid", "odo").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    far = rawpoints.move_halted(points, clusters).join(mean, ["jrnid", "odo"]).where("halt_offset IS NOT NULL")
+    sums = far.groupBy("jrnid", "odo").agg((F.sum("halt_offset") <= F.sum(F.hypot(F.col("old_x") - F.col("mx"), F.col("old_y") - F.col("my"))) + 1e-6).alias("is_better_than_mean"))
+    return clusters.join(sums, ["jrnid", "odo"]).select("jrnid", "odo", "n_points", F.col("first_obs").cast("long").alias("first_obs"), "is_better_than_mean")
+
+
+@query(f"WITH a AS ({_ODO}), n AS (SELECT *, count(*) OVER (PARTITION BY jrnid, odo2) AS c FROM a) SELECT obs_id, c >= 3 AS is_moved FROM n")
+def halted_points_moved(t: Tables) -> DataFrame:
+    """All points, those at one odometer value moved to their geometric median."""
+    points = _slow(t)
+    return rawpoints.move_halted(points, rawpoints.halt_clusters(points, 3)).select("obs_id", F.col("halt_offset").isNotNull().alias("is_moved"))
 
 
 _SEGMENTS = "SELECT CAST(k AS INT) AS segno, CAST(p AS INT) AS ptid, CAST(k * 500 AS DOUBLE) AS x0, CAST(p * 900 AS DOUBLE) AS y0, CAST(k * 500 + 500 AS DOUBLE) AS x1, CAST(p * 900 AS DOUBLE) AS y1 FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) AS a(k) CROSS JOIN (VALUES (0), (1), (2)) AS b(p)"

@@ -171,5 +171,30 @@ def stream_hourly_counts(t: Tables) -> DataFrame:
     """Events by hour and type, as a stream run to its end."""
     from haltwise.streaming.events import hourly_counts, run_to_end
 
-    out = run_to_end(t.spark, lambda s: hourly_counts(s, "ts", "event_type", "value"), f"{t.dir}/events.parque[t]", t.table("events").schema)
+    out = run_to_end(t.spark, lambda s: hourly_counts(s, "ts", "event_type", "value"), f"{t.dir}/events.parque[t]", t.table("events").schema, keys=["hour", "event_type"])
     return out.select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", r("total", 2).alias("total"))
+
+
+@query("SELECT DISTINCT user_id AS jrnid, epoch_us(ts) AS us FROM events WHERE event_type <> 'error'")
+def stream_ingest(t: Tables) -> DataFrame:
+    """Valid events of a stream, each (journey, time) once."""
+    from haltwise.streaming.events import ingest, run_to_end
+
+    def plan(s: DataFrame) -> DataFrame:
+        rows = s.select(F.col("user_id").alias("jrnid"), F.col("ts").cast("timestamp").alias("tst"), (F.col("event_type") != "error").alias("is_ongoing"), F.lit("VP").alias("event_type"))
+        return ingest(rows).select("jrnid", "tst")
+
+    out = run_to_end(t.spark, plan, f"{t.dir}/events.parque[t]", t.table("events").schema)
+    return out.select("jrnid", F.unix_micros("tst").alias("us"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+e AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS z, count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id, epoch_us(a) AS start_us, epoch_us(z) AS end_us, n::BIGINT AS n FROM e WHERE z <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+)
+def stream_sessions(t: Tables) -> DataFrame:
+    """Runs of a user's events that the watermark has passed."""
+    from haltwise.streaming.events import run_to_end, sessions
+
+    out = run_to_end(t.spark, lambda s: sessions(s, "user_id", "ts"), f"{t.dir}/events.parque[t]", t.table("events").schema)
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")

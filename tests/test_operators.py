@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haltwise.functions import geometry as g
-from haltwise.operators import halts, matching, network, rawpoints, routing, schedule, tables, traversal, validation
+from haltwise.operators import halts, matching, network, patterns, rawpoints, routing, schedule, tables, traversal, validation
 from haltwise.sources import readers
 
 T0 = dt.datetime(2020, 9, 23, 7, 0, 0)
@@ -151,7 +151,42 @@ def test_tables(spark):
     assert tables.log_step(log, 1, "begin").count() == 1
 
 
-def test_stream_ingest_plan(spark):
+def test_truncate_order_and_tables(spark, tmp_path):
+    refs = {"link": ["node"], "node": [], "stop": ["node", "link"], "section": ["node"]}
+    order = tables.truncate_order(refs)
+    assert all(order.index(a) < order.index(b) for a, others in refs.items() for b in others)
+    with pytest.raises(ValueError):
+        tables.truncate_order({"a": ["b"], "b": ["a"]})
+    for name in refs:
+        spark.range(3).write.parquet(str(tmp_path / name))
+    assert tables.truncate_tables(spark, str(tmp_path), refs) == order
+    assert all(spark.read.parquet(str(tmp_path / name)).count() == 0 for name in refs)
+
+
+def test_variant_routes_are_added(spark):
+    trips = spark.createDataFrame([("1001_a_1", "1001"), ("1001 3_b_1", "1001"), ("1002 1_c_1", "1002")], "trip_id string, route_id string")
+    routes = spark.createDataFrame([("1001", 700), ("1002", 0), ("1002 1", 0)], "route_id string, route_type int")
+    t, r = readers.variant_routes(trips, routes)
+    assert {x.trip_id: x.route_id for x in t.collect()} == {"1001_a_1": "1001", "1001 3_b_1": "1001 3", "1002 1_c_1": "1002 1"}
+    assert sorted(map(tuple, r.collect())) == [("1001", 700), ("1001 3", 700), ("1002", 0), ("1002 1", 0)]
+
+
+def test_streams_give_each_position_once_and_close_sessions(spark, tmp_path):
     from haltwise.streaming import events
 
-    assert events.ingest(spark.createDataFrame([(True, "VP", "j", T0)], "is_ongoing boolean, event_type string, jrnid string, tst timestamp").where("true")) is not None
+    rows = [(True, "VP", "j", at(0)), (True, "VP", "j", at(0)), (False, "VP", "j", at(1)), (True, "DUE", "j", at(2)), (True, "VP", "k", at(7200))]
+    schema = "is_ongoing boolean, event_type string, jrnid string, tst timestamp"
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(str(tmp_path / "in"))
+    got = events.run_to_end(spark, lambda s: events.ingest(s).select("jrnid", "tst"), str(tmp_path / "in"), df.schema)
+    assert sorted(r.jrnid for r in got.collect()) == ["j", "k"]
+    done = events.run_to_end(spark, lambda s: events.sessions(s, "jrnid", "tst"), str(tmp_path / "in"), df.schema)
+    assert [(r.jrnid, r.n) for r in done.collect()] == [("j", 4)]
+
+
+def test_stops_grouped_on_an_edge(spark):
+    snapped = spark.createDataFrame([(1, 7, 10.0, 90.0, 10.0, 0.0, "snapped"), (2, 7, 16.0, 84.0, 16.0, 0.0, "snapped"), (3, 7, 80.0, 20.0, 80.0, 0.0, "snapped")], "stop_id long, edge int, start_dist double, end_dist double, x double, y double, status string")
+    groups = schedule.greedy_clusters(snapped, "edge", "start_dist", 10.0)
+    edges = spark.range(1).select(F.lit(7).alias("edge"), g.make_line(g.point(F.lit(0.0), F.lit(0.0)), g.point(F.lit(100.0), F.lit(0.0))).alias("geom"))
+    got = {r.stop_id: (r.start_dist, r.end_dist, r.x, r.status) for r in patterns.cluster_stops(snapped, groups, edges).collect()}
+    assert got == {1: (13.0, 87.0, 13.0, "grouped"), 2: (13.0, 87.0, 13.0, "grouped"), 3: (80.0, 20.0, 80.0, "snapped")}
