@@ -92,6 +92,18 @@ def nearest(line: Column, p: Column) -> Column:
     return F.aggregate(_segments(line), zero, step, lambda acc: F.struct(acc["distance"].alias("distance"), acc["along"].alias("along"), acc["side"].alias("side"), acc["beyond"].alias("beyond")))
 
 
+def box(line: Column) -> Column:
+    """The extent of a line: x0, x1, y0, y1."""
+    xs, ys = F.transform(line, lambda p: p["x"]), F.transform(line, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+
+
+def near_box(b: Column, x: Column, y: Column, metres: Column | float) -> Column:
+    """Whether a place lies in an extent widened by a distance; all that is nearer than it to the line does."""
+    m = metres if isinstance(metres, Column) else F.lit(float(metres))
+    return (x >= b["x0"] - m) & (x <= b["x1"] + m) & (y >= b["y0"] - m) & (y <= b["y1"] + m)
+
+
 def distance(line: Column, p: Column) -> Column:
     return nearest(line, p)["distance"]
 

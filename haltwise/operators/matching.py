@@ -39,7 +39,9 @@ def point_candidates(points: DataFrame, journeys: DataFrame, route_links: DataFr
     """
     routed = points.join(journeys.select("jrnid", "route_ver_id"), "jrnid").join(route_links.select("route_ver_id", "link_seq", "link_id", "link_reversed"), "route_ver_id")
     n = g.nearest(F.col("geom"), g.point(F.col("x"), F.col("y")))
-    near = routed.join(links.select("link_id", "geom"), "link_id").withColumn("_n", n)
+    # Most links of a route are far from a point: their box, made once a link, says so before the segments are walked.
+    boxed = links.select("link_id", "geom", g.box(F.col("geom")).alias("_box"))
+    near = routed.join(boxed, "link_id").where(g.near_box(F.col("_box"), F.col("x"), F.col("y"), metres)).withColumn("_n", n)
     hit = (F.col("_n.distance") < metres) & ~F.col("_n.beyond")
     share = F.try_divide(F.col("_n.along"), g.length(F.col("geom")))
     return near.where(hit).select(

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haltwise.functions import geometry as g
-from haltwise.functions.scalar import minimum_angle, seconds_between
+from haltwise.functions.scalar import seconds_between
+from haltwise.operators.walks import walk
 
 
 def by_time():
@@ -179,7 +180,8 @@ def segment_candidates(points: DataFrame, segments: DataFrame, metres: float = 2
     points: jrnid, obs_num, ptid, x, y; segments: ptid, segno, geom.
     """
     n = g.nearest(F.col("geom"), g.point(F.col("x"), F.col("y")))
-    pairs = points.join(segments, "ptid").withColumn("_n", n).where(F.col("_n.distance") <= metres)
+    boxed = segments.withColumn("_box", g.box(F.col("geom")))
+    pairs = points.join(boxed, "ptid").where(g.near_box(F.col("_box"), F.col("x"), F.col("y"), metres)).withColumn("_n", n).where(F.col("_n.distance") <= metres)
     heading = F.degrees(g.azimuth(g.start_point(F.col("geom")), g.end_point(F.col("geom"))))
     c = F.struct(F.col("_n.distance").alias("dist"), "segno", heading.alias("hdg"), F.coalesce(F.try_divide(F.col("_n.along"), g.length(F.col("geom"))), F.lit(0.0)).alias("loc"))
     found = pairs.groupBy("jrnid", "obs_num").agg(F.array_sort(F.collect_list(c)).alias("candidates"))
@@ -192,25 +194,25 @@ def best_match_segments(points: DataFrame) -> DataFrame:
     The first point with candidates takes the smallest segment. Then candidates
     0 or 1 after the last come first, then those not at a segment's end, then
     those with a heading less than 90 degrees off (an unknown heading counts
-    before both), then the nearest. JVM-side fold over the journey's points.
+    before both), then the nearest.
     """
-    row = F.struct("obs_num", "hdg", "candidates")
-    zero = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<struct<obs_num:int,segno:int>>").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        last = acc["last"]
+    def turned(c: float | None, r: float | None) -> int:
+        if c is None or r is None:
+            return -1
+        d = abs(c - r)
+        return int((d - 180 if d > 180 else d) >= 90)
 
-        def rank(c: Column) -> Column:
-            angle = minimum_angle(c["hdg"], r["hdg"]) < 90
-            no = lambda b: F.coalesce((~b).cast("int"), F.lit(-1))  # noqa: E731  false after true, unknown before both
-            return F.struct(no((c["segno"] - last).between(0, 1)).alias("a"), no((c["loc"] > 0) & (c["loc"] < 1)).alias("b"), no(angle).alias("c"), c["dist"].alias("d"), c["segno"].alias("segno"))
+    def step(last: int | None, r: dict) -> tuple[int | None, tuple]:
+        def rank(c: dict) -> tuple:
+            return not 0 <= c["segno"] - last <= 1, not 0 < c["loc"] < 1, turned(c["hdg"], r["hdg"]), c["dist"], c["segno"]
 
-        first = F.array_min(F.transform(r["candidates"], lambda c: c["segno"]))
-        chosen = F.when(last.isNull(), first).otherwise(F.array_min(F.transform(r["candidates"], rank))["segno"]).cast("int")
-        return F.struct(F.coalesce(chosen, last).alias("last"), F.array_append(acc["out"], F.struct(r["obs_num"].cast("int").alias("obs_num"), chosen.alias("segno"))).alias("out"))
+        found = r["candidates"]
+        chosen = None if not found else min(c["segno"] for c in found) if last is None else min(map(rank, found))[-1]
+        return (last if chosen is None else chosen), (r["jrnid"], r["obs_num"], chosen)
 
-    rows = F.array_sort(F.collect_list(row))
-    return points.where(F.col("candidates").isNotNull()).groupBy("jrnid").agg(rows.alias("r")).select("jrnid", F.inline(F.aggregate("r", zero, step, lambda a: a["out"])))
+    rows = points.where(F.col("candidates").isNotNull()).select("jrnid", F.col("obs_num").cast("int").alias("obs_num"), F.col("hdg").cast("double").alias("hdg"), "candidates")
+    return walk(rows, "jrnid", ["obs_num"], step, f"jrnid {points.schema['jrnid'].dataType.simpleString()}, obs_num int, segno int")
 
 
 def visit_groups(matched: DataFrame) -> DataFrame:
@@ -226,15 +228,14 @@ def failed_visits(matched: DataFrame) -> DataFrame:
     runs = visit_groups(matched)
     w = Window.partitionBy("jrnid")
     suspect = runs.withColumn("_m", F.max("prio").over(w)).withColumn("_min", F.min("segno").over(w)).where("_m > 1")
-    zero = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<struct<first_obs:int,last_obs:int>>").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        last = acc["last"]
-        ok = F.when(last.isNull(), r["segno"] <= r["low"]).otherwise(((r["segno"] > last) & (r["prio"] == 1)) | (r["segno"] == last))
-        return F.struct(F.when(ok, r["segno"]).otherwise(last).alias("last"), F.when(ok, acc["out"]).otherwise(F.array_append(acc["out"], F.struct(r["first_obs"].cast("int").alias("first_obs"), r["last_obs"].cast("int").alias("last_obs")))).alias("out"))
+    def step(last: int | None, r: dict) -> tuple[int | None, tuple | None]:
+        to = r["segno"]  # a run without a segment never fits
+        ok = to is not None and (to <= r["low"] if last is None else (to > last and r["prio"] == 1) or to == last)
+        return (to, None) if ok else (last, (r["jrnid"], r["first_obs"], r["last_obs"]))
 
-    row = F.struct("grp", F.col("segno").cast("int").alias("segno"), "prio", "first_obs", "last_obs", F.col("_min").cast("int").alias("low"))
-    return suspect.groupBy("jrnid").agg(F.array_sort(F.collect_list(row)).alias("r")).select("jrnid", F.inline(F.aggregate("r", zero, step, lambda a: a["out"])))
+    rows = suspect.select("jrnid", "grp", F.col("segno").cast("int").alias("segno"), "prio", F.col("first_obs").cast("int").alias("first_obs"), F.col("last_obs").cast("int").alias("last_obs"), F.col("_min").cast("int").alias("low"))
+    return walk(rows, "jrnid", ["grp"], step, f"jrnid {matched.schema['jrnid'].dataType.simpleString()}, first_obs int, last_obs int")
 
 
 def discard_failed(matched: DataFrame) -> DataFrame:

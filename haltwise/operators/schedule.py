@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haltwise.operators.walks import walk
+
 WEEKDAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
 
 
@@ -111,15 +113,16 @@ def trips_view(templates: DataFrame, zone: str = "Europe/Helsinki") -> DataFrame
 
 def greedy_clusters(stops: DataFrame, edge: str, place: str, tolerance: float) -> DataFrame:
     """Stops of an edge in order; one farther than the tolerance from its group's first stop opens a new group."""
-    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("n"), F.array().cast("array<struct<stop_id:bigint,grp:int,anchor:double>>").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        opens = acc["anchor"].isNull() | (r["p"] > acc["anchor"] + tolerance)
-        anchor, n = F.when(opens, r["p"]).otherwise(acc["anchor"]), acc["n"] + opens.cast("int")
-        return F.struct(anchor.alias("anchor"), n.alias("n"), F.array_append(acc["out"], F.struct(r["stop_id"].cast("long").alias("stop_id"), n.alias("grp"), anchor.alias("anchor"))).alias("out"))
+    def step(state: tuple | None, r: dict) -> tuple[tuple, tuple]:
+        anchor, n = state or (None, 0)
+        if anchor is None or (r["p"] is not None and r["p"] > anchor + tolerance):
+            anchor, n = r["p"], n + 1
+        return (anchor, n), (r["edge"], r["stop_id"], n, anchor)
 
-    rows = F.array_sort(F.collect_list(F.struct(F.col(place).cast("double").alias("p"), "stop_id")))
-    return stops.groupBy(edge).agg(rows.alias("r")).select(edge, F.inline(F.aggregate("r", zero, step, lambda a: a["out"])))
+    rows = stops.select(F.col(edge).alias("edge"), F.col(place).cast("double").alias("p"), F.col("stop_id").cast("long").alias("stop_id"))
+    kind = stops.schema[edge].dataType.simpleString()
+    return walk(rows, "edge", ["p", "stop_id"], step, f"edge {kind}, stop_id long, grp int, anchor double").withColumnRenamed("edge", edge)
 
 
 def split_links(links: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -75,12 +75,12 @@ _SECTIONS = f"SELECT route_ver_id AS section_id, link_seq, link_id, link_reverse
 
 @query(
     _COMPATIBLE
-    + f""", los AS ({_SECTIONS}) SELECT section_id, h.jrnid, round(coalesce(sum(door_open_s), 0), 4) AS tot_door_open_s, round(coalesce(sum(door_closed_s), 0), 4) AS tot_door_closed_s, round(coalesce(sum(total_s) - sum(h.represents_time_s), 0), 4) AS tot_door_unknown_s
+    + f""", los AS ({_SECTIONS}) SELECT section_id, h.jrnid, round(coalesce(sum(door_open_s), 0), 6) AS tot_door_open_s, round(coalesce(sum(door_closed_s), 0), 6) AS tot_door_closed_s, round(coalesce(sum(total_s) - sum(h.represents_time_s), 0), 6) AS tot_door_unknown_s
 FROM halt h JOIN pol p ON h.jrnid = p.jrnid AND h.tst = p.tst JOIN los ON los.link_id = p.link_id AND los.link_reversed = p.link_reversed GROUP BY section_id, h.jrnid"""
 )
 def section_halt_totals(t: Tables) -> DataFrame:
     out = halts.section_halt_totals(_halts(t), t.sql(ON_LINKS), t.sql(_SECTIONS))
-    return out.select("section_id", "jrnid", *[r(c).alias(c) for c in ("tot_door_open_s", "tot_door_closed_s", "tot_door_unknown_s")])
+    return out.select("section_id", "jrnid", *[r(c, 6).alias(c) for c in ("tot_door_open_s", "tot_door_closed_s", "tot_door_unknown_s")])
 
 
 _ENTER = f"""
