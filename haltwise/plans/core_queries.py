@@ -127,14 +127,14 @@ _STATS = (
 )
 
 
-@query(_STATS + "SELECT link_id, link_reversed, count(*)::BIGINT AS n, count(CASE WHEN s <> 0 THEN 1 END)::BIGINT AS n_speed, round(avg(3.6 * length_m / nullif(s, 0)), 3) AS mean_speed_kmh, round(stddev_samp(3.6 * length_m / nullif(s, 0)), 3) AS sd_speed_kmh, round(sum(length_m), 2) AS metres FROM st GROUP BY ALL")
+@query(_STATS + "SELECT link_id, link_reversed, count(*)::BIGINT AS n, count(CASE WHEN s <> 0 THEN 1 END)::BIGINT AS n_speed, round(avg(3.6 * length_m / nullif(s, 0)), 3) + 0.0 AS mean_speed_kmh, round(stddev_samp(3.6 * length_m / nullif(s, 0)), 3) AS sd_speed_kmh, round(sum(length_m), 2) AS metres FROM st GROUP BY ALL")
 def link_speed_stats(t: Tables) -> DataFrame:
     """Traversals and mean speed of each directed link."""
     stats = _traversals(t).join(t.sql(EDGE_LINKS).select("jrnid", "link_seq", "length_m"), ["jrnid", "link_seq"])
     speed = scalar.kmh(F.col("length_m"), scalar.seconds_between(F.col("enter_tst"), F.col("exit_tst")))
     rows = stats.select("link_id", "link_reversed", speed.alias("speed_kmh"), F.col("length_m").alias("link_length_m"))
     counts = rows.groupBy("link_id", "link_reversed").agg(F.count("speed_kmh").alias("n_speed"))
-    return traversal.link_speed_summary(rows).join(counts, ["link_id", "link_reversed"]).select("link_id", "link_reversed", "n", "n_speed", r("mean_speed_kmh", 3).alias("mean_speed_kmh"), r("sd_speed_kmh", 3).alias("sd_speed_kmh"), r("metres", 2).alias("metres"))
+    return traversal.link_speed_summary(rows).join(counts, ["link_id", "link_reversed"]).select("link_id", "link_reversed", "n", "n_speed", (r("mean_speed_kmh", 3) + 0.0).alias("mean_speed_kmh"), r("sd_speed_kmh", 3).alias("sd_speed_kmh"), r("metres", 2).alias("metres"))
 
 
 _SECTION_OF_LINKS = "SELECT CAST(s AS BIGINT) AS section_id, CAST(k AS INT) AS link_seq, CAST(1 + (s + k) % 40 AS BIGINT) AS link_id, (s + k) % 2 = 0 AS link_reversed FROM (VALUES (1), (5), (9), (30)) AS a(s) CROSS JOIN (VALUES (1), (2), (3)) AS b(k)"
