@@ -7,28 +7,53 @@ from pyspark.sql import functions as F
 
 from haltwise.functions import geometry as g
 from haltwise.operators.network import link_cells
+from haltwise.sources.folders import Steps
 
-#: Links that are compared with all stops at most, in the last step.
-MAX_LINKS = 2_000_000
+#: How much wider the cells get from round to round.
+WIDER = 4
 
 
-def snap_to_links(stops: DataFrame, links: DataFrame, cell: float = 500.0) -> DataFrame:
+def snap_to_links(stops: DataFrame, links: DataFrame, cell: float = 500.0, same_mode: bool = False) -> DataFrame:
     """stop_id, link_id, dist, loc of the nearest link; ties (to a micrometre) go to the smaller link.
 
-    Links in the stop's own or the neighbouring cells settle a stop if one of
-    them is nearer than the cell's size; only stops without such a link are
-    compared with all links, whose number is checked.
+    Stops meet the links within a cell's size of their own cell, by equality of
+    cells. A stop is settled when its best link is nearer than that size; the
+    others go on with wider cells, until one cell spans all places. With
+    `same_mode`, only links whose link_modes hold the stop_mode count. Stops
+    without a place, or without any link of their mode, have no row.
     """
-    s = stops.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
-    near = s.join(link_cells(links.select("link_id", "geom"), cell, cell), ["_cx", "_cy"])
-    settled = _best(near).where(F.col("dist") <= cell)
-    rest = stops.join(settled.select("stop_id"), "stop_id", "left_anti")
-    if rest.isEmpty():
-        return settled
-    if (n := links.count()) > MAX_LINKS:
-        raise ValueError(f"{n} links: stops far from all links can be compared with {MAX_LINKS} at most")
-    far = _best(rest.join(F.broadcast(links.select("link_id", "geom")), F.lit(True)))
-    return settled.unionByName(far)
+    given = ["link_id", "geom", *(["link_modes"] if same_mode else [])]
+    span = _span(stops, links)
+    steps = Steps(stops.sparkSession)
+    rest, settled = stops, None
+    while True:
+        last = cell >= span
+        s = rest.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+        near = s.join(link_cells(links.select(*given), cell, cell), ["_cx", "_cy"])
+        if same_mode:
+            near = near.where(F.array_contains("link_modes", F.col("stop_mode")))
+        best = _best(near).where("dist IS NOT NULL" if last else F.col("dist") <= cell)
+        best = best if last and settled is None else steps.write(best, "snapped")
+        settled = best if settled is None else settled.unionByName(best)
+        if last:
+            return settled
+        left = steps.write(rest.join(best.select("stop_id"), "stop_id", "left_anti").where("x IS NOT NULL AND y IS NOT NULL"), "unsettled")
+        if rest is not stops:
+            steps.drop(rest)
+        if left.isEmpty():
+            steps.drop(left)
+            return settled
+        rest, cell = left, cell * WIDER
+
+
+def _span(stops: DataFrame, links: DataFrame) -> float:
+    """The larger side of the box around all stops and links; one row goes to the driver."""
+    side = lambda c: F.struct(F.min(f"{c}0").alias("least"), F.max(f"{c}1").alias("most")).alias(c)
+    of = lambda c, f: f(F.transform("geom", lambda p: p[c]))
+    boxes = links.select(*[of(c, f).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.array_min, F.array_max))])
+    places = stops.select(*[F.col(c).cast("double").alias(f"{c}{i}") for c in "xy" for i in (0, 1)])
+    box = boxes.unionByName(places).agg(side("x"), side("y")).first()
+    return max((b["most"] - b["least"] for b in (box["x"], box["y"]) if b["least"] is not None), default=0.0)
 
 
 def _best(pairs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def import_positions(raw: DataFrame, schedule: DataFrame, max_spd: float = 28.0,
     """
     moved = rawpoints.movement_values(rawpoints.obs_numbers(raw))
     clean = rawpoints.drop_invalid_movement(rawpoints.dedup_by_time(moved), max_spd, min_acc, max_acc)
-    about = clean.groupBy("jrnid").agg(F.first("route").alias("route"), F.first("dir").alias("dir"), F.first("start_tst").alias("start_tst"))
+    about = clean.groupBy("jrnid").agg(F.min_by(F.struct("route", "dir", "start_tst"), F.struct("tst", "obs_id")).alias("_a")).select("jrnid", "_a.*")
     journeys = rawpoints.extract_journeys(clean).join(about, "jrnid").join(schedule, ["route", "dir", "start_tst"], "left").withColumn("invalid_reasons", F.array().cast("array<string>"))
     for reason, condition in rawpoints.journey_rules():
         journeys = rawpoints.invalidate(journeys, reason, condition)

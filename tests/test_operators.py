@@ -190,3 +190,70 @@ def test_stops_grouped_on_an_edge(spark):
     edges = spark.range(1).select(F.lit(7).alias("edge"), g.make_line(g.point(F.lit(0.0), F.lit(0.0)), g.point(F.lit(100.0), F.lit(0.0))).alias("geom"))
     got = {r.stop_id: (r.start_dist, r.end_dist, r.x, r.status) for r in patterns.cluster_stops(snapped, groups, edges).collect()}
     assert got == {1: (13.0, 87.0, 13.0, "grouped"), 2: (13.0, 87.0, 13.0, "grouped"), 3: (80.0, 20.0, 80.0, "snapped")}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_equal_costs_go_to_the_smaller_link_list(seed):
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(seed)
+    edges = [(rnd.randrange(7), rnd.randrange(7), k, float(rnd.choice((0, 1, 1, 2)))) for k in range(18)]
+    best: dict = {}
+
+    def walk(node, seen, cost, path):
+        best[node] = min(best.get(node, (cost, path)), (cost, path))
+        for i, j, link, c in edges:
+            if i == node and j not in seen:
+                walk(j, seen | {j}, cost + c, (*path, link))
+
+    walk(0, {0}, 0.0, ())
+    graph = routing.Graph(*(np.array(x) for x in zip(*edges)))
+    assert routing.shortest(graph, 0) == best
+    assert routing.shortest(graph, 0, {3, 5, 99}) == {t: best[t] for t in (3, 5) if t in best}
+
+
+def test_a_closed_edge_is_not_used(spark):
+    df = spark.createDataFrame([(1, 1, 2, -1.0), (2, 1, 2, None), (3, 1, 2, 5.0)], "uniq_link_id long, i_node long, j_node long, cost double")
+    pairs = spark.createDataFrame([(1, 2)], "i_node long, j_node long")
+    assert [(r.cost, r.uniq_link_id) for r in routing.paths_for_pairs(pairs, df).collect()] == [(5.0, 3)]
+
+
+@pytest.mark.parametrize("same_mode", [False, True])
+def test_snapping_at_any_distance_against_brute_force(spark, same_mode):
+    import random
+
+    rnd = random.Random(5)
+    links = [(k, [(x := rnd.uniform(0, 3000), y := rnd.uniform(0, 3000)), (x + rnd.uniform(-400, 400), y + rnd.uniform(-400, 400))], ["tram"] if k % 5 == 0 else ["bus"]) for k in range(25)]
+    stops = [(k, rnd.uniform(-200, 3200), rnd.uniform(-200, 3200), "tram" if k % 3 == 0 else "bus") for k in range(30)]
+    stops += [(100, 60_000.0, -40_000.0, "bus"), (101, -9_000.0, 100.0, "tram"), (102, None, 5.0, "bus"), (103, 10.0, 10.0, "ferry")]
+    ls = spark.createDataFrame(links, "link_id long, geom array<struct<x: double, y: double>>, link_modes array<string>")
+    ss = spark.createDataFrame(stops, "stop_id long, x double, y double, stop_mode string")
+    from haltwise.operators import snapping
+
+    def distance(x, y, geom):
+        (ax, ay), (bx, by) = geom
+        t = min(1, max(0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        return ((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by - ay)) ** 2) ** 0.5
+
+    want = {}
+    for i, x, y, mode in stops:
+        fit = [(round(distance(x, y, geom), 3), k) for k, geom, modes in links if not same_mode or mode in modes] if x is not None else []
+        if fit:
+            want[i] = min(fit)
+    got = {r.stop_id: (round(r.dist, 3), r.link_id) for r in snapping.snap_to_links(ss, ls, same_mode=same_mode).collect()}
+    assert got == want
+    assert snapping.snap_to_links(ss, ls.limit(0)).count() == 0 and snapping.snap_to_links(ss.limit(0), ls).count() == 0
+
+
+def test_steps_leave_no_tables(spark):
+    import pathlib
+
+    from haltwise.operators.chains import smallest_labels
+    from haltwise.sources.folders import shared_folder
+
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    out = smallest_labels(spark.createDataFrame([(k, k + 1) for k in range(1, 20)], "u long, v long"))
+    assert {r.label for r in out.collect()} == {1} and len(set(folder.iterdir()) - before) == 1
