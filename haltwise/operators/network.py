@@ -7,18 +7,33 @@ from pyspark.sql import functions as F
 
 from haltwise.functions import geometry as g
 
+#: Width of the strips in which places are numbered, and ids of links that are numbered together.
+STRIP_M, LINKS_AT_ONCE = 1000.0, 1 << 16
+
+
+def numbered(df: DataFrame, name: str, bucket: Column, *order: str) -> DataFrame:
+    """df with dense numbers from 1 by `order`; bucket grows with it and is never smaller for a later row.
+
+    Rows are numbered within their bucket after the count of the buckets before, so
+    only one row a bucket is ever sorted in one task.
+    """
+    parts = df.withColumn("_b", F.coalesce(bucket.cast("long"), F.lit(-(1 << 63))))
+    before = F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.groupBy("_b").count().select("_b", F.coalesce(before, F.lit(0)).alias("_o"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    return parts.withColumn("_n", own).join(offsets, "_b").withColumn(name, F.col("_n") + F.col("_o")).drop("_b", "_n", "_o")
+
 
 def nodes_of_links(links: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links with i_node and j_node, nodes): endpoints become nodes, existing nodes at the same place are used.
 
-    New ids are dense in the order of (x, y) after the largest existing id. The
-    set of new nodes is numbered in one task: it has the size of the network.
+    New ids are dense in the order of (x, y) after the largest existing id.
     """
     ends = links.select("link_id", F.explode(F.array(g.start_point(F.col("geom")), g.end_point(F.col("geom")))).alias("p")).select(F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
     if nodes is None:
         nodes = ends.limit(0).select(F.lit(0).alias("node_id"), "x", "y")
     top = nodes.agg(F.coalesce(F.max("node_id"), F.lit(0)).alias("top"))
-    new = ends.join(nodes, ["x", "y"], "left_anti").select(F.row_number().over(Window.orderBy("x", "y")).alias("n"), "x", "y")
+    new = numbered(ends.join(nodes, ["x", "y"], "left_anti"), "n", F.floor(F.col("x") / STRIP_M), "x", "y")
     grown = nodes.select("node_id", "x", "y").unionByName(new.join(F.broadcast(top)).select((F.col("n") + F.col("top")).cast("int").alias("node_id"), "x", "y"))
     at = lambda name: grown.select(F.col("node_id").alias(f"{name}_node"), F.struct("x", "y").alias(f"_{name}"))
     out = links.withColumn("_i", g.start_point(F.col("geom"))).withColumn("_j", g.end_point(F.col("geom"))).join(at("i"), "_i").join(at("j"), "_j").drop("_i", "_j")
@@ -31,7 +46,8 @@ def directed(links: DataFrame) -> DataFrame:
     length = [c for c in ("length_m", "cost") if c in links.columns]
     forth = links.select("link_id", F.lit(False).alias("link_reversed"), F.col("i_node"), F.col("j_node"), *length, *geom)
     back = links.where(~F.col("oneway")).select("link_id", F.lit(True).alias("link_reversed"), F.col("j_node").alias("i_node"), F.col("i_node").alias("j_node"), *length, *[F.reverse("geom").alias("geom") for _ in geom])
-    return forth.unionByName(back).withColumn("uniq_link_id", F.row_number().over(Window.orderBy("link_id", "link_reversed")))
+    both = numbered(forth.unionByName(back), "uniq_link_id", F.floor(F.col("link_id") / LINKS_AT_ONCE), "link_id", "link_reversed")
+    return both.withColumn("uniq_link_id", F.col("uniq_link_id").cast("int"))
 
 
 def stops_on_route(stop_on_route: DataFrame, route_versions: DataFrame, stops: DataFrame, links: DataFrame) -> DataFrame:
@@ -147,7 +163,7 @@ def snap_topology(links: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Links with vertex ids by endpoints rounded to a tolerance; ids are dense in the order of the rounded places."""
     r = lambda p: F.struct(F.round(p["x"] / tolerance).alias("x"), F.round(p["y"] / tolerance).alias("y"))
     keyed = links.withColumn("_s", r(g.start_point(F.col("geom")))).withColumn("_t", r(g.end_point(F.col("geom"))))
-    places = keyed.select(F.explode(F.array("_s", "_t")).alias("p")).distinct().withColumn("id", F.row_number().over(Window.orderBy("p")))
+    places = numbered(keyed.select(F.explode(F.array("_s", "_t")).alias("p")).distinct(), "id", F.floor(F.col("p.x") * tolerance / STRIP_M), "p").withColumn("id", F.col("id").cast("int"))
     a, b = places.select(F.col("p").alias("_s"), F.col("id").alias("source")), places.select(F.col("p").alias("_t"), F.col("id").alias("target"))
     return keyed.join(a, "_s").join(b, "_t").drop("_s", "_t")
 

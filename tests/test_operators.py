@@ -257,3 +257,11 @@ def test_steps_leave_no_tables(spark):
     before = set(folder.iterdir())
     out = smallest_labels(spark.createDataFrame([(k, k + 1) for k in range(1, 20)], "u long, v long"))
     assert {r.label for r in out.collect()} == {1} and len(set(folder.iterdir()) - before) == 1
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    rows = [(k * 37 % 101 - 50.0, k % 7, k) for k in range(200)] + [(None, 1, 900)]
+    df = spark.createDataFrame(rows, "x double, y int, k int")
+    got = network.numbered(df.repartition(5), "n", F.floor(F.col("x") / 10), "x", "y", "k").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    assert [(r.x, r.y, r.k) for r in sorted(got, key=lambda r: r.n)] == order and sorted(r.n for r in got) == list(range(1, 202))
