@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haltwise.functions import geometry as g
-from haltwise.operators import network, schedule
+from haltwise.operators import network, schedule, snapping
 from haltwise.plans.bindings import CALENDAR, EXCEPTIONS, LINKS, NODES, ROUTE_LINKS, STOP_TIMES, STOPS, Tables, r
 from haltwise.plans.registry import registry
 
@@ -110,14 +110,25 @@ def view_trips(t: Tables) -> DataFrame:
     return schedule.trips_view(templates).select("ttid", F.date_format("oday", "yyyy-MM-dd").alias("oday"), "start")
 
 
-@query(
-    f"""WITH l AS ({LINKS}), c AS (SELECT s_suppkey AS stop_id, (s_suppkey * 37) % 4000 + 0.0 AS px, (s_suppkey * 53) % 4000 + 0.0 AS py, l.* FROM supplier, l), n AS (SELECT *, least(1, greatest(0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / 1e6)) AS t FROM c),
+def _nearest_link(condition: str) -> str:
+    """SQL: the nearest of the links that the condition allows, for each stop."""
+    return f"""WITH l AS ({LINKS}), c AS (SELECT s_suppkey AS stop_id, (s_suppkey * 37) % 4000 + 0.0 AS px, (s_suppkey * 53) % 4000 + 0.0 AS py, l.* FROM supplier, l WHERE {condition}), n AS (SELECT *, least(1, greatest(0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / 1e6)) AS t FROM c),
 d AS (SELECT *, sqrt((px - (x0 + t * (x1 - x0))) ** 2 + (py - (y0 + t * (y1 - y0))) ** 2) AS dist FROM n), b AS (SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY round(dist, 6), link_id) AS k FROM d) SELECT stop_id, link_id, round(dist, 3) AS dist, round(t, 6) AS loc FROM b WHERE k = 1"""
-)
+
+
+def _snapped(rows: DataFrame) -> DataFrame:
+    return rows.select("stop_id", "link_id", r("dist", 3).alias("dist"), r("loc", 6).alias("loc"))
+
+
+@query(_nearest_link("true"))
 def stops_snapped_to_network(t: Tables) -> DataFrame:
-    from haltwise.operators.snapping import snap_to_links
+    return _snapped(snapping.snap_to_links(t.sql(STOPS).select("stop_id", "x", "y"), t.links()))
+
 
-    return snap_to_links(t.sql(STOPS).select("stop_id", "x", "y"), t.links()).select("stop_id", "link_id", r("dist", 3).alias("dist"), r("loc", 6).alias("loc"))
+@query(_nearest_link("s_suppkey % 4 <> 0 OR link_id % 4 = 0"))
+def stops_snapped_to_links_of_their_mode(t: Tables) -> DataFrame:
+    links = t.links().withColumn("link_modes", F.when(F.col("link_id") % 4 == 0, F.array(F.lit("bus"), F.lit("tram"))).otherwise(F.array(F.lit("bus"))))
+    return _snapped(snapping.snap_to_links(t.sql(STOPS).select("stop_id", "x", "y", "stop_mode"), links, same_mode=True))
 
 
 _PLACES = "SELECT CAST(s_suppkey AS BIGINT) AS stop_id, CAST(s_suppkey % 4 AS INT) AS edge, CAST((s_suppkey * 37) % 1000 AS DOUBLE) AS place FROM {supplier}"
