@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from haltwise.operators import rawpoints
+from haltwise.sources.folders import Steps
+
+LOG = "step string, status string, n_rows long, message string, started timestamp, finished timestamp"
 
 
 @dataclass
@@ -17,22 +23,50 @@ class Imported:
     points: DataFrame
 
 
-def import_positions(raw: DataFrame, schedule: DataFrame, max_spd: float = 28.0, min_acc: float = -5.0, max_acc: float = 5.0) -> Imported:
+def import_positions(raw: DataFrame, schedule: DataFrame, max_spd: float = 28.0, min_acc: float = -5.0, max_acc: float = 5.0, cut: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Imported:
     """Cleans positions, makes journeys, judges them, and keeps the points of good ones less the redundant.
 
     raw: jrnid, route, dir, start_tst, tst, obs_id, odo, drst, x, y; schedule: route, dir, start_tst, ttid, ptid.
+    Route, direction and start of a journey are those of its earliest point. `cut` may write what is read more than once.
     """
     moved = rawpoints.movement_values(rawpoints.obs_numbers(raw))
-    clean = rawpoints.drop_invalid_movement(rawpoints.dedup_by_time(moved), max_spd, min_acc, max_acc)
+    clean = cut(rawpoints.drop_invalid_movement(rawpoints.dedup_by_time(moved), max_spd, min_acc, max_acc), "clean")
     about = clean.groupBy("jrnid").agg(F.min_by(F.struct("route", "dir", "start_tst"), F.struct("tst", "obs_id")).alias("_a")).select("jrnid", "_a.*")
     journeys = rawpoints.extract_journeys(clean).join(about, "jrnid").join(schedule, ["route", "dir", "start_tst"], "left").withColumn("invalid_reasons", F.array().cast("array<string>"))
     for reason, condition in rawpoints.journey_rules():
         journeys = rawpoints.invalidate(journeys, reason, condition)
-    good, bad = rawpoints.split_invalid(journeys)
+    good, bad = rawpoints.split_invalid(cut(journeys, "judged"))
     points = rawpoints.mark_redundant(clean.join(good.select("jrnid", "ptid"), "jrnid")).where("NOT is_redundant")
     return Imported(good, bad, points)
 
 
+def run_import(raw: DataFrame, schedule: DataFrame, folder: str, **limits: float) -> DataFrame:
+    """The import as a job: adds to the tables journeys, rejected and points in a folder, and returns its log.
+
+    A step that fails is logged with its message, and the steps after it are not
+    tried. The log is added to the table import_log, whatever happened.
+    """
+    spark = raw.sparkSession
+    steps = Steps(spark)
+    log: list[tuple] = []
+    now = lambda: dt.datetime.now(dt.timezone.utc)
+    started, step = now(), "clean"
+    try:
+        made = import_positions(raw, schedule, cut=steps.write, **limits)
+        log.append((step, "done", None, None, started, now()))
+        for step, table in vars(made).items():
+            started = now()
+            seen = Observation()
+            table.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{folder}/{step}")
+            log.append((step, "done", seen.get["n"], None, started, now()))
+    except PySparkException as e:
+        log.append((step, "failed", None, str(e), started, now()))
+    steps.drop(*[t for _, t in list(steps.paths.values())])
+    out = spark.createDataFrame(log, LOG)
+    out.coalesce(1).write.mode("append").parquet(f"{folder}/import_log")
+    return out
+
+
 def has_pattern(patterns: DataFrame, route: str) -> bool:
     """Whether a route has any pattern."""
     return not patterns.where(F.col("route") == route).isEmpty()

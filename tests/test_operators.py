@@ -265,3 +265,24 @@ def test_numbers_are_dense_and_in_order(spark):
     got = network.numbered(df.repartition(5), "n", F.floor(F.col("x") / 10), "x", "y", "k").collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
     assert [(r.x, r.y, r.k) for r in sorted(got, key=lambda r: r.n)] == order and sorted(r.n for r in got) == list(range(1, 202))
+
+
+def test_import_as_a_job(spark, tmp_path):
+    from haltwise.plans import imports
+
+    def journey(name, route, odo):
+        return [(name, route, 1, T0, at(k), k, float(odo * k), False, 10.0 * k, 0.0) for k in range(20)]
+
+    raw = spark.createDataFrame(
+        journey("good", "1", 10) + journey("still", "1", 0) + journey("unknown", "9", 10),
+        "jrnid string, route string, dir int, start_tst timestamp_ntz, tst timestamp_ntz, obs_id long, odo double, drst boolean, x double, y double",
+    )
+    schedule = spark.createDataFrame([("1", 1, T0, "t1", "p1")], "route string, dir int, start_tst timestamp_ntz, ttid string, ptid string")
+    log = {r.step: r for r in imports.run_import(raw, schedule, str(tmp_path), max_acc=20.0).collect()}
+    assert {k: (r.status, r.n_rows) for k, r in log.items()} == {"clean": ("done", None), "journeys": ("done", 1), "rejected": ("done", 2), "points": ("done", 20)}
+    back = lambda t: spark.read.parquet(f"{tmp_path}/{t}")
+    assert [r.jrnid for r in back("journeys").collect()] == ["good"]
+    assert {r.jrnid: r.invalid_reasons for r in back("rejected").collect()} == {"unknown": ["NULL ttid"], "still": ["Too little odometer sum vs. cumulative GPS distance"]}
+    failed = imports.run_import(raw.drop("odo"), schedule, str(tmp_path)).collect()
+    assert [(r.step, r.status) for r in failed] == [("clean", "failed")] and "odo" in failed[0].message
+    assert back("import_log").count() == 5 and back("points").count() == 20
