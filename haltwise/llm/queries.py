@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haltwise.llm import chat_format, decontamination, language_id, maxent_lm, near_duplicates, personal_data, piece_codec, quality, sharding, token_counts
+from haltwise.llm import chat_format, decontamination, language_id, maxent_lm, near_duplicates, personal_data, piece_codec, prefix_trie, quality, sharding, simhash_trees, spelling, token_counts
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op10_sharding(_t(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op11_prefix_trie(_t(spark, sf_dir, "conversations"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trees.op12_simhash(_t(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op13_spelling_variants(_t(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,9 +84,12 @@ QUERIES = {
         op8_personal_data,
         op9_maxent_lm,
         op10_sharding,
+        op11_prefix_trie,
+        op12_simhash,
+        op13_spelling_variants,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op4_decontamination": decontamination.ORACLE, "op7_chat_format": chat_format.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_quality": quality.ORACLE, "op4_decontamination": decontamination.ORACLE, "op7_chat_format": chat_format.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op13_spelling_variants": spelling.ORACLE}
 
 
 def queries() -> dict:
