@@ -163,6 +163,13 @@ def translate_scale(line: Column, fixed: Column, moved: Column, to: Column) -> C
     return F.transform(line, lambda p: point(fixed["x"] + (p["x"] - fixed["x"]) * kx, fixed["y"] + (p["y"] - fixed["y"]) * ky))
 
 
+def snap_to_grid(line: Column, size: float) -> Column:
+    """Points rounded to multiples of size; a point equal to the one before is left out."""
+    to = lambda v: F.round(v / size) * size if size >= 1 else F.round(v / size) / (1 / size)
+    snapped = F.transform(line, lambda p: point(to(p["x"]), to(p["y"])))
+    return F.filter(snapped, lambda p, i: F.coalesce(p != F.get(snapped, i - 1), F.lit(True)))
+
+
 # GRS80 and the projected grid's zone.
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257222101
 CENTRAL_MERIDIAN, SCALE, FALSE_EASTING = 27.0, 0.9996, 500000.0

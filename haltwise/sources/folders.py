@@ -39,3 +39,8 @@ class Steps:
         for t in tables:
             at = sc._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[0])
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Removes all tables but these."""
+        kept = {id(t) for t in tables}
+        self.drop(*[t for k, (_, t) in self.paths.items() if k not in kept])
