@@ -16,11 +16,16 @@ def service_dates(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
     calendar: service_id, start_date, end_date, one boolean per weekday;
     exceptions: service_id, date, exception_type (1 added, 2 removed).
     """
-    runs = calendar.select("service_id", F.explode(F.sequence("start_date", "end_date", F.expr("interval 1 day"))).alias("date"), F.array(*WEEKDAYS).alias("on"))
-    regular = runs.where(F.get("on", F.dayofweek("date") - 1)).select("service_id", "date")
-    kind = lambda k: exceptions.where(F.col("exception_type") == k).select("service_id", "date")
-    days = regular.union(kind(1)).distinct().join(kind(2), ["service_id", "date"], "left_anti")
-    return days.groupBy("service_id").agg(F.array_sort(F.collect_list("date")).alias("dates"))
+    # A service's spans and exceptions meet in one row of arrays; no row a day is made.
+    spans = calendar.where("start_date <= end_date").groupBy("service_id").agg(F.collect_list(F.struct(F.to_date("start_date").alias("lo"), F.to_date("end_date").alias("hi"), F.array(*WEEKDAYS).alias("on"))).alias("spans"))
+    kind = lambda k: F.array_distinct(F.collect_list(F.when(F.col("exception_type") == k, F.to_date("date"))))
+    changes = exceptions.groupBy("service_id").agg(kind(1).alias("added"), kind(2).alias("removed"))
+    days = lambda s: F.filter(F.sequence(s["lo"], s["hi"]), lambda d: F.get(s["on"], F.dayofweek(d) - 1))
+    none = F.array().cast("array<date>")
+    regular = F.coalesce(F.flatten(F.transform("spans", days)), none)
+    dates = F.array_sort(F.array_except(F.array_union(regular, F.coalesce("added", none)), F.coalesce("removed", none)))
+    out = spans.join(changes, "service_id", "full").select("service_id", dates.alias("dates"))
+    return out.where(F.col("service_id").isNotNull() & (F.size("dates") > 0))
 
 
 def fix_direction(trips: DataFrame) -> DataFrame:
