@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haltwise.plans import core_queries, editing_queries, merge_queries, network_queries, pattern_queries, raw_queries, route_queries, schedule_queries
+from haltwise.plans import core_queries, editing_queries, merge_queries, network_queries, pattern_queries, raw_queries, route_queries, schedule_queries, store_queries
 
-MODULES = (core_queries, network_queries, raw_queries, schedule_queries, editing_queries, pattern_queries, merge_queries, route_queries)
+MODULES = (core_queries, network_queries, raw_queries, schedule_queries, editing_queries, pattern_queries, merge_queries, route_queries, store_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

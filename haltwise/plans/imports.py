@@ -6,12 +6,14 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from haltwise.operators import rawpoints
 from haltwise.sources.folders import Steps
+from haltwise.sources.store import Store
 
 LOG = "step string, status string, n_rows long, message string, started timestamp, finished timestamp"
 
@@ -41,10 +43,10 @@ def import_positions(raw: DataFrame, schedule: DataFrame, max_spd: float = 28.0,
 
 
 def run_import(raw: DataFrame, schedule: DataFrame, folder: str, **limits: float) -> DataFrame:
-    """The import as a job: adds to the tables journeys, rejected and points in a folder, and returns its log.
+    """The import as a job: adds to the tables journeys, rejected and points of a store, all or none, and returns its log.
 
-    A step that fails is logged with its message, and the steps after it are not
-    tried. The log is added to the table import_log, whatever happened.
+    A step that fails is logged with its message, the steps after it are not tried, and what the steps before it have
+    written goes: a store's reader sees whole imports only. The log is added to import_log, whatever happened.
     """
     spark = raw.sparkSession
     steps = Steps(spark)
@@ -54,12 +56,15 @@ def run_import(raw: DataFrame, schedule: DataFrame, folder: str, **limits: float
     try:
         made = import_positions(raw, schedule, cut=steps.write, **limits)
         log.append((step, "done", None, None, started, now()))
-        for step, table in vars(made).items():
-            started = now()
-            seen = Observation()
-            table.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{folder}/{step}")
-            log.append((step, "done", seen.get["n"], None, started, now()))
-    except PySparkException as e:
+        with Store(spark, folder).transaction() as tx:
+            for step, table in vars(made).items():
+                started = now()
+                seen = Observation()
+                tx.append(step, table.observe(seen, F.count(F.lit(1)).alias("n")))
+                log.append((step, "done", seen.get["n"], None, started, now()))
+            step, started = "commit", now()
+    except (PySparkException, OSError, Py4JError) as e:
+        log = [(done, "undone" if done != "clean" else status, *rest) for done, status, *rest in log]
         log.append((step, "failed", None, str(e), started, now()))
     steps.drop(*[t for _, t in list(steps.paths.values())])
     out = spark.createDataFrame(log, LOG)
