@@ -25,13 +25,13 @@ def hypot(a: Column, b: Column) -> Column:
     return F.hypot(b["x"] - a["x"], b["y"] - a["y"])
 
 
-def _segments(line: Column) -> Column:
+def line_segments(line: Column) -> Column:
     """(a, b) of each segment; empty for fewer than two points."""
     return F.transform(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("a"), F.get(line, i + 1).alias("b")))
 
 
 def length(line: Column) -> Column:
-    return F.aggregate(_segments(line), F.lit(0.0), lambda s, g: s + hypot(g["a"], g["b"]))
+    return F.aggregate(line_segments(line), F.lit(0.0), lambda s, g: s + hypot(g["a"], g["b"]))
 
 
 def start_point(line: Column) -> Column:
@@ -89,7 +89,7 @@ def nearest(line: Column, p: Column) -> Column:
             (acc["i"] + 1).alias("i"),
         )
 
-    return F.aggregate(_segments(line), zero, step, lambda acc: F.struct(acc["distance"].alias("distance"), acc["along"].alias("along"), acc["side"].alias("side"), acc["beyond"].alias("beyond")))
+    return F.aggregate(line_segments(line), zero, step, lambda acc: F.struct(acc["distance"].alias("distance"), acc["along"].alias("along"), acc["side"].alias("side"), acc["beyond"].alias("beyond")))
 
 
 def box(line: Column) -> Column:
@@ -129,14 +129,14 @@ def interpolate(line: Column, share: Column) -> Column:
             (acc["done"] | (acc["at"] + size >= target)).alias("done"),
         )
 
-    return F.aggregate(_segments(line), zero, step, lambda acc: point(acc["x"], acc["y"]))
+    return F.aggregate(line_segments(line), zero, step, lambda acc: point(acc["x"], acc["y"]))
 
 
 def substring(line: Column, low: Column, high: Column) -> Column:
     """The part of the line between two shares of its length."""
     total = length(line)
     marks = F.aggregate(
-        _segments(line),
+        line_segments(line),
         F.array(F.struct(start_point(line)["x"].alias("x"), start_point(line)["y"].alias("y"), F.lit(0.0).alias("at"))),
         lambda acc, g: F.array_append(acc, F.struct(g["b"]["x"].alias("x"), g["b"]["y"].alias("y"), (F.element_at(acc, -1)["at"] + hypot(g["a"], g["b"])).alias("at"))),
     )
@@ -170,6 +170,37 @@ def snap_to_grid(line: Column, size: float) -> Column:
     return F.filter(snapped, lambda p, i: F.coalesce(p != F.get(snapped, i - 1), F.lit(True)))
 
 
+def segment_cells(a: Column, b: Column, size: float, margin: float) -> Column:
+    """The grid cells (cx, cy) that a segment passes within a margin: column by column, the rows between its heights there."""
+    low, high = F.least(a["x"], b["x"]) - margin, F.greatest(a["x"], b["x"]) + margin
+    rise = F.try_divide(b["y"] - a["y"], b["x"] - a["x"])
+
+    def rows(cx: Column) -> Column:
+        at = lambda x: a["y"] + rise * (F.least(F.greatest(x, low), high) - a["x"])
+        one, two = at(cx * size - margin), at((cx + 1) * size + margin)
+        # Never beyond the segment's own heights, which a vertical one has none but.
+        bottom = F.greatest(F.coalesce(F.least(one, two), F.least(a["y"], b["y"])), F.least(a["y"], b["y"]))
+        top = F.least(F.coalesce(F.greatest(one, two), F.greatest(a["y"], b["y"])), F.greatest(a["y"], b["y"]))
+        cys = F.sequence(F.floor((bottom - margin) / size), F.floor((top + margin) / size))
+        return F.transform(cys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(F.floor(low / size), F.floor(high / size)), rows))
+
+
+def stretched(line: Column, fixed: Column, moved: Column, to: Column) -> Column:
+    """The line with its end `moved` drawn to a place (null: as it is), vertices following in proportion.
+
+    Each axis is scaled by itself. On an axis on which both ends are equal vertices follow by their share of the other axis.
+    """
+    share = lambda p, c: F.try_divide(p[c] - fixed[c], moved[c] - fixed[c])
+
+    def follow(p: Column, c: str, other: str) -> Column:
+        part = F.coalesce(share(p, c), share(p, other), F.when(p == moved, 1.0).otherwise(0.0))
+        return F.when(p == moved, to[c]).otherwise(p[c] + part * (to[c] - moved[c]))
+
+    return F.when(to.isNull() | (to == moved), line).otherwise(F.transform(line, lambda p: point(follow(p, "x", "y"), follow(p, "y", "x"))))
+
+
 # GRS80 and the projected grid's zone.
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257222101
 CENTRAL_MERIDIAN, SCALE, FALSE_EASTING = 27.0, 0.9996, 500000.0

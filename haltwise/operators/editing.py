@@ -27,8 +27,8 @@ def move_nodes(links: DataFrame, moves: DataFrame) -> DataFrame:
     """Links stretched so that moved nodes (node_id, x, y) are their ends again; the other end stays."""
     at = lambda end: moves.select(F.col("node_id").alias(f"{end}_node"), g.point(F.col("x"), F.col("y")).alias(f"_{end}"))
     line = F.col("geom")
-    moved_i = links.join(at("i"), "i_node", "left").withColumn("geom", F.when(F.col("_i").isNull(), line).otherwise(g.translate_scale(line, g.end_point(line), g.start_point(line), F.col("_i"))))
-    moved_j = moved_i.join(at("j"), "j_node", "left").withColumn("geom", F.when(F.col("_j").isNull(), line).otherwise(g.translate_scale(line, g.start_point(line), g.end_point(line), F.col("_j"))))
+    moved_i = links.join(at("i"), "i_node", "left").withColumn("geom", g.stretched(line, g.end_point(line), g.start_point(line), F.col("_i")))
+    moved_j = moved_i.join(at("j"), "j_node", "left").withColumn("geom", g.stretched(line, g.start_point(line), g.end_point(line), F.col("_j")))
     return moved_j.select(*links.columns)
 
 

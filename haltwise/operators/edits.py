@@ -8,7 +8,7 @@ round settles every place whose earlier neighbours are settled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haltwise.functions import geometry as g
@@ -66,20 +66,6 @@ def insert_nodes(nodes: DataFrame, new: DataFrame, box: tuple[float, float, floa
     return nodes.select("node_id", "x", "y").unionByName(stays), close.unionByName(outside.withColumn("reason", F.lit("outside the area")))
 
 
-def stretched(line: Column, fixed: Column, moved: Column, to: Column) -> Column:
-    """The line with its end `moved` drawn to a place (null: as it is), vertices following in proportion.
-
-    Each axis is scaled by itself. On an axis on which both ends are equal vertices follow by their share of the other axis.
-    """
-    share = lambda p, c: F.try_divide(p[c] - fixed[c], moved[c] - fixed[c])
-
-    def follow(p: Column, c: str, other: str) -> Column:
-        part = F.coalesce(share(p, c), share(p, other), F.when(p == moved, 1.0).otherwise(0.0))
-        return F.when(p == moved, to[c]).otherwise(p[c] + part * (to[c] - moved[c]))
-
-    return F.when(to.isNull() | (to == moved), line).otherwise(F.transform(line, lambda p: g.point(follow(p, "x", "y"), follow(p, "y", "x"))))
-
-
 def insert_links(nodes: DataFrame, links: DataFrame, metres: float = SNAP_M) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links with references, geometry, cost and reverse cost; nodes with those created; links discarded with a reason).
 
@@ -106,7 +92,7 @@ def insert_links(nodes: DataFrame, links: DataFrame, metres: float = SNAP_M) ->
     met = links.drop("i_node", "j_node").join(of(0, "i"), "link_id").join(of(1, "j"), "link_id")
 
     line = F.col("geom")
-    met = met.withColumn("geom", stretched(line, g.end_point(line), g.start_point(line), F.col("_i"))).withColumn("geom", stretched(line, g.start_point(line), g.end_point(line), F.col("_j")))
+    met = met.withColumn("geom", g.stretched(line, g.end_point(line), g.start_point(line), F.col("_i"))).withColumn("geom", g.stretched(line, g.start_point(line), g.end_point(line), F.col("_j")))
     cost, back = cost_of(line, F.col("oneway"))
     out = steps.write(met.drop("_i", "_j").withColumn("cost", cost).withColumn("rcost", back), "links")
     grown = nodes.select(F.col("node_id").cast("long").alias("node_id"), "x", "y").unionByName(created.select("node_id", "x", "y"))

@@ -110,10 +110,9 @@ def _grid_join(points: DataFrame, others: DataFrame, size: float) -> DataFrame:
 
 
 def link_cells(links: DataFrame, size: float, margin: float) -> DataFrame:
-    """Links with each grid cell that their box, widened by margin, meets."""
-    xs, ys = F.transform("geom", lambda p: p["x"]), F.transform("geom", lambda p: p["y"])
-    span = lambda v: F.sequence(F.floor((F.array_min(v) - margin) / size), F.floor((F.array_max(v) + margin) / size))
-    return links.withColumn("_cx", F.explode(span(xs))).withColumn("_cy", F.explode(span(ys)))
+    """Links with each grid cell that they pass within a margin, once."""
+    cells = F.flatten(F.transform(g.line_segments(F.col("geom")), lambda s: g.segment_cells(s["a"], s["b"], size, margin)))
+    return links.withColumn("_c", F.explode(F.array_distinct(cells))).withColumn("_cx", F.col("_c.cx")).withColumn("_cy", F.col("_c.cy")).drop("_c")
 
 
 def stop_link_refs(stops: DataFrame, links: DataFrame, metres: float = 20.0, cell: float = 500.0) -> DataFrame:
@@ -145,6 +144,18 @@ def section_stop_points(section_links: DataFrame, stops: DataFrame) -> DataFrame
     return placed.join(stops.select("stop_id", "link_id", "link_reversed", "location_on_link"), ["link_id", "link_reversed"]).withColumn("location_m", F.col("start_m") + F.col("location_on_link") * F.col("length_m"))
 
 
+def section_stop_places(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """Stops of sections with their place on the link. placed: link_id, link_reversed, location_on_link; links: both directions, with geom."""
+    lines = links.select("link_id", "link_reversed", F.col("geom").alias("_g"))
+    return placed.join(lines, ["link_id", "link_reversed"]).withColumn("place", g.interpolate(F.col("_g"), F.col("location_on_link"))).drop("_g")
+
+
+def via_arrays(vianodes: DataFrame, key: str) -> DataFrame:
+    """The nodes of each route in order as one array, and whether any is missing: such routes are not routed."""
+    nodes = F.transform(F.array_sort(F.collect_list(F.struct("node_seq", "node_id"))), lambda n: n["node_id"])
+    return vianodes.groupBy(key).agg(F.bool_or(F.col("node_id").isNull()).alias("has_null_nodes"), nodes.alias("via_nodes"))
+
+
 def line_of_links(rows: DataFrame, parent: str, seq: str = "link_seq") -> DataFrame:
     """One line per parent from the geometries of its links in order."""
     joined = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("geom").alias("g")))), lambda r: r["g"])

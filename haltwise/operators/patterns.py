@@ -138,6 +138,20 @@ def drop_outlier_stops(snapped: DataFrame, metres: float = 20.0) -> DataFrame:
     return snapped.where(~F.coalesce(F.col("point_dist") > metres, F.lit(False)))
 
 
+def snap_near_nodes(snapped: DataFrame, edges: DataFrame, metres: float = 10.0) -> DataFrame:
+    """Stops nearer to an end of their edge than a distance moved to that end, the nearer one (of equals the start).
+
+    snapped: stop_id, edge, start_dist, end_dist, x, y, status; edges: edge, geom. Stops on an end, or without an edge, stay.
+    """
+    met = snapped.join(edges.select("edge", F.col("geom").alias("_g")), "edge", "left")
+    a, b, line = F.col("start_dist"), F.col("end_dist"), F.col("_g")
+    start = line.isNotNull() & (a > 0) & (a < metres) & (a <= b)
+    end = line.isNotNull() & (b > 0) & (b < metres) & (b < a)
+    p, q, size = g.start_point(line), g.end_point(line), g.length(line)
+    new = {"start_dist": (F.lit(0.0), size), "end_dist": (size, F.lit(0.0)), "x": (p["x"], q["x"]), "y": (p["y"], q["y"]), "status": (F.lit("moved to edge start"), F.lit("moved to edge end"))}
+    return met.select(*[F.when(start, new[c][0]).when(end, new[c][1]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in snapped.columns])
+
+
 def cluster_stops(snapped: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
     """Stops moved to the mean place of their group on the edge, where the group has several: new start_dist, end_dist, x, y, status.
 

@@ -123,6 +123,25 @@ def journey_rules() -> list[tuple[str, Column]]:
     ]
 
 
+def match_rules() -> list[tuple[str, Column]]:
+    """The rule of journeys after their points have been matched to segments."""
+    return [("No valid segment matches", F.coalesce("n_segs", F.lit(0)) == 0)]
+
+
+def judge_matches(journeys: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(journeys with matched segments and their number n_segs, those without with the reason added). segments: jrnid, one row a segment."""
+    counted = journeys.drop("n_segs").join(segments.groupBy("jrnid").agg(F.count("*").alias("n_segs")), "jrnid", "left").withColumn("n_segs", F.coalesce("n_segs", F.lit(0)))
+    for reason, condition in match_rules():
+        counted = invalidate(counted, reason, condition)
+    return split_invalid(counted)
+
+
+def odometer_groups(points: DataFrame) -> DataFrame:
+    """Points with the rank of their odometer value within the journey (equal values share one) and how many have it."""
+    by_odo = Window.partitionBy("jrnid").orderBy("odo")
+    return points.withColumn("odogroup", F.rank().over(by_odo)).withColumn("n_in_odogroup", F.count("*").over(Window.partitionBy("jrnid", "odo")))
+
+
 def split_invalid(df: DataFrame, column: str = "invalid_reasons") -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with their reasons)."""
     bad = F.size(F.coalesce(F.col(column), F.array().cast("array<string>"))) > 0

@@ -92,6 +92,44 @@ def trip_templates(trips: DataFrame, times: DataFrame) -> DataFrame:
     return joined.withColumn("ttid", F.concat_ws("_", "ptid", n))
 
 
+def timepoint_templates(times: DataFrame, trips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(templates: ttid, ptid, stop_seqs, arr_times, dep_times, n_trips; members: ttid, trip_id).
+
+    Trips of one pattern with equal times at their time points are one template; a trip's last stop is a time
+    point too. times: trip_id, stop_sequence, arr_diff_s, dep_diff_s, timepoint; trips: trip_id, ptid, each once.
+    """
+    last = F.col("stop_sequence") == F.max("stop_sequence").over(Window.partitionBy("trip_id"))
+    at = times.withColumn("_tp", F.coalesce("timepoint", F.lit(False)) | last).where("_tp")
+    points = F.array_sort(F.collect_list(F.struct("stop_sequence", "arr_diff_s", "dep_diff_s")))
+    by_trip = at.groupBy("trip_id").agg(points.alias("points")).join(trips.select("trip_id", "ptid"), "trip_id")
+    n = F.row_number().over(Window.partitionBy("ptid").orderBy("points"))
+    found = by_trip.groupBy("ptid", "points").agg(F.count("*").alias("n_trips")).withColumn("ttid", F.concat_ws("_", "ptid", n))
+    column = lambda c: F.transform("points", lambda p: p[c])
+    templates = found.select("ttid", "ptid", column("stop_sequence").alias("stop_seqs"), column("arr_diff_s").alias("arr_times"), column("dep_diff_s").alias("dep_times"), "n_trips")
+    return templates, by_trip.join(found.select("ttid", "ptid", "points"), ["ptid", "points"]).select("ttid", "trip_id")
+
+
+def template_stops(templates: DataFrame) -> DataFrame:
+    """Pairs of successive time points: ttid, i_stop_seq, j_stop_seq, i_dep_s, j_arr_s and the seconds between."""
+    pair = lambda i: F.struct(*[F.get(c, i + d).alias(name) for name, c, d in (("i_stop_seq", "stop_seqs", 0), ("j_stop_seq", "stop_seqs", 1), ("i_dep_s", "dep_times", 0), ("j_arr_s", "arr_times", 1))])
+    pairs = templates.where(F.size("stop_seqs") > 1).select("ttid", F.explode(F.transform(F.sequence(F.lit(0), F.size("stop_seqs") - 2), pair)).alias("p")).select("ttid", "p.*")
+    return pairs.withColumn("ij_seconds", (F.col("j_arr_s") - F.col("i_dep_s")).cast("double"))
+
+
+def template_timestamps(members: DataFrame, trips: DataFrame, dates: DataFrame, zone: str = "Europe/Helsinki") -> DataFrame:
+    """(ttid, start_ts): when trips of a template start, once each, in UTC.
+
+    trips: trip_id, service_id, start_s; dates: service_id, dates. A start is so many seconds after
+    the day's local midnight, also on days when clocks change. Trips that start alike share their days: each
+    template and second has its services' days once before they become rows.
+    """
+    alike = members.join(trips.select("trip_id", "service_id", "start_s"), "trip_id").where("start_s IS NOT NULL").select("ttid", "start_s", "service_id").distinct()
+    days = alike.join(dates.select("service_id", "dates"), "service_id").groupBy("ttid", "start_s").agg(F.array_distinct(F.flatten(F.collect_list("dates"))).alias("days"))
+    rows = days.select("ttid", "start_s", F.explode("days").alias("day"))
+    midnight = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.col("day").cast("timestamp_ntz"))
+    return rows.select("ttid", (midnight + F.make_interval(secs=F.col("start_s"))).alias("start_ts")).distinct()
+
+
 def segment_times(segments: DataFrame, spans: DataFrame, strict: bool = False) -> DataFrame:
     """Seconds of each segment by its share of the span between two time points.
 

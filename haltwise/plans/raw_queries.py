@@ -65,7 +65,7 @@ UNION ALL SELECT jrnid, obs_num, obs_id, ok, CASE WHEN ok THEN nx ELSE x END, CA
 SELECT obs_id, jrnid, round(spd, 6) AS spd FROM f WHERE kept"""
 )
 def raw_drop_invalid_movement(t: Tables) -> DataFrame:
-    """Fast points against the last kept one, over the journeys of every tenth vehicle."""
+    """Fast points against the last kept one."""
     return rawpoints.drop_invalid_movement(_moved(t), max_spd=0.02).select("obs_id", "jrnid", r("spd", 6).alias("spd"))
 
 
