@@ -14,11 +14,12 @@ texts can be read back. Assistant texts, not their marks, are under the loss
 mask. Only DataFrame functions are used.
 
 A record with fields that no mapping reads (an id, a name in a message) has a
-fingerprint of its own; it is read by the first mapping that knows what is left
-of the record once those fields are left out. A record too long for a variant
-(16 MB) is fingerprinted by its field names alone, and so are the mappings.
+fingerprint of its own. Its paths are then pruned to the fields that a mapping knows, and hashed again; of
+the mappings whose fingerprint that is, the one that reads most of the record's fields is taken. Presence counts, not values, so
+fields that are null are read. A list or object where a mapping reads a scalar is no layout of it.
 
-Defined results: a null text or role is empty; a record that no mapping knows is
+Defined results: a null text or role is empty; a record that no mapping knows, that leaves fields unread and has no turns, that is
+no JSON or is too large for a variant (128 MB) is
 one row without role and text whose layout is null, which formatting passes over
 (`rejected` counts them by conversation); a conversation without turns
 is not in the output; texts may be as long as a string can be; repeated rows are turns of their own, ties go by role and
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -89,9 +91,12 @@ MAPPINGS = (
 
 
 def paths(record: Column) -> Column:
-    """The nested field paths of a JSON record: names sorted, objects and arrays kept, scalar types left out. Null if it is no JSON or too long."""
+    """The nested field paths of a JSON record: names sorted, objects and arrays kept, scalar types left out. Null if it is no JSON or too long.
+
+    What differs in kind from element to element stays as VARIANT, which no mapping knows as it is.
+    """
     schema = F.schema_of_variant(F.try_parse_json(record))
-    return F.regexp_replace(F.regexp_replace(schema, r": (?!OBJECT|ARRAY)[A-Z_]+(\(\d+,\d+\))?", ""), r"<[A-Z_]+(\(\d+,\d+\))?>", "<>")
+    return F.regexp_replace(F.regexp_replace(schema, r": (?!OBJECT|ARRAY|VARIANT)[A-Z_]+(\(\d+,\d+\))?", ""), r"<[A-Z_]+(\(\d+,\d+\))?>", "<>")
 
 
 def fingerprint(record: Column) -> Column:
@@ -100,14 +105,23 @@ def fingerprint(record: Column) -> Column:
     return F.when(p.isNotNull(), F.xxhash64(p))
 
 
-def names(path: str) -> str:
-    """A path without what is nested in it: `a, b` of `OBJECT<a: ARRAY<...>, b>`."""
-    out, depth = "", 0
-    for c in path.removeprefix("OBJECT"):
-        depth += (c == "<") - (c == ">")
-        if depth == 1 and c != "<" and not (c == ">"):
-            out += c
-    return ", ".join(part.split(":")[0].strip() for part in out.split(","))
+def pruned_paths(record: Column, m: Mapping) -> tuple[Column, Column]:
+    """(the record's paths without the fields that a mapping doesn't read, how many of its fields are read)."""
+    v, keys = F.try_parse_json(record), F.json_object_keys(record)
+    nested = lambda value: F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+    found = []
+    for f in sorted(StructType.fromDDL(m.schema).fields, key=lambda f: f.name):
+        if isinstance(f.dataType, ArrayType):
+            inner = F.array(*[F.lit(n) for n in sorted(f.dataType.elementType.names)])
+            rows = F.try_variant_get(v, F.lit(f"$.{f.name}"), "array<map<string,variant>>")
+            has = F.filter(inner, lambda n: F.exists(rows, lambda e: F.coalesce(F.map_contains_key(e, n), F.lit(False))))
+            other = rows.isNull() | F.exists(rows, lambda e: F.exists(inner, lambda n: nested(F.try_element_at(e, n))))
+            shape = F.when(other, ": OTHER").when(F.size(rows) == 0, ": ARRAY<>").otherwise(F.concat(F.lit(": ARRAY<OBJECT<"), F.array_join(has, ", "), F.lit(">>")))
+        else:
+            shape = F.when(nested(F.try_variant_get(v, F.lit(f"$.{f.name}"), "variant")), ": OTHER").otherwise("")
+        found.append(F.when(F.array_contains(keys, f.name), F.concat(F.lit(f.name), shape)))
+    read = F.filter(F.array(*found), lambda x: x.isNotNull())
+    return F.concat(F.lit("OBJECT<"), F.array_join(read, ", "), F.lit(">")), F.size(read)
 
 
 def _read(m: Mapping, record: str) -> Column:
@@ -117,17 +131,23 @@ def _read(m: Mapping, record: str) -> Column:
 def canonical_turns(records: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """conv_id, seq (order in the table, place in the record), role, text and layout, one row per turn, and one for each record without a layout."""
     base = records.select(F.col(conv_col).alias("conv_id"), F.col(order_col).alias("_o"), F.col(record_col).alias("_j"), fingerprint(F.col(record_col)).alias("fp"))
-    exact = pruned = long = F.lit(None).cast("string")
-    own_names = F.array_join(F.array_sort(F.json_object_keys("_j")), ", ")
-    for m in reversed(mappings):
+    exact = F.lit(None).cast("string")
+    fits = []
+    for k, m in reversed(list(enumerate(mappings))):
         known = [F.xxhash64(F.lit(p)) for p in m.paths]
         exact = F.when(F.col("fp").isin(known), F.lit(m.name)).otherwise(exact)
-        pruned = F.when(fingerprint(F.to_json(F.from_json("_j", m.schema))).isin(known), F.lit(m.name)).otherwise(pruned)
-        long = F.when(own_names.isin([names(p) for p in m.paths]), F.lit(m.name)).otherwise(long)
-    found = base.withColumn("layout", F.when(F.col("fp").isNull(), long).otherwise(F.coalesce(exact, pruned)))
+        left, n = pruned_paths(F.col("_j"), m)
+        fits.append(F.when(F.xxhash64(left).isin(known), F.struct(n.alias("n"), F.lit(-k).alias("k"), F.lit(m.name).alias("name"))))
+    best = F.array_max(F.array(*fits))["name"]
+    found = base.withColumn("_exact", exact).withColumn("layout", F.when(F.col("fp").isNotNull(), F.coalesce(F.col("_exact"), best)))
     turns = F.lit(None).cast(TURNS)
     for m in mappings:
         turns = F.when(F.col("layout") == m.name, _read(m, "_j")).otherwise(turns)
+    found = found.withColumn("_turns", turns)
+    # Something is left of the record and nothing has been read.
+    bare = F.col("_exact").isNull() & (F.coalesce(F.size("_turns"), F.lit(0)) <= 0)
+    found = found.withColumn("layout", F.when(~bare, F.col("layout")))
+    turns = F.col("_turns")
     each = found.select("conv_id", "_o", "layout", F.posexplode_outer(turns).alias("_p", "_t")).where("layout IS NULL OR _p IS NOT NULL")
     said = lambda c: F.when(F.col("layout").isNotNull(), F.coalesce(f"_t.{c}", F.lit(""))).alias(c)
     return each.select("conv_id", F.struct("_o", "_p").alias("seq"), said("role"), said("text"), "layout")

@@ -240,3 +240,38 @@ def test_terms_against_brute_force(spark, docs, times):
     want = collections.Counter((i, tuple(s)) for (i, _), s in zip(rows, brute_terms(rows)))
     got = term_spans(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got == want and any(s for _, s in got)
+
+
+def test_no_record_is_lost(spark):
+    """Nulls beside unknown fields, records of two layouts, lists as content, mixed elements, empty lists: read, or rejected."""
+    read = [
+        ('{"messages":[],"prompt":"x","response":"y"}', [("user", "x"), ("assistant", "y")]),
+        ('{"id":1,"prompt":"x","response":null}', [("user", "x"), ("assistant", "")]),
+        ('{"id":3,"role":"user","text":null}', [("user", "")]),
+        ('{"id":4,"messages":[{"role":"user","content":null,"name":"n"}]}', [("user", "")]),
+        ('{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":5}]}', [("user", "a"), ("assistant", "5")]),
+        ('{"messages":[{"role":"user","content":"a","tool":{"deep":[{"er":1}]}},{"content":"b","role":"assistant"}],"meta":{"a":{"b":[1]}}}', [("user", "a"), ("assistant", "b")]),
+        ('{"text":"t","role":"user","prompt":"p","response":"r","system":"s"}', [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ('{"system":null,"prompt":"p","response":"r"}', [("user", "p"), ("assistant", "r")]),
+        ('{"instruction":"do","input":null,"output":"done","score":1}', [("user", "do"), ("assistant", "done")]),
+    ]
+    lost = [
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"hi"}]}]}',
+        '{"messages":[{"role":"user","content":"x"},{"role":"user","content":[{"type":"text"}]}]}',
+        '{"messages":[{"from":"human","value":"x"}]}',
+        '{"messages":[],"id":1}',
+        '{"messages":null,"id":1}',
+        '{"messages":["a"],"id":1}',
+        '{"role":{"a":1},"text":"x"}',
+        '{"id":1}',
+        "[]",
+        "no json",
+        None,
+    ]
+    rows = [(k, 0, j) for k, (j, _) in enumerate(read)] + [(100 + k, 0, j) for k, j in enumerate(lost)]
+    turns = chat_format.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, record string"))
+    got = {}
+    for r in turns.where("layout IS NOT NULL").orderBy("conv_id", "seq").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {k: t for k, (_, t) in enumerate(read)}
+    assert {tuple(r) for r in chat_format.rejected(turns).collect()} == {(100 + k, 1) for k in range(len(lost))}
