@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,12 @@ class Tables:
     def drop(self, *tables: DataFrame) -> None:
         _delete(self.spark, [self.paths.pop(id(t))[0] for t in tables if id(t) in self.paths])
 
+    def leave(self) -> None:
+        """The tables that are left stay for results that read them, until the program ends."""
+        for path, _ in self.paths.values():
+            _at_end_remove(self.spark, path)
+        self.paths.clear()
+
     def __enter__(self) -> Tables:
         return self
 
@@ -71,36 +78,44 @@ class Tables:
         self.paths.clear()
 
 
-#: Tables that results read from: removed by `remove_stashed`, or at the end of the program.
+#: Tables that results read from, removed at the end of the program.
 _stashed: list[tuple[SparkSession, str]] = []
+#: Where the tables of a block are noted, if this thread is in one.
+_block: ContextVar[list[str] | None] = ContextVar("block", default=None)
 
 
 def stash(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     out, path = _write(df, name)
+    if (own := _block.get()) is not None:
+        own.append(path)
+        return out
+    _at_end_remove(df.sparkSession, path)
+    return out
+
+
+def _at_end_remove(spark: SparkSession, path: str) -> None:
     if not _stashed:
         atexit.register(_at_end)
-    _stashed.append((df.sparkSession, path))
-    return out
+    _stashed.append((spark, path))
 
 
 def _at_end() -> None:
     with contextlib.suppress(Exception):  # the session may be gone
-        remove_stashed()
-
-
-def stash_mark() -> int:
-    """A point in time for `remove_stashed`."""
-    return len(_stashed)
+        for spark, path in _stashed:
+            _delete(spark, [path])
 
 
-def remove_stashed(start: int = 0, stop: int | None = None) -> None:
-    """Removes the stashed tables made between two marks: results that read them must have been written."""
-    for k in range(start, len(_stashed) if stop is None else stop):
-        spark, path = _stashed[k]
-        if path:
-            _delete(spark, [path])
-            _stashed[k] = (spark, "")
+@contextlib.contextmanager
+def stashed_for(spark: SparkSession):
+    """A block whose stashed tables go when it ends: what reads them must have been written by then. Other blocks' and threads' tables stay."""
+    own: list[str] = []
+    token = _block.set(own)
+    try:
+        yield
+    finally:
+        _block.reset(token)
+        _delete(spark, own)
 
 
 def text_bytes(col: str = "text"):

@@ -222,9 +222,13 @@ def fit(texts: list[tuple[str, str]], rounds: int = 30, rate: float = 0.15, segm
 
 
 def learn(docs: DataFrame, per_language: int = 150, sample_chars: int = 8_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
-    """Fits on a bounded sample of the rows given: expected per_language texts of each label, twice that at most."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.length(F.col(text_col)).between(1, sample_chars))
-    rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    """Fits on a bounded sample of the rows given: expected per_language texts of each label, twice that at most.
+
+    Of a text longer than sample_chars the sample has a window of that length, at a place that its id decides.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(F.col(text_col)) > 0))
+    place = F.pmod(F.xxhash64(F.lit("window"), F.col(id_col)), F.greatest(F.length(F.col(text_col)) - sample_chars, F.lit(0)) + 1)
+    rows = rows.select(F.col(id_col).alias("i"), F.substr(F.col(text_col), place.cast("int") + 1, F.lit(sample_chars)).alias("t"), F.col(lang_col).alias("l"))
     counts = sorted((r["l"], r["count"]) for r in rows.groupBy("l").count().collect())  # one row for each label
     if len(counts) > MAX_LABELS:
         raise ValueError(f"{len(counts)} labels: the weights go to every task and are bounded by {MAX_LABELS} labels")

@@ -275,3 +275,13 @@ def test_no_record_is_lost(spark):
         got.setdefault(r.conv_id, []).append((r.role, r.text))
     assert got == {k: t for k, (_, t) in enumerate(read)}
     assert {tuple(r) for r in chat_format.rejected(turns).collect()} == {(100 + k, 1) for k in range(len(lost))}
+
+
+def test_languages_with_long_texts_only_are_learned(spark):
+    """A label is learned from windows of its texts if they are all longer than the sample's."""
+    rnd = __import__("random").Random(4)
+    words = {"en": "the and of that which with from have this water bridge".split(), "fr": "les des que dans pour avec une sur pont rivière été".split()}
+    rows = [(k, " ".join(rnd.choice(words[lang]) for _ in range(n)), lang) for k, (lang, n) in enumerate([("en", 30)] * 40 + [("en", 3000)] * 20 + [("fr", 3000)] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, language_id.learn(df, sample_chars=2_000)).collect()}
+    assert got == {k: lang for k, _, lang in rows}

@@ -35,3 +35,15 @@ def test_dedup_leaves_one_of_each_group(spark):
     left = stash(near_duplicates.drop_near_duplicates(docs, shingle=5), "left")
     again = near_duplicates.near_duplicates(left, shingle=5)
     assert again.where("NOT kept").count() == 0
+
+
+def test_results_of_one_stage_stand_side_by_side(spark):
+    """Two lazy results of a stage in one session, read after each other and after the next stage has begun."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    quality, dedup = (f for _, f in corpus_pipeline.STAGES[:2])
+    even, odd = quality(spark, docs.where("doc_id % 2 = 0"), SF), quality(spark, docs.where("doc_id % 2 = 1"), SF)
+    n = odd.count()
+    deduplicated = dedup(spark, odd, SF)
+    assert even.count() > 0 and n > 0 and 0 < deduplicated.count() <= n
+    corpus_pipeline.run(spark, SF)
+    assert even.count() > 0 and deduplicated.count() <= n
