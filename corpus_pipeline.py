@@ -1,66 +1,41 @@
 """The corpus pipeline: quality, near duplicates, decontamination, personal data, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's docs. So when a stage begins, the
-tables that the one before made on its way are needed no more, and it removes them.
+as Parquet and read again as the next one's docs. `run` removes the tables that a stage has made on its way
+as soon as its result is written, and that result when the next one is.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haltwise.llm import decontamination, near_duplicates, personal_data, piece_codec, quality
-from haltwise.llm.common import remove_stashed, stash, stash_mark
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Marks around the tables of the stage before.
-_left: list[tuple[int, int]] = []
-
-
-def _stage(f: Stage) -> Stage:
-    @functools.wraps(f)
-    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _left:
-            remove_stashed(*_left.pop())
-        start = stash_mark()
-        out = f(spark, docs, sf_dir)
-        _left.append((start, stash_mark()))
-        return out
-
-    return staged
+from haltwise.llm.common import Tables, stashed_for
 
 
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the fences of their language and source."""
     return quality.keep_good(docs)
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return near_duplicates.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
-@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shingle=5, percent=80)
 
 
-@_stage
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, identifiers and what reveals them taken out of the texts."""
     clean = personal_data.sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
-@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their ids, and whether decoding gives the text back."""
     coded = piece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -81,12 +56,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    written = None
+    tables = Tables(spark)
     for name, stage in STAGES[:-1]:
-        made = stage(spark, docs, sf_dir)
-        mark = stash_mark()
-        docs = stash(made, name)
-        if written is not None:
-            remove_stashed(written, written + 1)
-        written = mark
+        with stashed_for(spark):
+            written = tables.write(stage(spark, docs, sf_dir), name)
+        tables.drop(docs)
+        docs = written
+    tables.leave()
     return STAGES[-1][1](spark, docs, sf_dir)
