@@ -13,8 +13,10 @@ against the leader that it shares most buckets with, then, where their
 components still differ, against its other leaders, then members outside a
 bucket's largest component against members of other components, until every pair
 of different components in a bucket has been compared or cannot reach the
-threshold (sizes; distance of packed signatures). Every link is confirmed on
-full sets: a pair carries its member's set to its leader. Components come from
+threshold (sizes; distance of packed signatures). Of the pairs with its other leaders, first one for each
+two components is compared, then those that are still apart. Every link is confirmed on
+full sets: a pair carries its member's set to its leader; the members of a bucket that are compared with
+each other carry their own, and are tested where they meet. Components come from
 union-find within partitions, hooking and pointer jumping across them.
 
 Sets are made again only for classes that share a bucket, picked by a map of
@@ -265,37 +267,45 @@ def _classes(docs: DataFrame, tables: Tables, shingle: int, percent: int, id_col
         return two.where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
     def apart(of: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components."""
+        """The pairs whose ends are in different components cu and cv."""
         named = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
         out = of.join(named, "u", "left").join(named.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v", "left")
-        return out.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+        return out.withColumn("cu", F.coalesce("cu", "u")).withColumn("cv", F.coalesce("cv", "v")).where("cu <> cv")
+
+    def one_between(of: DataFrame) -> DataFrame:
+        """For each two components the pair that shares most buckets."""
+        both = apart(of).groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b"))
+        return both.agg(F.max(F.struct("c", "u", "v")).alias("x")).select("x.u", "x.v")
 
     def joined(new: DataFrame) -> DataFrame:
         return components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(new), tables)
 
     best = pairs.groupBy("u").agg(F.max(F.struct("c", (-F.col("v")).alias("v"))).alias("x")).select("u", (-F.col("x.v")).alias("v"))
     comp = components(confirmed(near(best)), tables)
-    comp = joined(confirmed(near(apart(pairs.select("u", "v")))))
-
-    # Then what is outside a bucket's largest component: a few of each bucket against all, then all.
+    comp = joined(confirmed(near(one_between(pairs))))
+    comp = joined(confirmed(near(apart(pairs))))
+
+    # Then what is outside a bucket's largest component: a few of each bucket against all, then all. Sets ride along with the
+    # buckets' members, not with pairs: the join's condition ends with the test on full sets, so that it gives links only.
+    size = lambda side: F.size(f"{side}.set")
+    alike = F.size(F.array_intersect("l.set", "r.set")) * (100 + percent) >= percent * (size("l") + size("r"))
+    apart_now = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") != F.col("r.comp"))
     for slots in (8, None):
         now = live.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
         parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("parts"))
         parts = tables.write(parts.where("parts > 1").select("bucket", F.col("x.comp").alias("major")), "parts")
         if parts.isEmpty():
             break
-        open_ = tables.write(now.join(parts, "bucket").join(few, "node"), "open")
+        open_ = tables.write(now.join(parts, "bucket").join(few, "node").join(sets, "node"), "open")
         minor = open_.where("comp <> major")
         if slots:
             slot = F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")
-            minor = minor.groupBy("bucket", slot).agg(F.min(F.struct("node", "n", "comp", "packed")).alias("x")).select("bucket", "x.*")
-        minor = tables.write(minor, "minor")
-        apart_now = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") != F.col("r.comp"))
-        met = open_.alias("r").join(minor.alias("l"), apart_now & fits & _close(percent / 100)).select(F.greatest("l.node", "r.node").alias("u"), F.least("l.node", "r.node").alias("v"))
-        new = tables.write(met.distinct().join(pairs, ["u", "v"], "left_anti"), "met")
-        comp = joined(confirmed(new))
-        pairs = tables.write(pairs.select("u", "v").unionByName(new), "pairs")
-        tables.drop(parts, open_, minor, new)
+            first = minor.groupBy("bucket", slot).agg(F.min("node").alias("node")).select("bucket", "node")
+            minor = minor.join(first, ["bucket", "node"], "left_semi")
+        met = open_.alias("r").join(minor.alias("l"), apart_now & fits & _close(percent / 100) & alike)
+        new = tables.write(met.select(F.greatest("l.node", "r.node").alias("u"), F.least("l.node", "r.node").alias("v")).distinct(), "met")
+        comp = joined(new)
+        tables.drop(parts, open_, new)
 
     named = classes.select("node", "doc_id", "text_key", "fp", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     return rows, tables.write(named, "named")
