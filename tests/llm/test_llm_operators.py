@@ -420,6 +420,69 @@ def test_op9_learns_from_the_history(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 20
 
 
+def walked_weights(rows, counts, walk_bytes, rate=0.2):
+    """One pass of the training in plain loops, from walks of rows (hash, text)."""
+    m = maxent_lm
+    bias = np.log([sum(c for w, c in counts.items() if m.class_of(w) == k) + 0.5 for k in range(m.CLASSES)])
+    weights = collections.defaultdict(lambda: np.zeros(m.CLASSES), {0: bias - bias.mean()})
+    walks = -(-sum(len(t) + 1 for _, t in rows) // walk_bytes)
+    early = -(-walks // 8)
+    for which in (range(early), range(early, walks)):
+        moved, total = collections.defaultdict(lambda: np.zeros(m.CLASSES)), collections.Counter()
+        for walk in which:
+            texts = [m.tokens_of(t) for h, t in sorted(rows) if h % walks == walk]
+            if not texts:
+                continue
+            feats, gold = m.inputs(texts)
+            feats = [[0, *f] for f in feats.tolist()]
+            w, squares = {k: v.copy() for k, v in weights.items()}, {}
+            for at in range(0, len(gold), m.MINIBATCH):
+                grads = collections.defaultdict(lambda: np.zeros(m.CLASSES))
+                for fs, k in zip(feats[at : at + m.MINIBATCH], gold[at : at + m.MINIBATCH]):
+                    e = np.exp(sum(w.get(f, 0) for f in fs) + np.zeros(m.CLASSES))
+                    for f in fs:
+                        grads[f] += (np.arange(m.CLASSES) == k) - e / e.sum()
+                for f, g in grads.items():
+                    squares[f] = squares.get(f, 0) + g * g
+                    w[f] = w.get(f, 0) + rate * g / np.sqrt(squares[f] + 1)
+            seen = collections.Counter(f for fs in feats for f in fs)
+            total.update(seen)
+            for f, n in seen.items():
+                moved[f] += (w[f] - weights[f]) * n
+        for f, n in total.items():
+            weights[f] = weights[f] + moved[f] / n
+    return weights
+
+
+def test_op9_score_is_that_of_plain_loops_for_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "MINIBATCH", 150)
+    rnd = random.Random(5)
+    said = ["der", "hund", "bellt", "laut.", "one", "two", "cats", "sleeping", "Now", "là"]
+    rows = [(i, " ".join(rnd.choice(said[i % 2 * 5 :][:5]) for _ in range(rnd.randrange(60)))) for i in range(200)] + [(7, None), (7, ""), (None, "two cats"), (3, "one one"), (3, "one one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))
+    hashes = df.where(~held).select(F.xxhash64("doc_id", F.coalesce("text", F.lit("")).cast("binary")).alias("h"), F.coalesce("text", F.lit("")).alias("t")).collect()
+    learn = [(r.h, r.t.encode()) for r in hashes]
+    counts = collections.Counter(w for _, t in learn for w in maxent_lm.tokens_of(t))
+    weights = walked_weights(learn, counts, 2_000)
+    size = [[f(c for w, c in counts.items() if maxent_lm.class_of(w) == k) for k in range(maxent_lm.CLASSES)] for f in (sum, lambda x: len(list(x)))]
+
+    def score(text):
+        tokens = maxent_lm.tokens_of((text or "").encode())
+        feats, gold = maxent_lm.inputs([tokens])
+        out = 0.0
+        for fs, k, w in zip(feats.tolist(), gold.tolist(), tokens):
+            z = sum(weights[f] for f in [0, *fs])
+            out += (z[k] - np.log(np.exp(z).sum())) / math.log(10) + math.log10((counts[w] + 0.5) / (size[0][k] + 0.5 * (size[1][k] + 1)))
+        return out
+
+    want = sorted((-1 if i is None else i, score(t)) for i, t in rows)
+    for n in (1, 4, 64):
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in maxent_lm.score_documents(df.repartition(n), held, walk_bytes=2_000).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-4, atol=1e-3)
+
+
 def test_op9_classes_sum_to_one():
     rnd = np.random.default_rng(0)
     w = rnd.normal(size=(maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32)
