@@ -261,10 +261,9 @@ def score(rows: DataFrame, counts: DataFrame, stats: dict[int, tuple[int, int]],
                 logs[tail] = 0
                 pick = np.concatenate([class_logs(feats[i : i + BATCH], w)[np.arange(len(gold[i : i + BATCH])), gold[i : i + BATCH]] for i in range(0, len(gold), BATCH)]).astype(np.float64) / np.log(10) - within[gold]
                 sums = [np.add.reduceat(x, starts) for x in (logs, pick, (~tail).astype(np.int64))]
-                rare: Counter = Counter()
-                owner = np.repeat(np.arange(len(texts)), lengths)
-                for i in np.flatnonzero(tail).tolist():
-                    rare[owner[i], words[i]] += 1
+                at = np.flatnonzero(tail)
+                owner = np.repeat(np.arange(len(texts)), lengths)[at]
+                rare = Counter(zip(owner.tolist(), map(words.__getitem__, at.tolist())))
                 own = range(first, first + len(texts))
                 of = [first + d for d, _ in rare]
                 n = len(rare)
