@@ -60,6 +60,35 @@ def to_wkt(line: Column) -> Column:
     return F.concat(F.lit("LINESTRING("), F.array_join(F.transform(line, lambda p: F.concat_ws(" ", p["x"], p["y"])), ","), F.lit(")"))
 
 
+def parse_doubles_hex(digits: Column) -> Column:
+    """Numbers of 8 bytes, each as 16 hexadecimal digits with the last byte first, as doubles: sign, exponent and fraction put together.
+
+    An array in, an array out, step by step, so that no step is worked out twice for a number.
+    """
+    turned = F.transform(digits, lambda c: F.concat(*[F.substring(c, i, 2) for i in range(15, 0, -2)]))
+    split = F.transform(turned, lambda d: F.struct(F.conv(F.substring(d, 1, 3), 16, 10).cast("int").alias("top"), (F.conv(F.substring(d, 4, 13), 16, 10).cast("double") / 2**52).alias("part")))
+
+    def value(v: Column) -> Column:
+        exponent = F.pmod(v["top"], F.lit(2048))
+        size = F.when(exponent == 0, F.pow(F.lit(2.0), F.lit(-1022.0)) * v["part"]).otherwise(F.pow(F.lit(2.0), (exponent - 1023).cast("double")) * (1 + v["part"]))
+        return size * F.when(v["top"] >= 2048, -1.0).otherwise(1.0)
+
+    return F.transform(split, value)
+
+
+def parse_line_wkb(hexed: Column) -> Column:
+    """A line from hexadecimal (extended) well-known binary with the last byte first, as database dumps have it; null for anything else."""
+    h = F.upper(hexed)
+    kind = F.substring(h, 3, 8)
+    # A line is of type 2; a reference system, marked by 0x20, takes four more bytes.
+    start = F.when(kind == "02000000", 11).when(kind == "02000020", 19)
+    n = F.conv(F.concat(*[h.substr(start + i, F.lit(2)) for i in (6, 4, 2, 0)]), 16, 10).cast("int")
+    digits = F.regexp_extract_all(h.substr(start + 8, F.length(h)), F.lit("[0-9A-F]{16}"), F.lit(0))
+    values = parse_doubles_hex(digits)
+    every_other = lambda k: F.filter(values, lambda v, i: i % 2 == k)
+    return F.when(h.startswith("01") & (n > 0) & (F.size(digits) == 2 * n), F.zip_with(every_other(0), every_other(1), point))
+
+
 def nearest(line: Column, p: Column) -> Column:
     """(distance, along, side, beyond) of the line's point nearest to p.
 
@@ -206,17 +235,34 @@ SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257222101
 CENTRAL_MERIDIAN, SCALE, FALSE_EASTING = 27.0, 0.9996, 500000.0
 
 
-def project(lon: Column, lat: Column) -> Column:
-    """Longitude and latitude in degrees to the metric grid (transverse Mercator, third-order Krueger series)."""
+def _series(lon: Column, lat: Column) -> tuple:
+    """The steps of the projection: (conformal tangent and longitude difference), (angles from those), (point from the angles)."""
     n = FLATTENING / (2 - FLATTENING)
     radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     e = math.sqrt(FLATTENING * (2 - FLATTENING))
+
+    def grid(xi: Column, eta: Column) -> Column:
+        east, north = eta, xi
+        for j, a in enumerate(alpha, 1):
+            east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return point(FALSE_EASTING + SCALE * radius * east, SCALE * radius * north)
+
     phi, lam = F.radians(lat), F.radians(lon - CENTRAL_MERIDIAN)
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(alpha, 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return point(FALSE_EASTING + SCALE * radius * east, SCALE * radius * north)
+    first = (F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi))), lam)
+    return first, lambda t, lam: (F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))), grid
+
+
+def project(lon: Column, lat: Column) -> Column:
+    """Longitude and latitude in degrees to the metric grid (transverse Mercator, third-order Krueger series)."""
+    first, angles, grid = _series(lon, lat)
+    return grid(*angles(*first))
+
+
+def project_line(line: Column) -> Column:
+    """A line in degrees on the metric grid, step by step, since inside an array nothing shares equal parts of an expression."""
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    one = F.transform(line, lambda p: pair(*_series(p["x"], p["y"])[0]))
+    _, angles, grid = _series(F.lit(0.0), F.lit(0.0))
+    return F.transform(F.transform(one, lambda v: pair(*angles(v["a"], v["b"]))), lambda v: grid(v["a"], v["b"]))

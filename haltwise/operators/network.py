@@ -179,6 +179,17 @@ def snap_topology(links: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return keyed.join(a, "_s").join(b, "_t").drop("_s", "_t")
 
 
+def raw_network(lines: DataFrame, first_id: int = 1_000_000, tolerance: float = 0.01) -> DataFrame:
+    """Street lines as edges to route on: id, cost, reverse_cost (-1: closed), oneway, mode, geom, source and target.
+
+    lines: osm_id, mode, oneway, geom. Ids are dense after first_id in the order of osm_id, mode and geometry, as lines may share an osm_id.
+    """
+    ids = numbered(lines.withColumn("_w", g.to_wkt(F.col("geom"))), "id", F.floor(F.col("osm_id") / LINKS_AT_ONCE), "osm_id", "mode", "_w", "oneway")
+    cost = g.length(F.col("geom"))
+    edges = ids.select((F.col("id") + first_id).alias("id"), cost.alias("cost"), F.when(F.col("oneway") == "FT", -1.0).otherwise(cost).alias("reverse_cost"), "oneway", "mode", "geom")
+    return snap_topology(edges, tolerance)
+
+
 def one_way(oneway: Column) -> Column:
     """Direction code of a line: B for both, FT along it."""
     return F.when(oneway == "yes", F.lit("FT")).otherwise(F.lit("B"))

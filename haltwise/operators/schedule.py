@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haltwise.functions import geometry as g
+from haltwise.operators.network import LINKS_AT_ONCE, nodes_of_links, numbered
+from haltwise.operators.rawpoints import split_invalid
 from haltwise.operators.walks import walk
 
 WEEKDAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
@@ -83,6 +86,28 @@ def pattern_segments(path_links: DataFrame, key: str = "ptid") -> DataFrame:
     return out.withColumn("is_first", F.col("segno") == 1).withColumn("is_last", F.col("segno") == n)
 
 
+def transferred_patterns(patterns: DataFrame) -> DataFrame:
+    """Patterns that nothing speaks against, as schedules have them: ptid, route, dir, total_dist, gtfs_shape_id."""
+    good, _ = split_invalid(patterns)
+    return good.select("ptid", "route", "dir", F.col("nw_len_total").alias("total_dist"), F.col("shape_id").alias("gtfs_shape_id"))
+
+
+def transferred_segments(patterns: DataFrame, stops: DataFrame, paths: DataFrame, links: DataFrame) -> DataFrame:
+    """Segments of the given patterns in order, with the stops at their ends where there are any.
+
+    stops: ptid, stop_seq, i_stop, j_stop; paths: ptid, stop_seq, path_seq, link_id, reversed; links: link_id, cost.
+    A stop pair's first segment has its first stop, its last one the second. One shuffle by pattern serves all windows.
+    """
+    rows = paths.join(patterns.select("ptid"), "ptid", "left_semi").join(stops.select("ptid", "stop_seq", "i_stop", "j_stop"), ["ptid", "stop_seq"]).join(links.select("link_id", "cost"), "link_id")
+    w = Window.partitionBy("ptid").orderBy("stop_seq", "path_seq")
+    end = F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    closes = F.coalesce(F.lead("stop_seq").over(w) != F.col("stop_seq"), F.lit(True))
+    return rows.select(
+        "ptid", F.row_number().over(w).alias("segno"), "link_id", "reversed", F.when(F.col("path_seq") == 1, F.col("i_stop")).alias("i_stop"), F.when(closes, F.col("j_stop")).alias("j_stop"),
+        (end - F.col("cost")).alias("dist_lo"), end.alias("dist_hi"), "stop_seq",
+    )
+
+
 def trip_templates(trips: DataFrame, times: DataFrame) -> DataFrame:
     """Trips of one pattern with the same time differences, as templates: number, times, and start timestamps as (date, second)."""
     arr = F.transform(F.array_sort(F.collect_list(F.struct("stop_sequence", "dep_diff_s"))), lambda r: r["dep_diff_s"])
@@ -174,3 +199,26 @@ def split_links(links: DataFrame, cuts: DataFrame) -> DataFrame:
     marks = links.select("link_id", F.lit(0.0).alias("share")).unionByName(inside.join(links.select("link_id"), "link_id", "left_semi"))
     w = Window.partitionBy("link_id").orderBy("share")
     return marks.select("link_id", F.row_number().over(w).alias("part"), F.col("share").alias("lo"), F.coalesce(F.lead("share").over(w), F.lit(1.0)).alias("hi"))
+
+
+def network_links(edges: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, nodes) of a network whose edges are cut where stops are.
+
+    edges: edge, mode, oneway (FT: along it only), geom; stops: edge, start_dist (metres along it). Links have link_id,
+    edge, part, mode, cost, reverse_cost (-1: closed), geom, i_node, j_node; ids are dense, those of one edge in a row.
+    Parts end exactly in the edge's own ends, so that they meet those of other edges.
+    """
+    sized = edges.withColumn("_m", g.length(F.col("geom")))
+    cuts = stops.where("start_dist > 0").select("edge", "start_dist").distinct().join(sized.select("edge", "_m"), "edge").where("start_dist < _m")
+    parts = split_links(edges.select(F.col("edge").alias("link_id")), cuts.select(F.col("edge").alias("link_id"), (F.col("start_dist") / F.col("_m")).alias("share")))
+    line, low, high = F.col("geom"), F.col("lo"), F.col("hi")
+    # A column of its own each, so that neither is worked out for every use of it.
+    rows = sized.join(parts.withColumnRenamed("link_id", "edge"), "edge").withColumn("_cut", g.substring(line, low, high))
+    cut = F.col("_cut")
+    first = F.when(low == 0, g.start_point(line)).otherwise(g.start_point(cut))
+    last = F.when(high == 1, g.end_point(line)).otherwise(g.end_point(cut))
+    rows = rows.withColumn("geom", F.when((low == 0) & (high == 1), line).otherwise(F.concat(F.array(first), F.slice(cut, 2, F.size(cut) - 2), F.array(last))))
+    cost = F.col("cost")
+    ids = numbered(rows.withColumn("cost", g.length(F.col("geom"))), "link_id", F.floor(F.col("edge") / LINKS_AT_ONCE), "edge", "part")
+    links = ids.select("link_id", "edge", "part", "mode", "cost", F.when(F.col("oneway") == "FT", -1.0).otherwise(cost).alias("reverse_cost"), "geom")
+    return nodes_of_links(links)
