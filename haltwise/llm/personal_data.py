@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haltwise.llm.common import stash
+from haltwise.llm.common import give_back, stash, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the base kinds.
@@ -310,7 +310,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = 3, generalise_bits: float = 1.0, remove_bits: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """(scanned, terms): the base findings of each row, and (key, start, stop, action) of revealing terms."""
     src = _source(docs, id_col, text_col)
-    scanned = stash(src.mapInArrow(_scan, FIELDS), "pii")
+    scanned = stash(src.mapInArrow(tidied(_scan), FIELDS), "pii")
     none = src.select("key", F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("remove").alias("action")).limit(0)
     # No pair has more contexts than its entity has documents.
     mentioned = scanned.select("key", F.explode("entities").alias("entity")).distinct()
@@ -318,21 +318,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     bits = _map_of(frequent, "entity")
     if bits is None:
         return scanned, none
-    together = src.select("key", "t").mapInArrow(_pairs(bits), PAIRS).join(frequent, "entity", "left_semi")
+    together = src.select("key", "t").mapInArrow(tidied(_pairs(bits)), PAIRS).join(frequent, "entity", "left_semi")
     # Each row gives a pair once, so n(t, e) and n(t) both count rows; contexts count however often a row is repeated once.
     by_context = together.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = stash(by_context.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_te")).where(F.col("contexts") >= min_contexts), "pairs")
     bits = _map_of(pairs, "term")
     if bits is None:
         return scanned, none
-    counts = src.select("t").mapInArrow(_count_terms(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    counts = src.select("t").mapInArrow(tidied(_count_terms(bits)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     missing = F.log2(F.greatest(F.col("n_t"), F.col("n_te")) / F.col("n_te"))  # greatest skips null
     told = pairs.join(counts, "term", "left").withColumn("missing", missing).where(F.col("missing") <= generalise_bits)
     told = stash(told.groupBy("term").agg(F.max(F.when(F.col("missing") <= remove_bits, "remove").otherwise("generalise")).alias("action")), "told")
     bits = _map_of(told, "term")
     if bits is None:
         return scanned, none
-    places = src.select("key", "t").mapInArrow(_occurrences(bits), PLACES)
+    places = src.select("key", "t").mapInArrow(tidied(_occurrences(bits)), PLACES)
     return scanned, places.join(told, "term").groupBy("key", "start", "stop").agg(F.max("action").alias("action"))
 
 
@@ -357,13 +357,16 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, x in zip(texts, found):
-            spans = base_spans(t) if t else []
-            known = [] if x is None else [(r["start"], r["stop"], r["action"]) for r in x]
-            out.append(_rewrite(t, spans, known) if spans or known else t)
-        return pd.Series(out, dtype=object)
+    def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, found in batches:
+            out = []
+            for t, x in zip(texts, found):
+                spans = base_spans(t) if t else []
+                known = [] if x is None else [(r["start"], r["stop"], r["action"]) for r in x]
+                out.append(_rewrite(t, spans, known) if spans or known else t)
+            yield pd.Series(out, dtype=object)
+            del texts, found, out
+        give_back()
 
     marked = docs.withColumn("_key", key).join(by_doc.withColumnRenamed("key", "_key"), "_key", "left")
     return marked.withColumn("_clean", clean(F.col(text_col), F.col("_terms"))).select(*[F.col("_clean").alias(c) if c == text_col else F.col(c) for c in docs.columns])

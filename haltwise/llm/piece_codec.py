@@ -26,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haltwise.llm.common import give_back
+
 SPACE = "▁"
 #: Marks keys of remembered units: a line end and what follows it; a unit without a space mark.
 LINE, BARE = "\x01", "\x02"
 #: Units of text (words with their space) whose ids a task remembers, and pairs of tokens that it has tested.
 REMEMBERED_UNITS = 300_000
 REMEMBERED_PAIRS = 400_000
+#: Characters of text whose ids and decoded texts a task holds at once.
+CHARS_AT_ONCE = 2_000_000
 #: A rank after all merges.
 LAST = 1 << 60
 OUT = T.StructType(
@@ -199,6 +203,7 @@ class PrefixTable:
         self.units.clear()
         self.pairs.clear()
         self.runs.clear()
+        give_back()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, without begin and end, as little-endian uint32."""
@@ -231,6 +236,19 @@ def table_of(model: bytes) -> PrefixTable:
     return _tables[model]
 
 
+def portions(texts: pd.Series, chars: int = CHARS_AT_ONCE) -> Iterator[list[str]]:
+    """The texts in order, null as empty, in lists that end as soon as they have so many characters."""
+    part, size = [], 0
+    for x in texts:
+        part.append(x or "")
+        size += len(part[-1])
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", bos: bool = True, eos: bool = True, decode: bool = True) -> DataFrame:
     """docs plus ids (little-endian uint32 bytes), n_tokens and decoded (null unless decode).
 
@@ -243,8 +261,10 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", b
         t = table_of(model)
         head, tail = (np.asarray([i], dtype="<u4").tobytes() if on else b"" for i, on in ((t.bos, bos), (t.eos, eos)))
         for texts in batches:
-            ids = [head + t.encode(x or "") + tail for x in texts]
-            yield pd.DataFrame({"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [t.decode(x) if decode else None for x in ids]})
+            # A batch of long texts would be held six times over, so its rows leave in portions.
+            for part in portions(texts):
+                ids = [head + t.encode(x) + tail for x in part]
+                yield pd.DataFrame({"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [t.decode(x) if decode else None for x in ids]})
         t.forget()
 
     coded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from haltwise.llm.common import give_back
+
 #: Word hashes that a task remembers.
 REMEMBERED_WORDS = 250_000
 _MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -26,6 +28,7 @@ _words = _Words()
 def forget() -> None:
     """At a task's end: a Python worker goes on to other tasks, of other operators too."""
     _words.clear()
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -60,6 +60,17 @@ def test_op1(docs, odd, empty):
     assert piece_codec.op1_sentencepiece(empty, MODEL).count() == 0
 
 
+def test_long_texts_leave_in_portions(spark):
+    """A batch's rows are encoded and handed on a few million characters at a time, in order, with the ids of the library."""
+    texts = [None, "", "a b " * 300_000, "ä" * 900_000, "x", None, "the end " * 200_000, "y"]
+    parts = list(piece_codec.portions(texts))
+    assert [x for p in parts for x in p] == [t or "" for t in texts] and [len(p) for p in parts] == [4, 4]
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = piece_codec.encode_documents(df, MODEL).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(k, len(sp.encode(t or "", add_bos=True, add_eos=True))) for k, t in enumerate(texts)]
+
+
 # 2
 
 
