@@ -2,6 +2,7 @@
 
 import datetime as dt
 import gzip
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -286,3 +287,18 @@ def test_import_as_a_job(spark, tmp_path):
     failed = imports.run_import(raw.drop("odo"), schedule, str(tmp_path)).collect()
     assert [(r.step, r.status) for r in failed] == [("clean", "failed")] and "odo" in failed[0].message
     assert back("import_log").count() == 5 and back("points").count() == 20
+
+
+def test_section_halt_totals_without_a_shuffle_of_pairs(spark, monkeypatch):
+    """Links twice on a section, two halts at a place, null times; broadcast and plain give the same, and the pairs are not shuffled."""
+    from haltwise.operators import halts
+
+    h = spark.createDataFrame([(1, 10, 4.0, 1.0, 2.0, 3.0), (1, 20, 8.0, 2.0, 4.0, None), (2, 10, 6.0, None, 3.0, 5.0)], "jrnid long, tst long, total_s double, door_open_s double, door_closed_s double, represents_time_s double")
+    p = spark.createDataFrame([(1, 10, 7, True), (1, 20, 7, True), (2, 10, 8, False)], "jrnid long, tst long, link_id long, link_reversed boolean")
+    s = spark.createDataFrame([(1, 7, True), (1, 7, True), (1, 8, True), (2, 8, False), (2, 7, True), (3, 9, True)], "section_id long, link_id long, link_reversed boolean")
+    want = [(1, 1, 6.0, 12.0, 18.0), (2, 1, 3.0, 6.0, 9.0), (2, 2, 0.0, 3.0, 1.0)]
+    out = halts.section_halt_totals(h, p, s)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == want and "hashpartitioning(section_id#" in plan and not re.search(r"hashpartitioning\(section_id#\w+, jrnid", plan)
+    monkeypatch.setattr(halts, "BROADCAST_PLACES", 0)
+    assert sorted(map(tuple, halts.section_halt_totals(h, p, s).collect())) == want
