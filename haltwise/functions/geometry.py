@@ -161,16 +161,43 @@ def interpolate(line: Column, share: Column) -> Column:
     return F.aggregate(line_segments(line), zero, step, lambda acc: point(acc["x"], acc["y"]))
 
 
-def substring(line: Column, low: Column, high: Column) -> Column:
-    """The part of the line between two shares of its length."""
-    total = length(line)
-    marks = F.aggregate(
+def bound(value: Column, use) -> Column:
+    """use(value), the value worked out once however often it is used: inside an array's function nothing is shared."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def marks(line: Column) -> Column:
+    """The line's points with the metres before them: x, y, at."""
+    return F.aggregate(
         line_segments(line),
         F.array(F.struct(start_point(line)["x"].alias("x"), start_point(line)["y"].alias("y"), F.lit(0.0).alias("at"))),
         lambda acc, g: F.array_append(acc, F.struct(g["b"]["x"].alias("x"), g["b"]["y"].alias("y"), (F.element_at(acc, -1)["at"] + hypot(g["a"], g["b"])).alias("at"))),
     )
-    inner = F.transform(F.filter(marks, lambda m: (m["at"] > low * total) & (m["at"] < high * total)), lambda m: point(m["x"], m["y"]))
-    return F.concat(F.array(interpolate(line, low)), inner, F.array(interpolate(line, high)))
+
+
+def at_metres(points: Column, metres: Column) -> Column:
+    """The point at so many metres along a line given by its marks; the line's ends for less or more than it has."""
+    after = F.size(F.filter(points, lambda m: m["at"] < metres))
+    pair = F.struct(F.get(points, F.greatest(after - 1, F.lit(0))).alias("a"), F.get(points, F.least(after, F.size(points) - 1)).alias("b"))
+
+    def between(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        share = F.coalesce(F.try_divide(metres - a["at"], b["at"] - a["at"]), F.lit(0.0))
+        return point(a["x"] + share * (b["x"] - a["x"]), a["y"] + share * (b["y"] - a["y"]))
+
+    return bound(pair, lambda p: F.when(p["a"]["at"] >= metres, point(p["a"]["x"], p["a"]["y"])).when(p["b"]["at"] <= metres, point(p["b"]["x"], p["b"]["y"])).otherwise(between(p)))
+
+
+def inner_points(points: Column, low: Column, high: Column) -> Column:
+    """The points of marks strictly between two distances."""
+    return F.transform(F.filter(points, lambda m: (m["at"] > low) & (m["at"] < high)), lambda m: point(m["x"], m["y"]))
+
+
+def substring(line: Column, low: Column, high: Column) -> Column:
+    """The part of the line between two shares of its length."""
+    span = lambda m: bound(F.element_at(m, -1)["at"], lambda total: F.struct((low * total).alias("lo"), (high * total).alias("hi")))
+    part = lambda m, s: F.concat(F.array(at_metres(m, s["lo"])), inner_points(m, s["lo"], s["hi"]), F.array(at_metres(m, s["hi"])))
+    return bound(marks(line), lambda m: bound(span(m), lambda s: part(m, s)))
 
 
 def azimuth(a: Column, b: Column) -> Column:

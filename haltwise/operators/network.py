@@ -11,16 +11,18 @@ from haltwise.functions import geometry as g
 STRIP_M, LINKS_AT_ONCE = 1000.0, 1 << 16
 
 
-def numbered(df: DataFrame, name: str, bucket: Column, *order: str) -> DataFrame:
+def numbered(df: DataFrame, name: str, bucket: Column, *order: str, size: str | None = None) -> DataFrame:
     """df with dense numbers from 1 by `order`; bucket grows with it and is never smaller for a later row.
 
     Rows are numbered within their bucket after the count of the buckets before, so
-    only one row a bucket is ever sorted in one task.
+    only one row a bucket is ever sorted in one task. With a column `size`, a row takes that many numbers and has the first.
     """
     parts = df.withColumn("_b", F.coalesce(bucket.cast("long"), F.lit(-(1 << 63))))
+    count = F.count("*") if size is None else F.sum(size)
     before = F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = parts.groupBy("_b").count().select("_b", F.coalesce(before, F.lit(0)).alias("_o"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    offsets = parts.groupBy("_b").agg(count.alias("count")).select("_b", F.coalesce(before, F.lit(0)).alias("_o"))
+    w = Window.partitionBy("_b").orderBy(*order)
+    own = F.row_number().over(w) if size is None else F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size) + 1
     return parts.withColumn("_n", own).join(offsets, "_b").withColumn(name, F.col("_n") + F.col("_o")).drop("_b", "_n", "_o")
 
 
@@ -40,6 +42,13 @@ def nodes_of_links(links: DataFrame, nodes: DataFrame | None = None) -> tuple[Da
     return out, grown
 
 
+def ends_at_places(links: DataFrame) -> DataFrame:
+    """Nodes of links by place: x, y, n_out and n_in, the links that start and end there. Counted by place in one shuffle, so none needs an id."""
+    end = lambda p, out: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(out).alias("o"))
+    ends = links.select(F.explode(F.array(end(g.start_point(F.col("geom")), 1), end(g.end_point(F.col("geom")), 0))).alias("e")).select("e.*").where("x IS NOT NULL AND y IS NOT NULL")
+    return ends.groupBy("x", "y").agg(F.sum("o").alias("n_out"), F.sum(1 - F.col("o")).alias("n_in"))
+
+
 def directed(links: DataFrame) -> DataFrame:
     """Every link forwards, and backwards unless it is (or may be) one-way; numbered by (link_id, link_reversed)."""
     geom = [F.col("geom")] if "geom" in links.columns else []

@@ -201,24 +201,48 @@ def split_links(links: DataFrame, cuts: DataFrame) -> DataFrame:
     return marks.select("link_id", F.row_number().over(w).alias("part"), F.col("share").alias("lo"), F.coalesce(F.lead("share").over(w), F.lit(1.0)).alias("hi"))
 
 
-def network_links(edges: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, nodes) of a network whose edges are cut where stops are.
+def _bordered(edges: DataFrame, stops: DataFrame) -> DataFrame:
+    """edges with the marks of their line, the metres at which parts begin and end, and how many parts there are. An edge meets its stops in one row."""
+    marked = stops.where("start_dist > 0").groupBy(F.col("edge").alias("_e")).agg(F.collect_set(F.col("start_dist").cast("double")).alias("_at"))
+    lines = edges.where("edge IS NOT NULL").join(marked, F.col("edge") == F.col("_e"), "left").drop("_e").withColumn("_marks", g.marks(F.col("geom")))
+    lines = lines.withColumn("_m", F.element_at("_marks", -1)["at"])
+    none = F.array().cast("array<double>")
+    cuts = F.array_sort(F.filter(F.coalesce("_at", none), lambda d: d < F.col("_m")))
+    return lines.withColumn("_borders", F.concat(F.array(F.lit(0.0)), cuts, F.array("_m"))).withColumn("_size", F.size("_borders") - 1).drop("_at", "_m")
+
+
+def _pieces(lines: DataFrame, *kept: str) -> DataFrame:
+    """The kept columns, part (from 1) and geom of each part of bordered lines. Parts end exactly in the line's own ends."""
+    line, points, n = F.col("geom"), F.col("_marks"), F.col("_size")
+    # Each place of a cut is worked out once, for the part before it and the one behind it.
+    cuts = F.transform(F.slice("_borders", 2, n - 1), lambda m: g.at_metres(points, m))
+    lines = lines.withColumn("_ends", F.when(n > 1, F.concat(F.array(g.start_point(line)), cuts, F.array(g.end_point(line)))))
+
+    def piece(low: Column, i: Column) -> Column:
+        return F.struct((i + 1).alias("part"), F.concat(F.slice("_ends", i + 1, F.lit(1)), g.inner_points(points, low, F.get("_borders", i + 1)), F.slice("_ends", i + 2, F.lit(1))).alias("geom"))
+
+    whole = F.array(F.struct(F.lit(1).alias("part"), line.alias("geom")))
+    parts = F.when(n == 1, whole).otherwise(F.transform(F.slice("_borders", 1, n), piece))
+    return lines.select(*kept, F.explode(parts).alias("_p")).select(*kept, "_p.part", "_p.geom")
+
 
-    edges: edge, mode, oneway (FT: along it only), geom; stops: edge, start_dist (metres along it). Links have link_id,
-    edge, part, mode, cost, reverse_cost (-1: closed), geom, i_node, j_node; ids are dense, those of one edge in a row.
-    Parts end exactly in the edge's own ends, so that they meet those of other edges.
+def cut_edges(edges: DataFrame, stops: DataFrame) -> DataFrame:
+    """Edges cut where stops are, without ids: edge, part, geom. edges: edge, geom; stops: edge, start_dist (metres along it)."""
+    return _pieces(_bordered(edges.select("edge", "geom"), stops), "edge")
+
+
+def network_parts(edges: DataFrame, stops: DataFrame) -> DataFrame:
+    """Links from edges cut where stops are: link_id, edge, part, mode, cost, reverse_cost (-1: closed), geom.
+
+    edges: edge (each once), mode, oneway (FT: along it only), geom; stops: edge, start_dist (metres along it). Ids are dense,
+    those of one edge in a row. An edge is numbered before it is cut, by how many parts it has, so parts are never shuffled.
     """
-    sized = edges.withColumn("_m", g.length(F.col("geom")))
-    cuts = stops.where("start_dist > 0").select("edge", "start_dist").distinct().join(sized.select("edge", "_m"), "edge").where("start_dist < _m")
-    parts = split_links(edges.select(F.col("edge").alias("link_id")), cuts.select(F.col("edge").alias("link_id"), (F.col("start_dist") / F.col("_m")).alias("share")))
-    line, low, high = F.col("geom"), F.col("lo"), F.col("hi")
-    # A column of its own each, so that neither is worked out for every use of it.
-    rows = sized.join(parts.withColumnRenamed("link_id", "edge"), "edge").withColumn("_cut", g.substring(line, low, high))
-    cut = F.col("_cut")
-    first = F.when(low == 0, g.start_point(line)).otherwise(g.start_point(cut))
-    last = F.when(high == 1, g.end_point(line)).otherwise(g.end_point(cut))
-    rows = rows.withColumn("geom", F.when((low == 0) & (high == 1), line).otherwise(F.concat(F.array(first), F.slice(cut, 2, F.size(cut) - 2), F.array(last))))
-    cost = F.col("cost")
-    ids = numbered(rows.withColumn("cost", g.length(F.col("geom"))), "link_id", F.floor(F.col("edge") / LINKS_AT_ONCE), "edge", "part")
-    links = ids.select("link_id", "edge", "part", "mode", "cost", F.when(F.col("oneway") == "FT", -1.0).otherwise(cost).alias("reverse_cost"), "geom")
-    return nodes_of_links(links)
+    ids = numbered(_bordered(edges.select("edge", "mode", "oneway", "geom"), stops), "_first", F.floor(F.col("edge") / LINKS_AT_ONCE), "edge", size="_size")
+    rows = _pieces(ids, "_first", "edge", "mode", "oneway").withColumn("cost", g.length(F.col("geom")))
+    reverse_cost = F.when(F.col("oneway") == "FT", -1.0).otherwise(F.col("cost"))
+    return rows.select((F.col("_first") + F.col("part") - 1).alias("link_id"), "edge", "part", "mode", "cost", reverse_cost.alias("reverse_cost"), "geom")
+
+
+def network_links(edges: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, nodes) of a network whose edges are cut where stops are: `network_parts` with i_node and j_node, and the nodes at their ends."""
+    return nodes_of_links(network_parts(edges, stops))

@@ -139,3 +139,22 @@ def test_staging_holds_one_feed_or_the_one_before(spark, tmp_path):
     assert [r.trip_id for r in store.read("trips").collect()] == ["two"]
     assert [(r.trip_id, r.arrival_s) for r in store.read("stop_times").collect()] == [("two", 90000)]
     assert all(store.read(name).count() == 1 for name in readers.GTFS)
+
+
+def test_edges_are_cut_once_and_parts_not_shuffled(spark):
+    """Parts with their ids, and the nodes by place with what starts and ends there, agree with links joined to numbered nodes."""
+    edges = spark.createDataFrame([(k, "bus", "B", [(k * 10.0, 0.0), (k * 10.0 + 10, 0.0), (k * 10.0 + 10, 7.5)]) for k in range(1, 40)], "edge long, mode string, oneway string, geom array<struct<x:double,y:double>>")
+    stops = spark.createDataFrame([(k, float(d)) for k in range(1, 60) for d in range(k % 5, 20, 4)], "edge long, start_dist double")
+    parts = schedule.network_parts(edges, stops)
+    rows = parts.orderBy("edge", "part").collect()
+    assert [r.link_id for r in rows] == list(range(1, len(rows) + 1)) and all(r.cost > 0 for r in rows)
+    assert len(rows) == 39 + sum(0 < d < 17.5 for k in range(1, 40) for d in range(k % 5, 20, 4))
+    links, nodes = schedule.network_links(edges, stops)
+    places = {r.node_id: (r.x, r.y) for r in nodes.collect()}
+    want = {p: [0, 0] for p in places.values()}
+    for r in links.collect():
+        want[places[r.i_node]][0] += 1
+        want[places[r.j_node]][1] += 1
+    assert {(r.x, r.y): [r.n_out, r.n_in] for r in network.ends_at_places(schedule.cut_edges(edges, stops)).collect()} == want
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window")
