@@ -170,3 +170,15 @@ def test_contracted_links_have_long_chains(spark):
 
     sizes = catalog.queries()["contracted_links"](spark, "/root/testdata/sf0.001").groupBy("chain_id").count().collect()
     assert sum(r["count"] for r in sizes) == 62 and max(r["count"] for r in sizes) > 2
+
+
+def test_places_of_stops_are_worked_out_before_they_meet_sections(spark):
+    line = "link_id long, link_reversed boolean, geom array<struct<x:double,y:double>>"
+    links = spark.createDataFrame([(1, False, [(0.0, 0.0), (10.0, 0.0)]), (1, True, [(10.0, 0.0), (0.0, 0.0)])], line)
+    stops = spark.createDataFrame([(7, 1, False, 0.25), (8, 1, True, 0.25), (9, 2, False, 0.5)], "stop_id long, link_id long, link_reversed boolean, location_on_link double")
+    rows = spark.createDataFrame([(s, 1, 1, s == 2) for s in (1, 2, 3)], "section_id long, link_seq int, link_id long, link_reversed boolean")
+    placed = network.stop_places(stops, links)
+    got = network.section_stop_places(rows, placed)
+    assert sorted((r.section_id, r.stop_id, r.place.x, r.place.y) for r in got.collect()) == [(1, 7, 2.5, 0.0), (2, 8, 7.5, 0.0), (3, 7, 2.5, 0.0)]
+    # Sections are not shuffled to meet few stops.
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
