@@ -196,11 +196,15 @@ def vertex_degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(count(one & ~out).alias("owein"), count(one & out).alias("oweout"), count(~one & ~out).alias("twein"), count(~one & out).alias("tweout"))
 
 
-def snap_topology(links: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Links with vertex ids by endpoints rounded to a tolerance; ids are dense in the order of the rounded places."""
+def snap_topology(links: DataFrame, tolerance: float = 0.01, lines: DataFrame | None = None) -> DataFrame:
+    """Links with vertex ids by endpoints rounded to a tolerance; ids are dense in the order of the rounded places.
+
+    lines: the same lines before steps that need not be taken again to find their ends.
+    """
     r = lambda p: F.struct(F.round(p["x"] / tolerance).alias("x"), F.round(p["y"] / tolerance).alias("y"))
-    keyed = links.withColumn("_s", r(g.start_point(F.col("geom")))).withColumn("_t", r(g.end_point(F.col("geom"))))
-    places = numbered(keyed.select(F.explode(F.array("_s", "_t")).alias("p")).distinct(), "id", F.floor(F.col("p.x") * tolerance / STRIP_M), "p").withColumn("id", F.col("id").cast("int"))
+    ends = lambda df: df.withColumn("_s", r(g.start_point(F.col("geom")))).withColumn("_t", r(g.end_point(F.col("geom"))))
+    keyed = ends(links)
+    places = numbered(ends(links if lines is None else lines).select(F.explode(F.array("_s", "_t")).alias("p")).distinct(), "id", F.floor(F.col("p.x") * tolerance / STRIP_M), "p").withColumn("id", F.col("id").cast("int"))
     a, b = places.select(F.col("p").alias("_s"), F.col("id").alias("source")), places.select(F.col("p").alias("_t"), F.col("id").alias("target"))
     return keyed.join(a, "_s").join(b, "_t").drop("_s", "_t")
 
@@ -210,10 +214,10 @@ def raw_network(lines: DataFrame, first_id: int = 1_000_000, tolerance: float =
 
     lines: osm_id, mode, oneway, geom. Ids are dense after first_id in the order of osm_id, mode and geometry, as lines may share an osm_id.
     """
-    ids = numbered(lines.withColumn("_w", g.to_wkt(F.col("geom"))), "id", F.floor(F.col("osm_id") / LINKS_AT_ONCE), "osm_id", "mode", "_w", "oneway")
+    ids = numbered(lines, "id", F.floor(F.col("osm_id") / LINKS_AT_ONCE), "osm_id", "mode", "geom", "oneway")
     cost = g.length(F.col("geom"))
     edges = ids.select((F.col("id") + first_id).alias("id"), cost.alias("cost"), F.when(F.col("oneway") == "FT", -1.0).otherwise(cost).alias("reverse_cost"), "oneway", "mode", "geom")
-    return snap_topology(edges, tolerance)
+    return snap_topology(edges, tolerance, lines)
 
 
 def one_way(oneway: Column) -> Column:

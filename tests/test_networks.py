@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from haltwise.operators import contraction, linemerge, regions, routing
+from haltwise.operators import contraction, linemerge, network, regions, routing
 from haltwise.sources.folders import Steps
 
 LINES = "grp string, edge_id long, geom array<struct<x:double,y:double>>"

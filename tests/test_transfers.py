@@ -158,3 +158,9 @@ def test_edges_are_cut_once_and_parts_not_shuffled(spark):
     assert {(r.x, r.y): [r.n_out, r.n_in] for r in network.ends_at_places(schedule.cut_edges(edges, stops)).collect()} == want
     plan = parts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Window")
+
+
+def test_lines_of_one_street_are_numbered_by_their_places(spark):
+    lines = spark.createDataFrame([(1, "bus", "B", [(10.0, 0.0), (20.0, 0.0)]), (1, "bus", "B", [(9.0, 0.0), (10.0, 0.0)])], "osm_id long, mode string, oneway string, geom array<struct<x:double,y:double>>")
+    edges = network.raw_network(lines).orderBy("id").collect()
+    assert [(e.id, e.geom[0].x, e.source, e.target) for e in edges] == [(1000001, 9.0, 1, 2), (1000002, 10.0, 2, 3)]
