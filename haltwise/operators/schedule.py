@@ -23,12 +23,19 @@ def service_dates(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
     spans = calendar.where("start_date <= end_date").groupBy("service_id").agg(F.collect_list(F.struct(F.to_date("start_date").alias("lo"), F.to_date("end_date").alias("hi"), F.array(*WEEKDAYS).alias("on"))).alias("spans"))
     kind = lambda k: F.array_distinct(F.collect_list(F.when(F.col("exception_type") == k, F.to_date("date"))))
     changes = exceptions.groupBy("service_id").agg(kind(1).alias("added"), kind(2).alias("removed"))
-    days = lambda s: F.filter(F.sequence(s["lo"], s["hi"]), lambda d: F.get(s["on"], F.dayofweek(d) - 1))
     none = F.array().cast("array<date>")
+
+    def weekly(s: Column, k: int) -> Column:
+        """The days of one weekday within a span: every seventh from the first, so that no day is looked at by itself."""
+        first = F.date_add(s["lo"], F.pmod(F.lit(k + 1) - F.dayofweek(s["lo"]), F.lit(7)))
+        return F.when(F.get(s["on"], F.lit(k)) & (first <= s["hi"]), F.sequence(first, s["hi"], F.expr("interval 7 days"))).otherwise(none)
+
+    days = lambda s: F.flatten(F.array(*[weekly(s, k) for k in range(7)]))
     regular = F.coalesce(F.flatten(F.transform("spans", days)), none)
-    dates = F.array_sort(F.array_except(F.array_union(regular, F.coalesce("added", none)), F.coalesce("removed", none)))
-    out = spans.join(changes, "service_id", "full").select("service_id", dates.alias("dates"))
-    return out.where(F.col("service_id").isNotNull() & (F.size("dates") > 0))
+    dates = F.sort_array(F.array_except(F.array_union(regular, F.coalesce("added", none)), F.coalesce("removed", none)))
+    # As an array's element, so that the days are worked out once, not for the test of their number too.
+    some = F.explode(F.filter(F.array(dates), lambda d: F.size(d) > 0))
+    return spans.join(changes, "service_id", "full").where("service_id IS NOT NULL").select("service_id", some.alias("dates"))
 
 
 def fix_direction(trips: DataFrame) -> DataFrame:

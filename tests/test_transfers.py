@@ -164,3 +164,21 @@ def test_lines_of_one_street_are_numbered_by_their_places(spark):
     lines = spark.createDataFrame([(1, "bus", "B", [(10.0, 0.0), (20.0, 0.0)]), (1, "bus", "B", [(9.0, 0.0), (10.0, 0.0)])], "osm_id long, mode string, oneway string, geom array<struct<x:double,y:double>>")
     edges = network.raw_network(lines).orderBy("id").collect()
     assert [(e.id, e.geom[0].x, e.source, e.target) for e in edges] == [(1000001, 9.0, 1, 2), (1000002, 10.0, 2, 3)]
+
+
+def test_days_of_services_by_weekday(spark):
+    """Every weekday from every first day, spans of no, one and many days, unknown weekdays, and no function called for each day."""
+    days = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
+    rows = [(f"{k}-{n}", dt.date(2024, 2, 20) + dt.timedelta(k), dt.date(2024, 2, 20) + dt.timedelta(k + n), *[(None if k == 3 else False) if (k * d + n) % 3 else True for d in range(7)]) for k in range(9) for n in (-1, 0, 1, 6, 7, 30)]
+    calendar = spark.createDataFrame(rows, "service_id string, start_date date, end_date date, " + ", ".join(f"{d} boolean" for d in days))
+    changes = [("0-30", dt.date(2024, 3, 3), 1), ("0-30", dt.date(2024, 2, 21), 2), ("new", dt.date(2025, 1, 1), 1), ("none", dt.date(2025, 1, 1), 2)]
+    out = schedule.service_dates(calendar, spark.createDataFrame(changes, "service_id string, date date, exception_type int"))
+    want: dict = {}
+    for s, lo, hi, *on in rows:
+        want[s] = {lo + dt.timedelta(i) for i in range((hi - lo).days + 1) if on[(lo + dt.timedelta(i)).isoweekday() % 7]}
+    for kind in (1, 2):
+        for s, day, of in changes:
+            if of == kind:
+                want[s] = want.get(s, set()) | {day} if kind == 1 else want.get(s, set()) - {day}
+    assert {r.service_id: r.dates for r in out.collect()} == {s: sorted(d) for s, d in want.items() if d}
+    assert "filter(sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
