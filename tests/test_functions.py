@@ -85,3 +85,11 @@ def test_projection_is_symmetric_about_its_meridian(spark):
 def test_wkt(spark):
     r = one(spark, g.parse_point(F.lit("POINT (388045.1 6673900)")), g.parse_linestring(F.lit("LINESTRING(1 2, 3.5 4)")))
     assert (r.c0.x, r.c0.y) == (388045.1, 6673900.0) and [(p.x, p.y) for p in r.c1] == [(1.0, 2.0), (3.5, 4.0)]
+
+
+def test_a_part_of_a_line_measures_it_once(spark):
+    part = g.substring(F.col("line"), F.col("a"), F.col("b"))
+    assert part._jc.toString().count("aggregate(") == 1
+    rows = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 6.0)], 0.2, 0.7), ([(0.0, 0.0), (4.0, 0.0), (4.0, 6.0)], 0.0, 1.0), (None, 0.1, 0.2)], "line array<struct<x:double,y:double>>, a double, b double")
+    got = [r.p and [tuple(round(v, 9) for v in p) for p in r.p] for r in rows.select(part.alias("p")).collect()]
+    assert got == [[(2.0, 0.0), (4.0, 0.0), (4.0, 3.0)], [(0.0, 0.0), (4.0, 0.0), (4.0, 6.0)], None]
