@@ -73,6 +73,26 @@ def test_binary_lines_and_what_is_none(spark):
     assert all(got[i] == line for i, line in enumerate(lines))
 
 
+def test_binary_lines_that_are_no_numbers_and_have_ends_of_their_own(spark):
+    line = struct.pack("<BIIdddd", 1, 2, 2, math.inf, -math.inf, math.nan, 4.5).hex()
+    rows = [(0, line), (1, line + "0a"), (2, line + "00" * 8), (3, line[:-2]), (4, line[:-1] + " "), (5, "00" + line[2:])]
+    df = spark.createDataFrame(rows, "i int, h string").repartition(2)
+    got = {r.i: r.geom and [tuple(p) for p in r.geom] for r in df.select("i", g.parse_line_wkb(F.col("h")).alias("geom")).collect()}
+    assert [got[i] is None for i in range(6)] == [False, False, True, True, True, True]
+    assert all(got[i][0] == (math.inf, -math.inf) and math.isnan(got[i][1][0]) and got[i][1][1] == 4.5 for i in (0, 1))
+    # Digits are read once a row in batches, not number by number in functions of arrays.
+    plan = df.select(g.parse_line_wkb(F.col("h")))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "conv(" not in plan
+    # On the grid they lie where single points and lines of the JVM lie.
+    degrees = [(19.0 + i, 59.0 + i * 1.3, 31.5 - i, 70.1 - i) for i in range(9)]
+    lines = spark.createDataFrame([(struct.pack("<BIIdddd", 1, 2, 2, *d).hex(), *d) for d in degrees] + [("zz", 0.0, 0.0, 0.0, 0.0)], "h string, a double, b double, c double, d double")
+    one = F.array(g.project(F.col("a"), F.col("b")), g.project(F.col("c"), F.col("d")))
+    for r in lines.select(g.project_line_wkb(F.col("h")).alias("got"), g.project_line(g.parse_line_wkb(F.col("h"))).alias("jvm"), one.alias("one")).collect():
+        flat = lambda v: v and [c for p in v for c in p]
+        near = lambda v: pytest.approx(flat(v), abs=1e-7, rel=0)
+        assert (r.got is None and r.jvm is None) or (flat(r.got) == near(r.jvm) and flat(r.got) == near(r.one))
+
+
 def test_dumps_of_streets_and_tracks(spark, tmp_path):
     line = struct.pack("<BIIIdddd", 1, 0x20000002, 4326, 2, 24.9, 60.2, 25.0, 60.3).hex().upper()
     (tmp_path / "bus.csv").write_text(f'fid,osm_id,oneway,highway,lanes,junction,geom\n1,77,yes,primary,1.8,,{line}\n2,78,no,"a, b",,roundabout,"LINESTRING (24.9 60.2, 25.0 60.3)"\n3,,,,x,,\n')
