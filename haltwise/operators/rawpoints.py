@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,39 +153,82 @@ def mark_redundant(points: DataFrame) -> DataFrame:
     return grouped.drop("_new", "_grp").join(runs, ["jrnid", "obs_num"], "left").withColumn("n_rdnt_after", F.coalesce("n_rdnt_after", F.lit(0)))
 
 
-def geometric_median(xs: list[float], ys: list[float], steps: int = 200) -> tuple[float, float]:
-    """The point with the least sum of distances.
+def geometric_medians(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """For each group of points, given one after the other with their sizes (at least 1), the point with the least sum of distances; NaN where a place is unknown.
 
     From the mean, Newton's steps, halved as often as it helps, or Weiszfeld's where those are better. The point nearest to a step is the median
     itself if the unit vectors from it to the others add up to no more than the points there. It ends where the sum of unit vectors
     times the reach of the points, which bounds what the sum of distances can still lose, is below a hundredth of a millimetre.
+    All groups take a step together, and those that have ended are left out of the next.
     """
-    p = np.column_stack([xs, ys]).astype(float)
-
-    def sums(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        to = p - c
-        d = np.hypot(to[:, 0], to[:, 1])
-        return to, d, d > 0
-
-    c = p.mean(axis=0)
-    for _ in range(steps):
-        to, d, away = sums(c)
-        u, k = to[away] / d[away, None], 1 / d[away]
-        pull = u.sum(axis=0)
-        if np.hypot(*pull) * d.max() < 1e-5:
-            break
-        own = p[d.argmin()]
-        at, od, oaway = sums(own)
-        if np.hypot(*(at[oaway] / od[oaway, None]).sum(axis=0)) <= len(p) - oaway.sum():
-            return float(own[0]), float(own[1])
-        bend = np.eye(2) * k.sum() - (u.T * k) @ u
-        best = c + pull / k.sum()
-        if abs(np.linalg.det(bend)) > 1e-12 * k.sum() ** 2:
-            turn = np.linalg.solve(bend, pull)
-            best = min(best, *(c + turn / 2**i for i in range(12)), key=lambda v: sums(v)[1].sum())
-        # At a point that isn't the median, only the pull beyond the points there moves it.
-        c = best if away.all() else c + max(0.0, 1 - (len(p) - away.sum()) / max(np.hypot(*pull), 1e-300)) * (best - c)
-    return float(c[0]), float(c[1])
+    p, sizes = np.stack([x, y]).astype(float), np.asarray(sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
+    centre = np.add.reduceat(p, starts, axis=1) / sizes if len(sizes) else np.empty((2, 0))
+    centre[:, ~np.isfinite(centre).all(axis=0)] = np.nan
+    left, of = np.arange(len(sizes)), np.repeat(np.arange(len(sizes)), sizes)
+
+    def keep(groups: np.ndarray) -> None:
+        """Goes on with the groups that are marked."""
+        nonlocal p, sizes, starts, left, of
+        p, sizes, left = p[:, groups[of]], sizes[groups], left[groups]
+        starts, of = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int), np.repeat(np.arange(len(sizes)), sizes)
+
+    def total(v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(v, starts, axis=-1)
+
+    def pulls(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distances, their inverse and 0 at the place itself, unit vectors, sums of those)"""
+        to = p - c[:, of]
+        d = np.hypot(*to)
+        k = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+        return d, k, to * k, total(to * k)
+
+    keep(~np.isnan(centre[0]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(steps):
+            if not len(left):
+                break
+            c = centre[:, left]
+            d, k, _, pull = pulls(c)
+            ended = np.hypot(*pull) * np.maximum.reduceat(d, starts) < 1e-5
+            near = np.flatnonzero(d == np.minimum.reduceat(d, starts)[of])
+            own = p[:, near[np.unique(of[near], return_index=True)[1]]]
+            od, _, _, opull = pulls(own)
+            is_own = ~ended & (np.hypot(*opull) <= total((od == 0).astype(float)))
+            centre[:, left[is_own]] = own[:, is_own]
+            keep(~ended & ~is_own)
+            if not len(left):
+                break
+            c = centre[:, left]
+            d, k, u, pull = pulls(c)
+            here, sk = total((d == 0).astype(float)), total(k)
+            xx, xy, yy = total(u[1] ** 2 * k), total(-u[0] * u[1] * k), total(u[0] ** 2 * k)
+            det = xx * yy - xy**2
+            turn = np.stack([yy * pull[0] - xy * pull[1], xx * pull[1] - xy * pull[0]]) / det
+            turn[:, ~(np.abs(det) > 1e-12 * sk**2)] = np.nan
+            best = c + pull / sk
+            least = total(np.hypot(*(p - best[:, of])))
+            for i in range(12):
+                there = c + turn / 2**i
+                far = total(np.hypot(*(p - there[:, of])))
+                best, least = np.where(far < least, there, best), np.where(far < least, far, least)
+            # At a point that isn't the median, only the pull beyond the points there moves it.
+            part = np.where(here > 0, np.maximum(0.0, 1 - here / np.maximum(np.hypot(*pull), 1e-300)), 1.0)
+            centre[:, left] = np.where(here > 0, c + part * (best - c), best)
+    return centre[0], centre[1]
+
+
+def geometric_median(xs: list[float], ys: list[float], steps: int = 200) -> tuple[float, float]:
+    """The point with the least sum of distances to those of one group."""
+    x, y = geometric_medians(np.asarray(xs, dtype=float), np.asarray(ys, dtype=float), np.array([len(xs)]), steps)
+    return float(x[0]), float(y[0])
+
+
+def _centres(points: pa.Array) -> pa.Array:
+    """The medians of a batch of groups, each a list of places."""
+    places = points.flatten()
+    x, y = (places.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    return pa.StructArray.from_arrays([pa.array(v, mask=np.isnan(v)) for v in geometric_medians(x, y, points.value_lengths().to_numpy(zero_copy_only=False))], ["x", "y"])
 
 
 def halt_clusters(points: DataFrame, min_points: int = 2) -> DataFrame:
@@ -195,14 +236,9 @@ def halt_clusters(points: DataFrame, min_points: int = 2) -> DataFrame:
 
     n = F.count("*").over(Window.partitionBy("jrnid", "odo"))
     some = points.withColumn("n_points", n).where(F.col("n_points") >= min_points)
-    collected = some.groupBy("jrnid", "odo").agg(F.count("*").alias("n_points"), F.min("obs_num").alias("first_obs"), F.sort_array(F.collect_list(F.struct("x", "y"))).alias("_p"))
-
-    def centre(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([geometric_median([p["x"] for p in v], [p["y"] for p in v]) for v in s], columns=["x", "y"])
-
-    centre.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return collected.withColumn("centre", F.pandas_udf(centre, "x double, y double")("_p")).drop("_p")
+    place = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    collected = some.groupBy("jrnid", "odo").agg(F.count("*").alias("n_points"), F.min("obs_num").alias("first_obs"), F.sort_array(F.collect_list(place)).alias("_p"))
+    return collected.withColumn("centre", F.arrow_udf(_centres, "x double, y double")("_p")).drop("_p")
 
 
 def move_halted(points: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ import itertools
 import math
 import random
 import struct
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,24 @@ def test_medians_are_least(seed):
     assert all(best <= total(a, b) + 1e-5 for a, b in zip(xs, ys))
 
 
+def test_medians_of_many_groups_step_together(spark):
+    rnd = random.Random(11)
+    groups = [[(round(rnd.gauss(0, 40), rnd.choice((0, 3))), round(rnd.gauss(0, 40), rnd.choice((0, 3)))) for _ in range(rnd.randint(1, 9))] for _ in range(3000)]
+    groups += [[(5.0, 5.0)] * 4, [(0.0, 0.0), (2.0, 2.0), (4.0, 4.0)], [(1.0, 1.0)] * 3 + [(9.0, 0.0)] * 3, [(1e9 + i, -1e9) for i in range(5)]]
+    at = rawpoints.geometric_medians(*np.concatenate(groups).T, np.array([len(v) for v in groups]))
+    for v, x, y in zip(groups, *at):
+        total = lambda a, b: sum(math.hypot(p - a, q - b) for p, q in v)  # noqa: E731, B023
+        assert total(x, y) <= min(*(total(*p) for p in v), *(total(x + i, y + k) for i in (-0.01, 0, 0.01) for k in (-0.01, 0, 0.01))) + 1e-5
+    start = time.process_time()
+    rawpoints.geometric_medians(*np.concatenate(groups * 4).T, np.array([len(v) for v in groups * 4]))
+    assert time.process_time() - start < 2.5  # a group at a time takes some ten seconds
+    rows = [(1, 1, k, *p) for k, p in enumerate([(0.0, 0.0), (3.0, 0.0), (0.0, 4.0)])] + [(1, 2, 9, None, 1.0), (1, 2, 10, 2.0, 1.0), (2, 1, 1, 7.0, 8.0)]
+    got = {(r.jrnid, r.odo): r for r in rawpoints.halt_clusters(spark.createDataFrame(rows, "jrnid int, odo int, obs_num int, x double, y double"), 1).collect()}
+    assert tuple(got[2, 1].centre) == (7.0, 8.0) and got[1, 2].centre.x is None and (got[1, 1].n_points, got[1, 1].first_obs) == (3, 0)
+    assert tuple(got[1, 1].centre) == pytest.approx(rawpoints.geometric_median([0.0, 3.0, 0.0], [0.0, 0.0, 4.0]))
+    assert rawpoints.halt_clusters(spark.createDataFrame(rows, "jrnid int, odo int, obs_num int, x double, y double"), 9).count() == 0
+
+
 def test_walks_of_points_with_nulls_and_many_journeys(spark):
     t0 = dt.datetime(2024, 1, 1)
     rnd = random.Random(3)
