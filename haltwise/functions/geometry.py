@@ -195,11 +195,16 @@ def inner_points(points: Column, low: Column, high: Column) -> Column:
     return F.transform(F.filter(points, lambda m: (m["at"] > low) & (m["at"] < high)), lambda m: point(m["x"], m["y"]))
 
 
-def substring(line: Column, low: Column, high: Column) -> Column:
-    """The part of the line between two shares of its length."""
+def substring_of_marks(points: Column, low: Column, high: Column) -> Column:
+    """The part of a line, given by its marks, between two shares of its length."""
     span = lambda m: bound(F.element_at(m, -1)["at"], lambda total: F.struct((low * total).alias("lo"), (high * total).alias("hi")))
     part = lambda m, s: F.concat(F.array(at_metres(m, s["lo"])), inner_points(m, s["lo"], s["hi"]), F.array(at_metres(m, s["hi"])))
-    return bound(marks(line), lambda m: bound(span(m), lambda s: part(m, s)))
+    return bound(span(points), lambda s: part(points, s))
+
+
+def substring(line: Column, low: Column, high: Column) -> Column:
+    """The part of the line between two shares of its length."""
+    return bound(marks(line), lambda m: substring_of_marks(m, low, high))
 
 
 def azimuth(a: Column, b: Column) -> Column:

@@ -28,16 +28,21 @@ def pattern_paths(stops: DataFrame, segments: DataFrame) -> DataFrame:
     return stops.select("ptid", "stop_seq", "i_node", "j_node").join(segments, ["i_node", "j_node"]).select("ptid", "stop_seq", "path_seq", "link_id", "from_node", "to_node", "reversed")
 
 
+def _pair(paths: DataFrame) -> list[str]:
+    """What a path belongs to: a stop of a pattern, or a pair of nodes, whose path all stops between them share and which is worked out once."""
+    return ["ptid", "stop_seq"] if "ptid" in paths.columns else ["i_node", "j_node"]
+
+
 def path_found(stops: DataFrame, paths: DataFrame) -> DataFrame:
-    """stops with path_found: whether the stop pair has a path."""
-    have = paths.select("ptid", "stop_seq").distinct().withColumn("path_found", F.lit(True))
-    return stops.drop("path_found").join(have, ["ptid", "stop_seq"], "left").withColumn("path_found", F.coalesce("path_found", F.lit(False)))
+    """stops with path_found: whether the stop pair has a path. paths: of pattern_paths or path_segments."""
+    have = paths.select(*_pair(paths)).distinct().withColumn("path_found", F.lit(True))
+    return stops.drop("path_found").join(have, _pair(paths), "left").withColumn("path_found", F.coalesce("path_found", F.lit(False)))
 
 
 def stop_shapes(stops: DataFrame, patterns: DataFrame, shapes: DataFrame) -> DataFrame:
     """stops with shape_geom: the part of the pattern's shape between the shares i_dist and j_dist; null without a shape."""
-    lines = patterns.select("ptid", "shape_id").join(shapes.select("shape_id", F.col("geom").alias("_line")), "shape_id")
-    part = F.when(F.col("_line").isNotNull() & F.col("j_dist").isNotNull(), g.substring(F.col("_line"), F.col("i_dist"), F.col("j_dist")))
+    lines = patterns.select("ptid", "shape_id").join(shapes.select("shape_id", g.marks(F.col("geom")).alias("_line")), "shape_id")
+    part = F.when(F.col("_line").isNotNull() & F.col("j_dist").isNotNull(), g.substring_of_marks(F.col("_line"), F.col("i_dist"), F.col("j_dist")))
     return stops.join(lines.select("ptid", "_line"), "ptid", "left").withColumn("shape_geom", part).drop("_line")
 
 
@@ -48,12 +53,15 @@ def paths_with_geometry(paths: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def stops_with_geometry(stops: DataFrame, located: DataFrame) -> DataFrame:
-    """stops with geom: their segments' lines joined in order, a vertex that two lines share once. One row holds one stop pair's path."""
+    """stops with geom: their segments' lines joined in order, a vertex that two lines share once. One row holds one stop pair's path.
+
+    located: paths of pattern_paths or path_segments with their geometry.
+    """
     parts = F.transform(F.array_sort(F.collect_list(F.struct("path_seq", "geom"))), lambda x: x["geom"])
     meets = lambda i: F.get(F.get(parts, i - 1), F.size(F.get(parts, i - 1)) - 1) == F.get(F.get(parts, i), 0)
     joined = F.flatten(F.transform(parts, lambda p, i: F.when(F.coalesce(meets(i), F.lit(False)), F.slice(p, 2, F.size(p))).otherwise(p)))
-    lines = located.where(F.col("geom").isNotNull()).groupBy("ptid", "stop_seq").agg(joined.alias("geom"))
-    return stops.join(lines, ["ptid", "stop_seq"], "left")
+    lines = located.where(F.col("geom").isNotNull()).groupBy(*_pair(located)).agg(joined.alias("geom"))
+    return stops.join(lines, _pair(located), "left")
 
 
 def ratio(network: Column, shape: Column) -> Column:
@@ -61,34 +69,47 @@ def ratio(network: Column, shape: Column) -> Column:
     return F.when(shape.isNull(), F.lit(None)).when(shape == 0, F.lit(0.0)).otherwise(F.try_divide(network, shape))
 
 
+def network_lengths(stops: DataFrame, paths: DataFrame, lengths: DataFrame) -> DataFrame:
+    """stops with nw_len, the sum of their path's links. paths: of pattern_paths or path_segments; lengths: link_id, length_m."""
+    along = paths.join(lengths.select("link_id", F.col("length_m").alias("_m")), "link_id").groupBy(*_pair(paths)).agg(F.sum("_m").alias("nw_len"))
+    return stops.join(along, _pair(paths), "left")
+
+
 def stop_lengths(stops: DataFrame, paths: DataFrame, links: DataFrame) -> DataFrame:
     """stops with nw_len, shape_len and nw_vs_shape_coeff. Lengths of links are summed, so no geometry is built."""
-    metres = links.select("link_id", g.length(F.col("geom")).alias("_m"))
-    along = paths.join(metres, "link_id").groupBy("ptid", "stop_seq").agg(F.sum("_m").alias("nw_len"))
-    out = stops.join(along, ["ptid", "stop_seq"], "left").withColumn("shape_len", F.when(F.col("shape_geom").isNotNull(), g.length(F.col("shape_geom"))))
+    out = network_lengths(stops, paths, links.select("link_id", g.length(F.col("geom")).alias("length_m"))).withColumn("shape_len", F.when(F.col("shape_geom").isNotNull(), g.length(F.col("shape_geom"))))
     return out.withColumn("nw_vs_shape_coeff", ratio(F.col("nw_len"), F.col("shape_len")))
 
 
 def pattern_lengths(stops: DataFrame) -> DataFrame:
-    """ptid, shape_len_total, nw_len_total and nw_vs_shape_coeff of whole patterns, from stops with their lengths."""
-    out = stops.groupBy("ptid").agg(F.sum("shape_len").alias("shape_len_total"), F.sum("nw_len").alias("nw_len_total"))
+    """ptid, shape_len_total, nw_len_total and nw_vs_shape_coeff of whole patterns, from stops with their lengths; of checked stops also n_invalid, how many have a reason."""
+    checked = [F.count_if(F.size("invalid_reasons") > 0).alias("n_invalid")] if "invalid_reasons" in stops.columns else []
+    out = stops.groupBy("ptid").agg(F.sum("shape_len").alias("shape_len_total"), F.sum("nw_len").alias("nw_len_total"), *checked)
     return out.withColumn("nw_vs_shape_coeff", ratio(F.col("nw_len_total"), F.col("shape_len_total")))
 
 
-def check_patterns(stops: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(stops, patterns) with invalid_reasons: no path, or paths much longer or shorter than the shape (bounds are fixed values)."""
-    none = F.array().cast("array<string>")
-    stops, patterns = (df if "invalid_reasons" in df.columns else df.withColumn("invalid_reasons", none) for df in (stops, patterns))
+def _with_reasons(df: DataFrame) -> DataFrame:
+    return df if "invalid_reasons" in df.columns else df.withColumn("invalid_reasons", F.array().cast("array<string>"))
+
+
+def check_stops(stops: DataFrame) -> DataFrame:
+    """stops with invalid_reasons: no path, or one much longer or shorter than the shape (bounds are fixed values)."""
+    stops = _with_reasons(stops)
     for reason, rule in (
         ("No network path", ~F.col("path_found")),
         ("Network path too long", F.col("nw_vs_shape_coeff") > 1.2),
         ("Network path too short", F.col("nw_vs_shape_coeff") < 0.8),
     ):
         stops = invalidate(stops, reason, rule)
-    patterns = propagate_invalidations(stops, patterns, ["ptid"], "stage_gtfs.pattern_stops")
+    return stops
+
+
+def check_pattern_lengths(patterns: DataFrame) -> DataFrame:
+    """patterns with invalid_reasons: stops with reasons (n_invalid of pattern_lengths), or paths longer or shorter than the shape."""
+    patterns = invalidate(_with_reasons(patterns), "Invalid records in stage_gtfs.pattern_stops", F.col("n_invalid") > 0)
     for reason, rule in (("Network path too long", F.col("nw_vs_shape_coeff") > 1.1), ("Network path too short", F.col("nw_vs_shape_coeff") < 0.9)):
         patterns = invalidate(patterns, reason, rule)
-    return stops, patterns
+    return patterns
 
 
 def check_templates(stops: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:

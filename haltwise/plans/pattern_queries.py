@@ -31,8 +31,12 @@ def _stops(t: Tables) -> DataFrame:
     return t.sql(_STOPS)
 
 
+def _segments(t: Tables) -> DataFrame:
+    return patterns.path_segments(t.sql(_PATHS), t.links())
+
+
 def _paths(t: Tables) -> DataFrame:
-    return patterns.pattern_paths(_stops(t), patterns.path_segments(t.sql(_PATHS), t.links()))
+    return patterns.pattern_paths(_stops(t), _segments(t))
 
 
 @query(f"WITH {_SEGMENTS} SELECT * FROM pp")
@@ -57,9 +61,10 @@ def _checked(t: Tables) -> tuple[DataFrame, DataFrame]:
     # One shape for seven patterns' remainders, so shapes are shared.
     shapes = ids.select((F.col("ptid") % 7).alias("shape_id"), corner.alias("geom")).dropDuplicates(["shape_id"])
     pts = ids.select("ptid", F.when(F.col("ptid") % 5 != 0, F.col("ptid") % 7).alias("shape_id"))
-    paths = _paths(t)
-    measured = patterns.stop_lengths(patterns.stop_shapes(patterns.path_found(stops, paths), pts, shapes), paths, t.links())
-    return patterns.check_patterns(measured, pts.join(patterns.pattern_lengths(measured), "ptid"))
+    # Lengths are summed once for a pair of nodes, and a pattern's stops are gone through once.
+    paths = _segments(t)
+    checked = patterns.check_stops(patterns.stop_lengths(patterns.stop_shapes(patterns.path_found(stops, paths), pts, shapes), paths, t.links()))
+    return checked, patterns.check_pattern_lengths(patterns.pattern_lengths(checked))
 
 
 @query(f"WITH {_MEASURED} SELECT ptid, stop_seq, path_found, nw_len, round(shape_len, 3) AS shape_len, round(coeff, 4) AS coeff, reasons FROM rs")
@@ -80,7 +85,7 @@ def patterns_checked(t: Tables) -> DataFrame:
 )
 def pattern_stops_geometry(t: Tables) -> DataFrame:
     """Lines of stop pairs from their directed segments."""
-    out = patterns.stops_with_geometry(_stops(t), patterns.paths_with_geometry(_paths(t), t.links()))
+    out = patterns.stops_with_geometry(_stops(t), patterns.paths_with_geometry(_segments(t), t.links()))
     line, has = F.col("geom"), F.col("geom").isNotNull()
     ends = [F.when(has, p[c]).alias(f"{c}{i}") for i, p in enumerate((g.start_point(line), g.end_point(line))) for c in ("x", "y")]
     return out.select("ptid", "stop_seq", F.when(has, F.size(line)).alias("n_points"), F.when(has, g.length(line)).alias("length_m"), *ends)

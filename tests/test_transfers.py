@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haltwise.functions import geometry as g
-from haltwise.operators import network, rawpoints, schedule
+from haltwise.operators import network, patterns, rawpoints, schedule
 from haltwise.sources import readers
 from haltwise.sources.store import Store
 
@@ -222,3 +222,28 @@ def test_days_of_services_by_weekday(spark):
                 want[s] = want.get(s, set()) | {day} if kind == 1 else want.get(s, set()) - {day}
     assert {r.service_id: r.dates for r in out.collect()} == {s: sorted(d) for s, d in want.items() if d}
     assert "filter(sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paths_are_worked_out_once_for_a_pair_of_nodes(spark):
+    links = spark.createDataFrame([(1, 10, 11, [(0.0, 0.0), (3.0, 4.0)], 5.0), (2, 12, 11, [(3.0, 9.0), (3.0, 4.0)], 5.0)], "link_id int, i_node int, j_node int, geom array<struct<x:double,y:double>>, length_m double")
+    nodes = spark.createDataFrame([(10, 12, 1, 10, 1), (10, 12, 2, 11, 2), (10, 12, 3, 12, -1), (11, 10, 1, 11, 1), (11, 10, 2, 10, -1)], "i_node int, j_node int, path_seq int, node_id int, link_id int")
+    stops = spark.createDataFrame([(p, 1, 10, 12, 0.0, 0.5) for p in (1, 2, 3)] + [(1, 2, 12, 10, 0.5, 1.0), (1, 3, 10, None, 1.0, None), (2, 2, 12, None, 0.5, None), (3, 2, 11, 10, 0.5, 1.0)], "ptid int, stop_seq int, i_node int, j_node int, i_dist double, j_dist double")
+    shapes = spark.createDataFrame([("s", [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)])], "shape_id string, geom array<struct<x:double,y:double>>")
+    pts = spark.createDataFrame([(1, "s"), (2, None), (3, "s")], "ptid int, shape_id string")
+    segments = patterns.path_segments(nodes, links)
+    per_stop = patterns.pattern_paths(stops, segments)
+
+    def both(f):
+        one, other = ({(r.ptid, r.stop_seq): r.asDict(True) for r in f(p).collect()} for p in (segments, per_stop))
+        assert one == other and len(one) == 7
+        return one
+
+    measured = lambda p: patterns.stop_lengths(patterns.stop_shapes(patterns.path_found(stops, p), pts, shapes), p, links)
+    rows = both(lambda p: patterns.check_stops(measured(p)))
+    assert {k: (r["path_found"], r["nw_len"], r["shape_len"]) for k, r in rows.items()} == {(1, 1): (True, 10.0, 10.0), (1, 2): (False, None, 10.0), (1, 3): (False, None, None), (2, 1): (True, 10.0, None), (2, 2): (False, None, None), (3, 1): (True, 10.0, 10.0), (3, 2): (True, 5.0, 10.0)}
+    assert rows[3, 2]["invalid_reasons"] == ["Network path too short"] and rows[1, 3]["invalid_reasons"] == ["No network path"] and rows[3, 1]["invalid_reasons"] == []
+    lines = both(lambda p: patterns.stops_with_geometry(stops, patterns.paths_with_geometry(p, links)))
+    assert [tuple(p.values()) for p in lines[2, 1]["geom"]] == [(0.0, 0.0), (3.0, 4.0), (3.0, 9.0)] and lines[1, 2]["geom"] is None
+    whole = {r.ptid: r for r in patterns.check_pattern_lengths(patterns.pattern_lengths(patterns.check_stops(measured(segments)))).collect()}
+    bad = "Invalid records in stage_gtfs.pattern_stops"
+    assert {k: (r.shape_len_total, r.nw_len_total, r.n_invalid, r.invalid_reasons) for k, r in whole.items()} == {1: (20.0, 10.0, 2, [bad, "Network path too short"]), 2: (None, 10.0, 1, [bad]), 3: (20.0, 15.0, 1, [bad, "Network path too short"])}
