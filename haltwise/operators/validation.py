@@ -71,8 +71,10 @@ def u_turns(rows: DataFrame, parent: str, order: tuple[str, ...] = ()) -> DataFr
 
 def missed_by_links(vianodes: DataFrame, rows: DataFrame, parent: str) -> DataFrame:
     """Via nodes that none of the parent's links touches."""
-    touched = rows.select(parent, F.explode(F.array("i_node", "j_node")).alias("node_id")).distinct()
-    return vianodes.join(touched, [parent, "node_id"], "left_anti")
+    # Links stay one row each and meet the parent's nodes in the join's condition: no table of distinct nodes is held.
+    ends = rows.select(F.col(parent).alias("_parent"), F.col("i_node").alias("_i"), F.col("j_node").alias("_j"))
+    touched = (F.col(parent) == F.col("_parent")) & ((F.col("node_id") == F.col("_i")) | (F.col("node_id") == F.col("_j")))
+    return vianodes.join(ends, touched, "left_anti")
 
 
 def after_seq_mismatch(manual: DataFrame, stop_on_route: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haltwise.functions import geometry as g
-from haltwise.operators import network, patterns, rawpoints, schedule
+from haltwise.operators import matching, network, patterns, rawpoints, schedule, validation
 from haltwise.sources import readers
 from haltwise.sources.store import Store
 
@@ -247,3 +247,30 @@ def test_paths_are_worked_out_once_for_a_pair_of_nodes(spark):
     whole = {r.ptid: r for r in patterns.check_pattern_lengths(patterns.pattern_lengths(patterns.check_stops(measured(segments)))).collect()}
     bad = "Invalid records in stage_gtfs.pattern_stops"
     assert {k: (r.shape_len_total, r.nw_len_total, r.n_invalid, r.invalid_reasons) for k, r in whole.items()} == {1: (20.0, 10.0, 2, [bad, "Network path too short"]), 2: (None, 10.0, 1, [bad]), 3: (20.0, 15.0, 1, [bad, "Network path too short"])}
+
+
+def test_candidates_by_cells_are_those_of_all_pairs(spark):
+    rnd = random.Random(5)
+    at = lambda: (rnd.uniform(-900, 900), rnd.choice((rnd.uniform(-900, 900), 0.0, 240.0)))
+    lines = [[at() for _ in range(rnd.randint(2, 4))] for _ in range(12)] + [[(240.0, -500.0), (240.0, 500.0)], [(5.0, 5.0), (5.0, 5.0)], [(1.0, 1.0)], [], None]
+    links = spark.createDataFrame(list(enumerate(lines)), "link_id int, geom array<struct<x:double,y:double>>")
+    route_links = spark.createDataFrame([(k % 3, k, k, k % 2 == 0) for k in range(len(lines))] + [(0, 99, 0, False)], "route_ver_id int, link_seq int, link_id int, link_reversed boolean")
+    points = spark.createDataFrame([(i % 6, i, *at()) for i in range(400)] + [(0, 900, None, 1.0), (0, 901, float("nan"), 1.0), (0, 902, 1e300, 1.0)], "jrnid int, tst int, x double, y double")
+    journeys = spark.createDataFrame([(j, j % 3) for j in range(6)], "jrnid int, route_ver_id int")
+    found = matching.point_candidates(points, journeys, route_links, links, 60.0)
+    got = {(r.tst, r.link_seq): (r.link_id, r.location_on_link, r.distance_from_link) for r in found.collect()}
+    n = g.nearest(F.col("geom"), g.point(F.col("x"), F.col("y")))
+    every = points.join(journeys, "jrnid").join(route_links, "route_ver_id").join(links, "link_id").withColumn("n", n).where("n.distance < 60 AND NOT n.beyond")
+    want = {(r.tst, r.link_seq): (r.link_id, abs(r.n.along / r.m - r.link_reversed) if r.m else None, -r.n.distance if r.n.side > 0 else r.n.distance) for r in every.withColumn("m", g.length(F.col("geom"))).collect()}
+    assert got == want and len(want) == found.count() > 100
+    # Cells are keys of the join: points far from all links of their route make no pairs.
+    assert "_cx" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_via_nodes_meet_links_without_a_table_of_nodes(spark):
+    via = spark.createDataFrame([("a", 1), ("a", 4), ("a", None), ("b", 2), ("c", 9)], "r string, node_id int")
+    rows = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", None, 2), ("b", 5, None), (None, 9, 9)], "r string, i_node int, j_node int")
+    out = validation.missed_by_links(via, rows, "r")
+    assert sorted(((r.r, r.node_id) for r in out.collect()), key=str) == [("a", 4), ("a", None), ("c", 9)] and out.columns == ["r", "node_id"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "explode" not in plan
