@@ -33,15 +33,20 @@ def check_journeys(journeys: DataFrame, versions: DataFrame) -> tuple[DataFrame,
 def point_candidates(points: DataFrame, journeys: DataFrame, route_links: DataFrame, links: DataFrame, metres: float = 20.0) -> DataFrame:
     """Links of a point's route within a distance and not beyond their ends.
 
-    The join is by route version (the links of one route), never by place alone.
-    The distance is negative on the left of the undirected link; the location is
-    along the directed link.
+    The join is by route version (the links of one route) and by the grid cells that a link passes within the distance,
+    so points meet the links near them and no row is made for the others. The distance is negative on the left of the
+    undirected link; the location is along the directed link.
     """
-    routed = points.join(journeys.select("jrnid", "route_ver_id"), "jrnid").join(route_links.select("route_ver_id", "link_seq", "link_id", "link_reversed"), "route_ver_id")
-    n = g.nearest(F.col("geom"), g.point(F.col("x"), F.col("y")))
-    # Most links of a route are far from a point: their box, made once a link, says so before the segments are walked.
-    boxed = links.select("link_id", "geom", g.box(F.col("geom")).alias("_box"))
-    near = routed.join(boxed, "link_id").where(g.near_box(F.col("_box"), F.col("x"), F.col("y"), metres)).withColumn("_n", n)
+    size = 4.0 * metres
+    # A little beyond the distance, so that no rounding at a cell's side loses a point.
+    cells = F.array_distinct(F.flatten(F.transform(g.line_segments(F.col("geom")), lambda s: g.segment_cells(s["a"], s["b"], size, metres * 1.001))))
+    boxed = links.select("link_id", "geom", g.box(F.col("geom")).alias("_box"), cells.alias("_cells"))
+    passed = route_links.select("route_ver_id", "link_seq", "link_id", "link_reversed").join(boxed, "link_id").withColumn("_cell", F.explode("_cells")).drop("_cells")
+    on_grid = passed.withColumns({"_cx": F.col("_cell.cx"), "_cy": F.col("_cell.cy")}).drop("_cell")
+    routed = points.join(journeys.select("jrnid", "route_ver_id"), "jrnid").withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
+    pairs = routed.join(on_grid, ["route_ver_id", "_cx", "_cy"]).where(g.near_box(F.col("_box"), F.col("x"), F.col("y"), metres))
+    # Given out as a row of its own, what is nearest is worked out once for the filter and the columns.
+    near = pairs.withColumn("_n", F.explode(F.array(g.nearest(F.col("geom"), g.point(F.col("x"), F.col("y"))))))
     hit = (F.col("_n.distance") < metres) & ~F.col("_n.beyond")
     share = F.try_divide(F.col("_n.along"), g.length(F.col("geom")))
     return near.where(hit).select(
