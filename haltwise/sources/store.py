@@ -108,10 +108,11 @@ class Transaction:
         entry = self.tables.setdefault(table, {"schema": df.schema.json(), "parts": {}})
         entry["parts"][folder] = folder
 
-    def replace(self, table: str, df: DataFrame) -> None:
-        """All rows of the table are these."""
+    def replace(self, table: str, df: DataFrame) -> DataFrame:
+        """All rows of the table are these; gives them back as written, to be read until the transaction ends."""
         folder = self._write(table, df, f"-{len(self.staged)}")
         self.tables[table] = {"schema": df.schema.json(), "parts": {folder: folder}}
+        return self._staged_rows(folder, df)
 
     def refresh(self, view: str, df: DataFrame, key: tuple[str, ...]) -> dict[str, int]:
         """Brings a stored view up to df, writing only the parts whose rows have changed; how many there are and were written.

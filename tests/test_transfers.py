@@ -274,3 +274,26 @@ def test_via_nodes_meet_links_without_a_table_of_nodes(spark):
     assert sorted(((r.r, r.node_id) for r in out.collect()), key=str) == [("a", 4), ("a", None), ("c", 9)] and out.columns == ["r", "node_id"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "explode" not in plan
+
+
+def test_a_feed_is_read_once_where_its_tables_are_kept(spark, tmp_path):
+    texts = {
+        "routes": "1,,1,,,0,\n2,,2,,,109,\n", "calendar": "s,1,1,1,1,1,0,0,20240101,20240131\nz,1,1,1,1,1,0,0,20240101,20240131\n", "calendar_dates": "s,20240106,2\ns,20240107,2\nz,20240106,2\n", "shapes": "h,60,25,1,0\nh,60,26,2,1\nx,60,25,1,0\n",
+        "trips": "1,s,one,,0,h,,,\n1,s,two,,0,h,,,\n1,s,1 B_three,,0,,,,\n2,z,four,,0,x,,,\n", "stop_times": "".join(f"{trip},08:00:0{k},08:00:0{k},{k % 2},{k},,,,,\n" for trip in ("one", "two", "1 B_three", "four") for k in range(4)), "stops": "".join(f"{k},,,,60,25,,,,,,,\n" for k in range(4)),
+    }
+    for table, rows in texts.items():
+        (tmp_path / f"{table}.txt").write_text(",".join(c.split()[0] for c in readers.GTFS[table].split(", ")) + "\n" + rows)
+    files = {}
+
+    def keep(name, rows):
+        files[name] = {f.rsplit("/", 1)[-1] for f in rows.inputFiles() if f.endswith(".txt")}
+        rows.write.parquet(str(tmp_path / "kept" / name))
+        return spark.read.schema(rows.schema).parquet(str(tmp_path / "kept" / name))
+
+    kept, plain = readers.gtfs(spark, str(tmp_path), keep), readers.gtfs(spark, str(tmp_path))
+    counts = {name: kept[name].count() for name in readers.GTFS}
+    assert counts == {"routes": 2, "calendar": 1, "calendar_dates": 2, "shapes": 2, "trips": 3, "stop_times": 12, "stops": 2}
+    assert all(sorted(map(str, kept[n].collect())) == sorted(map(str, plain[n].collect())) for n in readers.GTFS)
+    assert {n: files[n] for n in ("stop_times", "stops", "shapes", "calendar", "calendar_dates")} == {n: {f"{n}.txt"} for n in ("stop_times", "stops", "shapes", "calendar", "calendar_dates")}
+    # Keys that many rows share meet once: a table of few stops isn't joined with all stop times.
+    assert "Aggregate" in plain["stops"]._jdf.queryExecution().optimizedPlan().toString()
