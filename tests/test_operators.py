@@ -302,3 +302,22 @@ def test_section_halt_totals_without_a_shuffle_of_pairs(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == want and "hashpartitioning(section_id#" in plan and not re.search(r"hashpartitioning\(section_id#\w+, jrnid", plan)
     monkeypatch.setattr(halts, "BROADCAST_PLACES", 0)
     assert sorted(map(tuple, halts.section_halt_totals(h, p, s).collect())) == want
+
+
+def test_section_halt_totals_in_blocks_and_as_many_tasks_as_pairs(spark, monkeypatch):
+    """Places beyond a broadcast go in blocks of journeys: pairs are not shuffled then either, and a task has its share of them only."""
+    from haltwise.operators import halts
+
+    h = spark.createDataFrame([(j, 10 * k, 4.0 + k, 1.0, 2.0, 3.0) for j in range(20) for k in range(3)], "jrnid long, tst long, total_s double, door_open_s double, door_closed_s double, represents_time_s double")
+    p = spark.createDataFrame([(j, 10 * k, (j + k) % 6, True) for j in range(20) for k in range(3)], "jrnid long, tst long, link_id long, link_reversed boolean")
+    s = spark.createDataFrame([(n, (n + k) % 6, True) for n in range(30) for k in range(n % 4)], "section_id long, link_id long, link_reversed boolean")
+    whole = sorted(map(tuple, halts.section_halt_totals(h, p, s).collect()))
+    monkeypatch.setattr(halts, "BROADCAST_PLACES", 25)
+    monkeypatch.setattr(halts, "SECTION_TASKS", 1)
+    monkeypatch.setattr(halts, "TASK_PAIRS", 10, raising=False)
+    out = halts.section_halt_totals(h, p, s)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == whole and len(whole) > 100
+    assert "BroadcastHashJoin" in plan and not re.search(r"hashpartitioning\(section_id#\w+, jrnid", plan)
+    # 429 pairs by link, three blocks: 15 tasks, which go through the blocks or are there for each.
+    assert out.rdd.getNumPartitions() in (15, 45)
