@@ -321,3 +321,14 @@ def test_section_halt_totals_in_blocks_and_as_many_tasks_as_pairs(spark, monkeyp
     assert "BroadcastHashJoin" in plan and not re.search(r"hashpartitioning\(section_id#\w+, jrnid", plan)
     # 429 pairs by link, three blocks: 15 tasks, which go through the blocks or are there for each.
     assert out.rdd.getNumPartitions() in (15, 45)
+
+
+def test_stops_of_sections_are_written_compactly(spark):
+    """Rows of one link lie together, so the stops that they meet are alike from row to row; all rows are there."""
+    from haltwise.operators import network
+
+    s = spark.range(400).selectExpr("id AS section_id", "CAST(1 AS INT) AS link_seq", "(id * 7919) % 16 AS link_id", "true AS link_reversed", "CAST(10 AS DOUBLE) AS length_m").coalesce(1)
+    stops = spark.range(16 * 500).selectExpr("xxhash64(id) AS stop_id", "id % 16 AS link_id", "true AS link_reversed", "CAST(0.5 AS DOUBLE) AS location_on_link", "named_struct('x', CAST(id % 16 AS DOUBLE), 'y', 0D) AS place").coalesce(1)
+    for out in (network.section_stop_points(s, stops), network.section_stop_places(s, stops)):
+        links = [r.section_id * 7919 % 16 for r in out.select("section_id").collect()]
+        assert len(links) == 400 * 500 and sum(a != b for a, b in zip(links, links[1:])) < 16 * 4
